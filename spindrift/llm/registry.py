@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup, suffix_dedup
+from . import packing, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_packing": packing.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_suffix_dedup": suffix_dedup.query,
     }
