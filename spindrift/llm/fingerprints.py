@@ -1,8 +1,9 @@
 """Document fingerprints: SimHash of 128 bits, with permuted block tables to find those within a Hamming radius.
 
 Terms are runs of five words (all words, where a text has fewer), each once for every place it stands. A term's weight
-is 1 + its length in characters / 16, at most 8: longer terms are rarer. Two 64-bit hashes of a term vote with its weight
-on 128 signed bits; a bit is 1 where the sum is above zero. Each sum holds two bits' counts in its halves.
+grows with its length in characters, from 1 to 8: longer terms are rarer. Two 64-bit hashes of a term vote with its weight
+on 128 signed bits; a bit is 1 where the sum is above zero. Each sum holds two bits' counts in its halves, so that a text
+of up to 2 ** 28 terms can't overflow.
 
 near_pairs() cuts the distinct fingerprints into radius + 2 blocks. Two fingerprints that differ in at most `radius`
 bits agree in two blocks at least, so that a table for each pair of blocks, keyed by both, finds all of them.
@@ -13,6 +14,7 @@ null id comes last in the order of documents, equal ids in the order of their te
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,63 +27,68 @@ ROWS, RANGES, INNER = 1000, 256, 256
 LANES = 0x0000000100000001
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def terms(text: Column) -> Column:
-    """Structs of two hashes and a weight, for each run of five words."""
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
-    return F.when(n > 0, shingles).otherwise(F.array().cast("array<string>"))
+    """For each run of five words, a hash with the term's weight less 1 in its three lowest bits."""
+
+    def words(w: Column) -> Column:  # a hash, with the length in its six lowest bits
+        return F.xxhash64(w).bitwiseAND(F.lit(~63)).bitwiseOR(F.least(F.char_length(w), F.lit(63)).cast("long"))
 
+    def runs(h: Column) -> Column:
+        # past the end, where a text has fewer words, get() gives null, which the hash skips
+        def run(i: Column) -> Column:
+            five = [F.get(h, i + j) for j in range(SHINGLE)]
+            length = sum((F.coalesce(x.bitwiseAND(F.lit(63)), F.lit(0)) for x in five[1:]), five[0].bitwiseAND(F.lit(63)))
+            return F.xxhash64(*five).bitwiseAND(F.lit(~7)).bitwiseOR(F.least(F.shiftright(length, 4), F.lit(7)))
 
-def votes(term: Column) -> list[Column]:
-    """64 sums: of lane k of each of the two hashes, times the weight; and the sum of the weights."""
-    weight = F.least(F.lit(8), 1 + F.char_length(term) / 16).cast("int").cast("long")
-    out = []
-    for h in ("h1", "h2"):
-        for k in range(32):
-            out.append(F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(LANES)) * F.col("weight")).alias(f"{h}_{k}"))
-    return [*out, F.sum("weight").alias("total")]
+        return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - SHINGLE, F.lit(0))), run)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""), words), runs)
 
 
 def half(h: str) -> Column:
-    """The 64 bits that the sums of one hash decide, as 16 hexadecimal digits."""
+    """The 64 bits that the sums of one hash decide."""
     total, bits = F.coalesce(F.col("total"), F.lit(0)), F.lit(0).cast("long")
     for k in range(32):
         s = F.coalesce(F.col(f"{h}_{k}"), F.lit(0))
         low, high = s.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(s, 32)
         bits = bits.bitwiseOR(F.when(2 * low > total, F.lit(1 << k)).otherwise(F.lit(0))).bitwiseOR(F.when(2 * high > total, F.lit(1 << (k + 32) if k < 31 else -(1 << 63))).otherwise(F.lit(0)))
-    return F.lower(F.lpad(F.hex(bits), 16, "0"))
+    return bits
 
 
-def fingerprint(rows: DataFrame, keys: list[str], text: str, keep: list[Column] | None = None) -> DataFrame:
-    """keys, what `keep` aggregates, fingerprint (32 hexadecimal digits). Rows that agree in all keys count as one text."""
-    exploded = rows.withColumn("term", F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))))
-    hashed = exploded.select(*rows.columns, "term", F.xxhash64("term").alias("h1"), F.xxhash64(F.lit(1), "term").alias("h2"), F.when(F.col("term").isNotNull(), F.least(F.lit(8), (1 + F.char_length("term") / 16).cast("int")).cast("long")).alias("weight"))
-    summed = hashed.groupBy(*keys).agg(*votes(F.col("term")), *(keep or []))
-    return summed.withColumn("fingerprint", F.concat(half("h1"), half("h2"))).drop("total", *(f"{h}_{k}" for h in ("h1", "h2") for k in range(32)))
+def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, hi, lo: the two halves of each text's fingerprint. Rows that agree in all keys count as one text."""
+    exploded = rows.select(*keys, F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    hashed = exploded.select(*keys, F.xxhash64("term").alias("h1"), F.xxhash64(F.lit(1), "term").alias("h2"), F.col("term").bitwiseAND(F.lit(7)).alias("w"))
+    weight = F.col("w") + 1
+    sums = [F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(LANES)) * weight).alias(f"{h}_{k}") for h in ("h1", "h2") for k in range(32)]
+    return hashed.groupBy(*keys).agg(*sums, F.sum(weight).alias("total")).select(*keys, half("h1").alias("hi"), half("h2").alias("lo"))
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Bits in which two fingerprints differ."""
-    part = lambda c, i: F.conv(F.substring(c, i, 16), 16, -10).cast("long")
-    return F.bit_count(part(a, 1).bitwiseXOR(part(b, 1))) + F.bit_count(part(a, 17).bitwiseXOR(part(b, 17)))
+def digits(hi: Column, lo: Column) -> Column:
+    """A fingerprint as 32 hexadecimal digits."""
+    return F.lower(F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0")))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    return (1 - distance(a, b) / 128).cast("double")
+def distance(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
 
 
-def near_pairs(prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS) -> DataFrame:
-    """a, b, distance: all pairs a < b of distinct fingerprints that differ in at most `radius` bits, each once. Equal
-    fingerprints stand for one another: join them back by `column`."""
+def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a_hi, a_lo, b_hi, b_lo, distance: all pairs of distinct fingerprints (hi, lo) that differ in at most `radius` bits, each
+    once. Equal fingerprints stand for one another: join them back by hi and lo."""
     blocks = radius + 2
     edges = [round(i * 128 / blocks) for i in range(blocks + 1)]
-    one = prints.select(F.col(column).alias("fp")).where("fp is not null").distinct()
-    hi, lo = (F.conv(F.substring("fp", i, 16), 16, -10).cast("long") for i in (1, 17))
+    one = prints.select("hi", "lo").distinct()
 
     def bits(a: int, b: int) -> list[Column]:
         out = []
-        for word, base in ((hi, 0), (lo, 64)):
+        for word, base in ((F.col("hi"), 0), (F.col("lo"), 64)):
             x, y = max(a, base) - base, min(b, base + 64) - base
             if x < y:
                 mask = ((1 << (y - x)) - 1) << (64 - y)
@@ -89,12 +96,12 @@ def near_pairs(prints: DataFrame, column: str = "fingerprint", radius: int = RAD
         return out
 
     tables = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *bits(edges[i], edges[i + 1]), *bits(edges[j], edges[j + 1])).alias("key")) for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-    keyed = one.withColumn("k", F.explode(F.array(*tables))).select("fp", "k.t", "k.key")
+    keyed = one.withColumn("k", F.explode(F.array(*tables))).select("hi", "lo", "k.t", "k.key")
     # keys that one fingerprint has alone, most of them, are dropped before the join; that takes the exchange which the join needs anyway
     several = keyed.withColumn("n", F.count("*").over(W.partitionBy("t", "key"))).where("n > 1").drop("n")
-    other = several.select(F.col("fp").alias("b"), "t", "key")
-    pairs = several.withColumnRenamed("fp", "a").join(other, ["t", "key"]).where("a < b").withColumn("distance", distance(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
-    return pairs.select("a", "b", "distance").distinct()
+    a, b = (several.select("t", "key", F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo")) for x in "ab")
+    pairs = a.join(b, ["t", "key"]).where("a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo)").withColumn("distance", distance(*map(F.col, ("a_hi", "a_lo", "b_hi", "b_lo"))))
+    return pairs.where(F.col("distance") <= radius).select("a_hi", "a_lo", "b_hi", "b_lo", "distance").distinct()
 
 
 def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -144,17 +151,21 @@ def compare(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     base = edited(docs, text, doc_id)
     info = base.select("range", "rn", "extra", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
     info = info.select("range", "rn", "extra", "doc_id", "n_chars", "edited_sha256", "v.which", "v.text").where("not (extra and which = 1)")
-    prints = fingerprint(info, ["range", "rn", "which"], "text", [F.first(c).alias(c) for c in ("extra", "doc_id", "n_chars", "edited_sha256")])
-    both = prints.groupBy("range", "rn").agg(F.first("extra").alias("extra"), F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("edited_sha256").alias("edited_sha256"), F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
-    both = both.withColumn("next", F.lead("fingerprint").over(W.partitionBy("range").orderBy("rn"))).where("not extra")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+    keys = ["range", "rn", "extra", "doc_id", "n_chars", "edited_sha256"]
+    prints = fingerprint(info, [*keys, "which"], "text")
+    pick = lambda c, which: F.max(F.when(F.col("which") == which, F.col(c)))
+    both = prints.groupBy(*keys).agg(pick("hi", 0).alias("hi"), pick("lo", 0).alias("lo"), pick("hi", 1).alias("e_hi"), pick("lo", 1).alias("e_lo"))
+    w = W.partitionBy("range").orderBy("rn")
+    both = both.withColumn("next_hi", F.lead("hi").over(w)).withColumn("next_lo", F.lead("lo").over(w)).where("not extra")
+    like = lambda x: (1 - distance(F.col("hi"), F.col("lo"), F.col(f"{x}_hi"), F.col(f"{x}_lo")) / 128).cast("double")
+    return both.select("doc_id", "n_chars", "edited_sha256", "hi", "lo", digits(F.col("hi"), F.col("lo")).alias("fingerprint"), digits(F.col("e_hi"), F.col("e_lo")).alias("edited_fingerprint"), like("e").alias("near_edited"), like("next").alias("near_next"))
 
 
 def with_near(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints with n_near: other distinct fingerprints within the radius."""
-    pairs = near_pairs(prints, "fingerprint", radius)
-    each = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
-    return prints.join(each, "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    pairs = near_pairs(prints, radius)
+    each = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}_hi").alias("hi"), F.col(f"{x}_lo").alias("lo")) for x in "ab"))).alias("p")).groupBy("p.hi", "p.lo").agg(F.count("*").alias("n_near"))
+    return prints.join(each, ["hi", "lo"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, substring_dedup, suffix_dedup
+from . import fingerprints, packing, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprints.query,
+        "op3_url_filter": url_filter.query,
         "op8_packing": packing.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_suffix_dedup": suffix_dedup.query,
