@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast up to this many bytes; beyond it, it is shuffled.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of text that a Python worker handles at once; longer texts are cut into overlapping pieces where an operator can.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

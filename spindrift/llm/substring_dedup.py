@@ -28,12 +28,11 @@ def _elements(column: pa.Array) -> Iterator[tuple]:
     if not len(w.start):
         return
     h1, h2 = w.hashes(0), w.hashes(1)
-    p1, p2 = tk.prefix(h1, 0), tk.prefix(h2, 1)
-    n = len(h1) - MER + 1
-    mers = tk.ranged(p1, np.arange(max(n, 0)), np.arange(max(n, 0)) + MER, 0)
+    n = np.arange(max(len(h1) - MER + 1, 0))
+    mers = tk.hash_ranges(h1, n, n + MER, 0)
 
     def content(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tk.ranged(p1, a, b, 0), tk.ranged(p2, a, b, 1)
+        return tk.hash_ranges(h1, a, b, 0), tk.hash_ranges(h2, a, b, 1)
 
     def strings(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lo, size = w.start[a], w.end[b - 1] - w.start[a] + 1
@@ -50,11 +49,14 @@ def _judge(k: int):
         w = tk.split(np.frombuffer(b"".join(bodies), dtype=np.uint8), np.zeros(1, np.int64))
         at = np.r_[0, np.cumsum(size + k - 1)]
         keep = np.flatnonzero(sk.repeated(least))
-        element = tk.runs(at[keep], size[keep])
-        p1, p2 = tk.prefix(w.hashes(0), 0), tk.prefix(w.hashes(1), 1)
-        which = np.repeat(keep, size[keep])
+        own = tk.runs(at[keep], size[keep] + k - 1)
+        w = tk.Words(w.body, w.doc, w.start[own], w.end[own])
+        doc, tag, pos, size = doc[keep], tag[keep], pos[keep], size[keep]
+        at = np.r_[0, np.cumsum(size + k - 1)]
+        element = tk.runs(at[:-1], size)
+        which = np.repeat(np.arange(len(size)), size)
         place = pos[which] + element - at[which]
-        order, late = sk.settle(doc[which], place, tk.ranged(p1, element, element + k, 0), tk.ranged(p2, element, element + k, 1))
+        order, late = sk.settle(doc[which], place, tk.hash_ranges(w.hashes(0), element, element + k, 0), tk.hash_ranges(w.hashes(1), element, element + k, 1))
         late = order[late]
         return doc[which[late]], tag[which[late]], place[late], place[late] + k
 

@@ -27,6 +27,10 @@ SPANS = "doc_id long, tag int, begin long, end long"
 PLACE = U((1 << 24) - 1)
 
 
+#: Bytes of strings that a task gathers before it sends them, and buckets for each shuffle partition.
+HELD_BYTES, BUCKETS = 16 << 20, 8
+
+
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc_id (null: least of all), tag (a hash that tells apart texts that share an id), text."""
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.hash(F.col(text)).alias("tag"), F.col(text).alias("text"))
@@ -97,7 +101,7 @@ def packer(elements: Callable, k: int, m: int, buckets: int) -> Callable[[Iterat
     """elements(text column) yields (rows, first elements' places in their texts, offsets, m-element hashes, content hash of ranges, strings of ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        held, bodies, weight, turn = [], [], 0, 0
         for batch in shared.slices(batches, "text"):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tags = batch.column("tag").to_numpy(zero_copy_only=False)
@@ -106,30 +110,47 @@ def packer(elements: Callable, k: int, m: int, buckets: int) -> Callable[[Iterat
                 if not len(start):
                     continue
                 doc, tag, pos = ids[text], tags[text], start - at[text] + base
-                c1, c2 = content(start, start + size + k - 1)
-                order, late = settle(doc, pos, c1, c2)
+                order, late = settle(doc, pos, *content(start, start + size + k - 1))
                 gone, keep = order[late], np.sort(order[~late])
-                rows: dict[str, list] = {"bucket": [], "n": [], "meta": [], "body": []}
                 if len(gone):
                     turn += 1
-                    rows["bucket"].append(turn % buckets), rows["n"].append(-len(gone))
-                    rows["meta"].append(pack(doc[gone].astype("<i8"), tag[gone].astype("<i4"), pos[gone].astype("<i8"), (pos[gone] + size[gone] + k - 1).astype("<i8"))), rows["body"].append(b"")
+                    yield sent([turn % buckets], [-len(gone)], [pack(doc[gone].astype("<i8"), tag[gone].astype("<i4"), pos[gone].astype("<i8"), (pos[gone] + size[gone] + k - 1).astype("<i8"))], [b""])
                 spread = tk.mix(least[keep] ^ tk.M1)
-                bucket = ((spread >> U(32)) % U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                keep, bucket, spread = keep[order], bucket[order], spread[order]
                 body, ends = strings(start[keep], start[keep] + size[keep] + k - 1)
-                cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(keep)]
-                meta = (np.ascontiguousarray(doc[keep], dtype="<i8"), np.ascontiguousarray(tag[keep], dtype="<i4"), np.ascontiguousarray(pos[keep], dtype="<i8"), np.ascontiguousarray(size[keep], dtype="<u4"), np.ascontiguousarray(spread & U(0xFFFFFFFF), dtype="<u4"))
-                ends = np.r_[0, ends]
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    rows["bucket"].append(int(bucket[a])), rows["n"].append(b - a)
-                    rows["meta"].append(pack(*(x[a:b] for x in meta))), rows["body"].append(pack(body[ends[a] : ends[b]]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["n"], pa.int32()), pa.array(rows["meta"], pa.binary()), pa.array(rows["body"], pa.binary())], ["bucket", "n", "meta", "body"])
+                held.append((spread, doc[keep], tag[keep], pos[keep], size[keep], ends + weight))
+                bodies.append(body)
+                weight += len(body)
+            if weight > HELD_BYTES:
+                yield flush(held, bodies, buckets)
+                held, bodies, weight = [], [], 0
+        if held:
+            yield flush(held, bodies, buckets)
 
     return run
 
 
+def sent(bucket: list, n: list, meta: list, body: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(meta, pa.binary()), pa.array(body, pa.binary())], ["bucket", "n", "meta", "body"])
+
+
+def flush(held: list, bodies: list, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket that has super-k-mers."""
+    spread, doc, tag, pos, size, ends = (np.concatenate(x) for x in zip(*held))
+    body = np.concatenate(bodies)
+    begins = np.r_[0, ends[:-1]]
+    bucket = ((spread >> U(32)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    meta = [np.ascontiguousarray(x[order], dtype=t) for x, t in zip((doc, tag, pos, size, spread & U(0xFFFFFFFF)), META)]
+    cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(order)].tolist()
+    metas, texts = [], []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = order[a:b]
+        metas.append(pack(*(x[a:b] for x in meta)))
+        texts.append(pack(body[tk.runs(begins[own], ends[own] - begins[own])]))
+    return sent(bucket[cuts[:-1]].tolist(), np.diff(cuts).tolist(), metas, texts)
+
+
 def unpacker(judge: Callable, k: int) -> Callable[[pa.Table], pa.Table]:
     """judge(doc, tag, pos, windows, minimiser, bodies) gives doc, tag, begin, end of what also stands earlier."""
 
@@ -159,7 +180,7 @@ def removals(docs: DataFrame, elements: Callable, judge: Callable, k: int, m: in
     """doc_id, tag, spans: what each document loses, as ranges of elements. docs: what keyed() returned."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.mapInArrow(packer(elements, k, m, buckets), PACKED)
     found = packed.groupBy("bucket").applyInArrow(unpacker(judge, k), SPANS)
     return found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))

@@ -59,6 +59,20 @@ def ranged(sums: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.n
     return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U) * M1)
 
 
+def hash_ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, k: int, most: int = 1 << 18) -> np.ndarray:
+    """The hash of each values[start:end] (bytes, or hashes); start and end don't fall. The values are taken in stretches, so
+    that what is held besides them stays small."""
+    out, i = np.empty(len(start), dtype=U), 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, a + most, "right")))
+        part = values[a : int(end[j - 1])]
+        sums = prefix(_BYTE[k][part] if part.dtype == np.uint8 else part, k)
+        out[i:j] = ranged(sums, start[i:j] - a, end[i:j] - a, k)
+        i = j
+    return out
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, joined, and n + 1 offsets; null counts as empty."""
     if column.null_count:
@@ -79,9 +93,8 @@ class Words:
     start: np.ndarray
     end: np.ndarray
 
-    def hashes(self, k: int = 0, body: np.ndarray | None = None) -> np.ndarray:
-        body = self.body if body is None else body
-        return ranged(prefix(_BYTE[k][body], k), self.start, self.end, k)
+    def hashes(self, k: int = 0) -> np.ndarray:
+        return hash_ranges(self.body, self.start, self.end, k)
 
 
 def words(column: pa.Array, lower: bool = False) -> Words:
