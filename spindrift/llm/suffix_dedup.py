@@ -24,7 +24,7 @@ from . import superkmer as sk
 from . import textkit as tk
 
 U = np.uint64
-LEAST, MER = 100, 12
+LEAST, MER = 100, 24
 #: Suffixes sorted at once; minimisers aren't split between sorts.
 AT_ONCE = 100_000
 
@@ -33,7 +33,11 @@ def _mers(body: np.ndarray) -> np.ndarray:
     if len(body) < MER:
         return np.zeros(0, U)
     at = np.ndarray(shape=(len(body) - 7,), dtype="<u8", buffer=body, strides=(1,))
-    return tk.mix(at[: len(body) - MER + 1] * tk.M1 ^ at[MER - 8 :] * tk.M3)
+    n = len(body) - MER + 1
+    out = at[:n] * tk.M1
+    for j in range(8, MER - 7, 8):
+        out = (out ^ out >> U(29)) * tk.M2 + at[j : j + n] * tk.M3
+    return tk.mix(out)
 
 
 def _elements(least: int):
@@ -49,10 +53,9 @@ def _elements(least: int):
                     y = min(b, x + step + least - 1)
                     pieces.append((x - a, whole[x:y], np.r_[np.zeros(i + 1, np.int64), np.full(len(at) - 1 - i, y - x)]))
         for base, body, at in pieces:
-            sums = [tk.prefix(tk._BYTE[k][body], k) for k in range(2)]
 
-            def content(a, b, sums=sums):
-                return tk.ranged(sums[0], a, b, 0), tk.ranged(sums[1], a, b, 1)
+            def content(a, b, body=body):
+                return tk.hash_ranges(body, a, b, 0), tk.hash_ranges(body, a, b, 1)
 
             def strings(a, b, body=body):
                 return body[tk.runs(a, b - a)], np.cumsum(b - a)
@@ -126,7 +129,7 @@ def _judge(least: int):
         offsets = np.r_[0, np.cumsum(size[keep] + least - 1)]
         body = body[tk.runs(at[keep], size[keep] + least - 1)]
         doc, tag, pos, size, minimiser = (x[keep] for x in (doc, tag, pos, size, minimiser))
-        c = [tk.ranged(tk.prefix(tk._BYTE[k][body], k), offsets[:-1], offsets[1:], k) for k in range(2)]
+        c = [tk.hash_ranges(body, offsets[:-1], offsets[1:], k) for k in range(2)]
         order, late = sk.settle(doc, pos, *c)
         gone, stay = order[late], order[~late]
         found = [(doc[gone], tag[gone], pos[gone], pos[gone] + size[gone] + least - 1)]
