@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_dedup, packing, substring_dedup, suffix_dedup, url_filter
+from . import fingerprints, lm_score, near_dedup, packing, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprints.query,
         "op3_url_filter": url_filter.query,
+        "op4_lm_score": lm_score.query,
         "op5_near_dedup": near_dedup.query,
         "op8_packing": packing.query,
         "op9_substring_dedup": substring_dedup.query,
