@@ -5,7 +5,7 @@ stands for all others, whose own share follows (below). Each decision is predict
 alone, the node with the token before, and with the two before, the last two hashed into tables of 2 ** TABLE_BITS
 counters. The logits of the predictions are mixed by weights that a gate selects (depth in the tree, and how often each
 context was seen), and a calibration table refines the mixture. Weights and calibration are learnt online, each decision
-as if its own count weren't there; while a text is scored, its own copy of the weights is refined after 64, 128, 256 ...
+as if its own count weren't there; while a text is scored, its own shift of the weights is refined after 64, 192, 448 ...
 of its tokens, so that only what stands before affects a prediction.
 
 Below the common leaf, a training token of count c has (1 - u)(c + 1) / (N' + V'), N' and V' the occurrences and kinds of
@@ -39,12 +39,14 @@ FOLDS, HELD = 7, 2
 LOOKUP, LEAVES = 1 << 18, (1 << 16) - 1
 TABLE_BITS, BLOCK_BITS = 22, 16
 ORDERS = 2
-FIT = 16
+FIT = 32
 END = U(0x8F1BBCDCBFA53E0B)
 DEPTHS, SEEN = 16, 4
 GATES, INPUTS = DEPTHS * SEEN * SEEN, 4
 STEPS = 48  # calibration: cells of half a unit of logit, from -12 to 12
 PIECE = 4 << 20
+#: Tokens whose decisions are worked on at once; the arrays then fit the cache.
+CHUNK = 1 << 13
 FIRST = 64
 
 
@@ -92,13 +94,28 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.6, 0.3, 0.5, 0.0], np.float32), (GATES, 1)))
     calibration: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-12, 12, STEPS + 1, dtype=np.float32), (DEPTHS, 1)))
 
+    def __post_init__(self) -> None:
+        # where the words begin whose hashes have the same 20 high bits
+        self.first = np.searchsorted(self.words, np.arange((1 << 20) + 1, dtype=U) << U(44)) if len(self.words) else None
+        if self.first is not None:
+            self.first[-1] = len(self.words)
+        self.size = np.diff(self.code_at)
+        self.node_hash = (self.node.astype(U) + U(1)) * tk.M2
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf and count (-1: not in the table) of each token."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        here = self.words[at] == h
-        return np.where(here, self.leaf[at], len(self.code_at) - 2), np.where(here, self.c[at], -1)
+        leaf, count = np.full(len(h), len(self.size) - 1, np.int64), np.full(len(h), -1, np.int64)
+        if self.first is not None:
+            high = (h >> U(44)).astype(np.int64)
+            at, end = self.first[high], self.first[high + 1]
+            open_ = np.flatnonzero(at < end)
+            at, end = at[open_], end[open_]
+            while len(open_):
+                here = self.words[at] == h[open_]
+                leaf[open_[here]], count[open_[here]] = self.leaf[at[here]], self.c[at[here]]
+                on = ~here & (at + 1 < end)
+                open_, at, end = open_[on], at[on] + 1, end[on]
+        return leaf, count
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,24 +159,32 @@ def start(counts: DataFrame) -> Model:
     return Model(words[order], c[order], leaf[order], int(total), int(kinds), rest_total, rest_kinds, unknown, *code)
 
 
-def decisions(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray):
-    """For each decision: its token, node, bit, depth and slots in the tables."""
-    size = np.diff(m.code_at)[leaf]
-    d = tk.runs(m.code_at[leaf], size)
-    node, bit = m.node[d], m.bit[d]
-    token = np.repeat(np.arange(len(leaf)), size)
-    depth = np.minimum(d - m.code_at[leaf][token], DEPTHS - 1)
-    before = np.r_[END, h[:-1]]
+def contexts(at: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the token before each, and of the two before; beyond a text's beginning stand ends."""
+    before = np.empty_like(h)
+    before[:1], before[1:] = END, h[:-1]
     before[at[:-1]] = END
-    second = np.r_[END, before[:-1]]
+    second = np.empty_like(h)
+    second[:1], second[1:] = END, before[:-1]
     second[at[:-1]] = END
-    slots = []
-    for ctx in (tk.mix(before * tk.M1), tk.mix(tk.mix(before * tk.M3) + second * tk.M1)):
-        x = ctx[token] + (node.astype(U) + U(1)) * tk.M2
+    return [tk.mix(before * tk.M1), tk.mix(tk.mix(before * tk.M3) + second * tk.M1)]
+
+
+def decisions(m: Model, leaf: np.ndarray, ctx: list[np.ndarray]):
+    """For each decision of some tokens: its token, node, bit, depth and slots in the tables."""
+    size, begin = m.size[leaf], m.code_at[leaf]
+    d = tk.runs(begin, size)
+    token = np.repeat(np.arange(len(leaf)), size)
+    depth = np.minimum(d - begin[token], DEPTHS - 1)
+    node_hash, slots = m.node_hash[d], []
+    for c in ctx:
+        x = np.repeat(c, size)
+        x += node_hash
         x ^= x >> U(31)
         x *= tk.M3
-        slots.append((x >> U(64 - TABLE_BITS)).astype(np.int64))
-    return token, node, bit, depth, slots
+        x >>= U(64 - TABLE_BITS)
+        slots.append(x.view(np.int64))
+    return token, m.node[d], m.bit[d], depth, slots
 
 
 def _fill(model):
@@ -168,9 +193,11 @@ def _fill(model):
         any_, task = False, 0
         for batch in shared.slices(batches, "text"):
             at, h = tokens(batch.column("text"))
-            _, _, bit, _, slots = decisions(m, at, h, m.find(h)[0])
-            for k in range(ORDERS):
-                np.add.at(seen[k], slots[k] * 2 + bit, np.uint32(1))
+            leaf, ctx = m.find(h)[0], contexts(at, h)
+            for a in range(0, len(h), CHUNK):
+                _, _, bit, _, slots = decisions(m, leaf[a : a + CHUNK], [c[a : a + CHUNK] for c in ctx])
+                for k in range(ORDERS):
+                    np.add.at(seen[k], slots[k] * 2 + bit, np.uint32(1))
             any_, task = True, batch.column("task")[0].as_py()
         if any_:
             pack = zstandard.ZstdCompressor(level=1).compress
@@ -212,15 +239,21 @@ def fill(m: Model, rows: DataFrame) -> np.ndarray:
     return out.reshape(ORDERS, -1, 2)
 
 
+#: The logit in each of the tables' entries.
+LOGIT = (((np.arange(1 << 16) >> 8) - 128) * (12 / 127)).astype(np.float32)
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
 def inputs(m: Model, node: np.ndarray, depth: np.ndarray, slots: list[np.ndarray], tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The logits of the three predictions, and the gate of each decision. tables: the quantised entries at the slots."""
-    seen = [(t & 255).astype(np.int64) for t in tables]
-    logits = [m.node_logit[node], *(((t >> 8).astype(np.float32) - np.float32(128)) * np.float32(12 / 127) for t in tables)]
-    return logits, (depth * SEEN + seen[0]) * SEEN + seen[1]
+    logits = [m.node_logit[node], *(LOGIT[t] for t in tables)]
+    gate = depth * (SEEN * SEEN)
+    gate += (tables[0] & 255) * np.uint16(SEEN)
+    gate += tables[1] & 255
+    return logits, gate
 
 
 def _learn(model):
@@ -232,7 +265,7 @@ def _learn(model):
         for batch in shared.slices(batches, "text"):
             any_ = True
             at, h = tokens(batch.column("text"))
-            _, node, bit, depth, slots = decisions(m, at, h, m.find(h)[0])
+            _, node, bit, depth, slots = decisions(m, m.find(h)[0], contexts(at, h))
             entries = []
             for k in range(ORDERS):
                 n = raw[k][slots[k]].astype(np.int64)
@@ -280,36 +313,54 @@ def learn(m: Model, raw: np.ndarray, rows: DataFrame) -> None:
 def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Bits of each text's decisions."""
     n = len(at) - 1
-    out = np.zeros(n)
-    token, node, bit, depth, slots = decisions(m, at, h, leaf)
-    logits, gate = inputs(m, node, depth, slots, [m.tables[k][slots[k]] for k in range(ORDERS)])
-    text = tk.owner(at)[token]
-    place = token - at[text]
+    out, text = np.zeros(n), tk.owner(at)
     # stretches of tokens between refinements: [0, 64), [64, 192), ...
-    stage = np.log2(place // FIRST + 1).astype(np.int64)
-    own = None
-    for s in range(int(stage.max()) + 1 if len(stage) else 0):
-        pick = np.flatnonzero(stage == s)
-        t, g, x = text[pick], gate[pick], [y[pick] for y in logits]
-        v = m.weights[g]
-        if own is not None:
-            v = v + own[t, depth[pick]]
-        mixed = np.clip(v[:, 0] * x[0] + v[:, 1] * x[1] + v[:, 2] * x[2] + v[:, 3], -12, 12)
-        cell = (mixed + np.float32(12)) * np.float32(STEPS / 24)
-        low = np.minimum(cell.astype(np.int64), STEPS - 1)
-        part = cell - low
-        d = depth[pick]
-        fine = m.calibration[d, low] * (1 - part) + m.calibration[d, low + 1] * part
-        final = (mixed + fine) / 2
-        b = bit[pick]
-        out += np.bincount(t, weights=np.logaddexp(0, np.where(b == 1, -final, final)), minlength=n)
-        if s < stage.max():
-            own = np.zeros((n, DEPTHS, INPUTS), np.float32) if own is None else own
-            error = b - squash(mixed)
-            cell = t * DEPTHS + d
-            count = np.bincount(cell, minlength=n * DEPTHS)
-            for i, y in enumerate([*x, np.ones(len(t), np.float32)]):
-                own[:, :, i] += (0.3 * np.bincount(cell, weights=error * y, minlength=n * DEPTHS) / (count + 30)).reshape(n, DEPTHS)
+    stage = np.log2((np.arange(len(h)) - at[text]) // FIRST + 1).astype(np.int8)
+    order = np.argsort(stage, kind="stable")
+    stages = np.searchsorted(stage[order], np.arange(int(stage.max()) + 2 if len(h) else 1))
+    text, leaf, ctx = text[order], leaf[order], [c[order] for c in contexts(at, h)]
+    own = np.zeros((INPUTS, n), np.float32)
+    weights = np.ascontiguousarray(m.weights.T)
+    flat = m.calibration.ravel()
+    for s, (lo, hi) in enumerate(zip(stages[:-1].tolist(), stages[1:].tolist())):
+        last = s == len(stages) - 2
+        gradient, count = np.zeros((INPUTS, n)), np.zeros(n)
+        for a in range(lo, hi, CHUNK):
+            b = min(a + CHUNK, hi)
+            token, node, bit, depth, slots = decisions(m, leaf[a:b], [c[a:b] for c in ctx])
+            x, gate = inputs(m, node, depth, slots, [m.tables[k][slots[k]] for k in range(ORDERS)])
+            t = text[a:b][token]
+            mixed = weights[3][gate]
+            if s:
+                mixed += own[3][t]
+            for i, y in enumerate(x):
+                w = weights[i][gate]
+                if s:
+                    w += own[i][t]
+                w *= y
+                mixed += w
+            np.clip(mixed, -12, 12, out=mixed)
+            cell = (mixed + np.float32(12)) * np.float32(STEPS / 24)
+            low = np.minimum(cell.astype(np.int32), STEPS - 1)
+            cell -= low
+            low += depth * (STEPS + 1)
+            lower = flat[low]
+            final = lower + cell * (flat[low + 1] - lower)
+            final += mixed
+            final *= (np.float32(0.5) - bit).astype(np.float32)  # half, and with the sign of what didn't happen
+            cost = np.exp(final, out=final)
+            cost += np.float32(1)
+            np.log(cost, out=cost)
+            starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            who = t[starts]
+            out[who] += np.add.reduceat(cost, starts, dtype=np.float64)
+            if not last:
+                error = bit - 1 / (1 + np.exp(-mixed))
+                gradient[3, who] += np.add.reduceat(error, starts)
+                count[who] += np.diff(np.r_[starts, len(t)])
+                for i, y in enumerate(x):
+                    gradient[i, who] += np.add.reduceat(error * y, starts)
+        own += (0.3 * gradient / (count + 200)).astype(np.float32)
     return out / np.log(2)
 
 
@@ -319,35 +370,24 @@ def _score(model):
         for batch in shared.slices(batches, "text"):
             at, h = tokens(batch.column("text"))
             leaf, c = m.find(h)
-            known, rest = c >= 0, (c >= 0) & (leaf == len(m.code_at) - 2)
+            known, rest = c >= 0, (c >= 0) & (leaf == len(m.size) - 1)
             text = tk.owner(at)
             add = lambda pick, value: np.bincount(text[pick], weights=value, minlength=len(at) - 1)
             logs = np.log10(np.maximum(c, 0) + 1.0)
-            columns = {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_tokens": pa.array(np.diff(at)), "known": pa.array(add(known, None).astype(np.int64)), "logs": pa.array(add(known, logs[known])), "rest": pa.array(add(rest, None).astype(np.int64)), "rest_logs": pa.array(add(rest, logs[rest])), "bits": pa.array(text_bits(m, at, h, leaf)), "n_bytes": pa.array(shared.lengths(batch.column("text")))}
+            # tokens that the table lacks, once for each text, with their number
+            lack = np.flatnonzero(~known)
+            own, rare = text[lack], h[lack]
+            order = np.lexsort((rare, own))
+            own, rare = own[order], rare[order]
+            first = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (own[1:] != own[:-1])]) if len(rare) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(rare)]).astype(np.int32)
+            edges = pa.array(np.searchsorted(own[first], np.arange(len(at))).astype(np.int32))
+            columns = {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_tokens": pa.array(np.diff(at)), "known": pa.array(add(known, None).astype(np.int64)), "logs": pa.array(add(known, logs[known])), "rest": pa.array(add(rest, None).astype(np.int64)), "rest_logs": pa.array(add(rest, logs[rest])), "bits": pa.array(text_bits(m, at, h, leaf)), "n_bytes": pa.array(shared.lengths(batch.column("text"))), "rare": pa.ListArray.from_arrays(edges, pa.array(rare[first].view(np.int64))), "times": pa.ListArray.from_arrays(edges, pa.array(times))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def _rare(model):
-    """Tokens that the table lacks, once for each document, with their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in shared.slices(batches, "text"):
-            at, h = tokens(batch.column("text"))
-            pick = np.flatnonzero(m.find(h)[1] < 0)
-            text, h = tk.owner(at)[pick], h[pick]
-            order = np.lexsort((h, text))
-            text, h = text[order], h[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[first, len(h)])
-            take = pa.array(text[first])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(h[first].view(np.int64)), pa.array(times.astype(np.int32))], ["doc_id", "tag", "token", "times"])
-
-    return run
-
-
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte of each document."""
     spark = docs.sparkSession
@@ -363,11 +403,15 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     m.tables = np.stack([quantised(raw[k][:, 0], raw[k][:, 1]) for k in range(ORDERS)])
     del raw
     model = spark.sparkContext.broadcast(m)
-    each = rows.select("doc_id", "tag", "text").mapInArrow(_score(model), "doc_id long, tag int, n_tokens long, known long, logs double, rest long, rest_logs double, bits double, n_bytes long")
-    rare = rows.select("doc_id", "tag", "text").mapInArrow(_rare(model), "doc_id long, tag int, token long, times int").distinct()
+    each = rows.select("doc_id", "tag", "text").mapInArrow(_score(model), "doc_id long, tag int, n_tokens long, known long, logs double, rest long, rest_logs double, bits double, n_bytes long, rare array<long>, times array<int>")
+    each = shared.table(each)
+    # equal rows lack the same tokens: their sums are shared out among them
+    copies = each.groupBy("doc_id", "tag").agg(F.count("*").alias("copies"))
+    rare = each.select("doc_id", "tag", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("doc_id", "tag", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     found = rare.join(counts, "token", "left").groupBy("doc_id", "tag").agg(F.sum("times").alias("lacking"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("times") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("more_logs"))
+    found = found.join(copies, ["doc_id", "tag"]).select("doc_id", "tag", *(F.expr(f"{c} div copies").alias(c) for c in ("lacking", "more")), (F.col("more_logs") / F.col("copies")).alias("more_logs"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    joined = each.join(found, ["doc_id", "tag"], "left").select("*", zero("lacking").alias("l"), zero("more").alias("k"), F.coalesce("more_logs", F.lit(0.0)).alias("kl"))
+    joined = each.drop("rare", "times").join(found, ["doc_id", "tag"], "left").select("*", zero("lacking").alias("l"), zero("more").alias("k"), F.coalesce("more_logs", F.lit(0.0)).alias("kl"))
     base = F.col("logs") + F.col("kl") - F.col("n_tokens") * F.log10(F.lit(float(m.total + m.kinds + 1)))
     share = float(np.log10((1 - m.unknown) / max(m.rest_total + m.rest_kinds, 1))) if m.unknown < 1 else 0.0
     own = F.col("rest_logs") + F.col("kl") + (F.col("rest") + F.col("k")) * share + (F.col("l") - F.col("k")) * float(np.log10(m.unknown))
