@@ -147,3 +147,28 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, end = begin[order], np.maximum.accumulate(end[order])
     first = np.r_[True, begin[1:] > end[:-1]]
     return begin[first], end[np.r_[np.flatnonzero(first)[1:] - 1, len(end) - 1]]
+
+
+class Index:
+    """Finds 64-bit keys among distinct ones: the ones are ordered by a hash, and looked up by its 20 high bits."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        hashed = mix(keys * M1)
+        self.order = np.argsort(hashed)
+        self.keys = keys[self.order]
+        self.first = np.searchsorted(hashed[self.order], np.arange(1 << 20, dtype=U) << U(44))
+        self.first = np.r_[self.first, len(keys)]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each in the keys given at first, or -1."""
+        out = np.full(len(wanted), -1, np.int64)
+        high = (mix(wanted * M1) >> U(44)).astype(np.int64)
+        at, end = self.first[high], self.first[high + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        while len(open_):
+            here = self.keys[at] == wanted[open_]
+            out[open_[here]] = self.order[at[here]]
+            on = ~here & (at + 1 < end)
+            open_, at, end = open_[on], at[on] + 1, end[on]
+        return out
