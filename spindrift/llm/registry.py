@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, lm_score, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_filter
+from . import decontaminate, fingerprints, lm_score, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": url_filter.query,
         "op4_lm_score": lm_score.query,
         "op5_near_dedup": near_dedup.query,
+        "op6_secrets": secrets.query,
         "op7_decontaminate": decontaminate.query,
         "op8_packing": packing.query,
         "op9_substring_dedup": substring_dedup.query,
