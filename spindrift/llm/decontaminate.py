@@ -226,6 +226,7 @@ def _search(space):
                     pairs.setdefault((int(of[w]), int(s.of[j])), []).append((int(first[w] - blocks[of[w]]), float(cos[i, j])))
             out = []
             ids = batch.column("doc_id").to_pylist() if pairs else []
+            tags = batch.column("tag").to_pylist() if pairs else []
             for (d, n), hits in pairs.items():
                 item, best = s.items[n], None
                 hits.sort()
@@ -237,23 +238,24 @@ def _search(space):
                     best = max(best, got) if best else got
                 share, cos, lo, hi = best
                 answer = _has(h[at[d] + lo : at[d] + hi].tolist(), item.answer)
-                out.append((ids[d], item.item_id, cos, share, answer, share >= COPY or share >= PARAPHRASE and answer, lo, hi))
+                out.append((ids[d], tags[d], item.item_id, cos, share, answer, share >= COPY or share >= PARAPHRASE and answer, lo, hi))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["doc_id", "item_id", "cosine", "common", "answer", "leak", "first_word", "last_word"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["doc_id", "tag", "item_id", "cosine", "common", "answer", "leak", "first_word", "last_word"])
 
     return run
 
 
-FOUND = "doc_id long, item_id long, cosine double, common double, answer boolean, leak boolean, first_word long, last_word long"
+FOUND = "doc_id long, tag int, item_id long, cosine double, common double, answer boolean, leak boolean, first_word long, last_word long"
 
 
 def candidates(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
-    """doc_id, item_id, cosine, common (share of the item's words in order), answer, leak, first_word, last_word (the region) of
+    """doc_id, tag (hash of the text), item_id, cosine, common (share of the item's words in order), answer, leak, first_word, last_word (the region) of
     each document and item that the retrieval brings together. answer: the benchmark's column of answers, if it has one."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("tag", F.hash("text"))
     items = read_items(benchmark, item_id, item_text, answer)
     if not items:
         return spark.createDataFrame([], FOUND)
@@ -266,4 +268,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tag")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a leak, with all their columns."""
+    return shared.without(docs, leaks(docs, benchmark).select("doc_id", "tag"))

@@ -188,5 +188,24 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     return each.select(null("doc_id"), null("class_id"), "class_size", "n_links", F.col("node").alias("text_md5"))
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The documents (doc_id, text and all other columns) less all but one of each class: the least id stays, of several
+    texts with that id the one of the least hash, of equal rows one."""
+    found = shared.table(classes(docs, **options))
+    head = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_md5"))).alias("head"))
+    each = found.groupBy("doc_id", "class_id", "text_md5").agg(F.count("*").alias("rows"))
+    each = each.join(head, each["class_id"].eqNullSafe(head["class_id"])).drop(head["class_id"])
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("head"))
+    out = shared.table(each.select(F.col("doc_id").alias("own_id"), "text_md5", stays.alias("stays"), "rows").where("not stays or rows > 1"))
+    md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    same = lambda x: docs["doc_id"].cast("long").eqNullSafe(x["own_id"]) & (md5 == x["text_md5"])
+    listed = shared.sized(out, 16 << 20)
+    kept = docs.join(listed, same(listed), "left_anti")
+    again = out.where("stays")
+    if not again.limit(1).count():
+        return kept
+    return kept.union(docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import decontaminate, fingerprints, lm_score, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup, url_filter
 
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.query,
         "op9_substring_dedup": substring_dedup.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

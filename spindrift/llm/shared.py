@@ -79,3 +79,10 @@ def lengths(column: pa.Array):
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype("int64")
+
+
+def without(docs: DataFrame, bad: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs less those of bad: doc_id and tag, the hash of the text (null: empty), which tells apart texts that share an id."""
+    bad = sized(table(bad.select(F.col("doc_id").alias("bad_id"), F.col("tag").alias("bad_tag")).distinct()), 16 << 20)
+    tag = F.hash(F.coalesce(F.col(text), F.lit("")))
+    return docs.join(bad, (F.col(doc_id).cast("long").eqNullSafe(F.col("bad_id"))) & (tag == F.col("bad_tag")), "left_anti")
