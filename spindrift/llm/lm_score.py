@@ -372,7 +372,8 @@ def _score(model):
             leaf, c = m.find(h)
             known, rest = c >= 0, (c >= 0) & (leaf == len(m.size) - 1)
             text = tk.owner(at)
-            add = lambda pick, value: np.bincount(text[pick], weights=value, minlength=len(at) - 1)
+            # of no tokens, bincount gives integers
+            add = lambda pick, value: np.bincount(text[pick], weights=value, minlength=len(at) - 1).astype(np.float64)
             logs = np.log10(np.maximum(c, 0) + 1.0)
             # tokens that the table lacks, once for each text, with their number
             lack = np.flatnonzero(~known)

@@ -129,7 +129,8 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
-    """doc_id, class_id, class_size, n_links (links found of its text) and text_sha (which text it is) of each document."""
+    """doc_id, class_id, class_size, n_links (links found of its text), text_md5 and class_md5 (the least of its class: where
+    ids repeat, it tells classes apart) of each document."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     k = bands * depth
@@ -185,17 +186,17 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     heads = of.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
     each = signed.select("node", "doc_id").join(of.select("node", "label", "n_links").join(heads, "label"), "node")
     null = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias(c)
-    return each.select(null("doc_id"), null("class_id"), "class_size", "n_links", F.col("node").alias("text_md5"))
+    return each.select(null("doc_id"), null("class_id"), "class_size", "n_links", F.col("node").alias("text_md5"), F.col("label").alias("class_md5"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The documents (doc_id, text and all other columns) less all but one of each class: the least id stays, of several
     texts with that id the one of the least hash, of equal rows one."""
     found = shared.table(classes(docs, **options))
-    head = found.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("text_md5"))).alias("head"))
-    each = found.groupBy("doc_id", "class_id", "text_md5").agg(F.count("*").alias("rows"))
-    each = each.join(head, each["class_id"].eqNullSafe(head["class_id"])).drop(head["class_id"])
-    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_md5") == F.col("head"))
+    own = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    head = found.groupBy("class_md5").agg(F.min(F.when(own, F.col("text_md5"))).alias("head"))
+    each = found.groupBy("doc_id", "class_id", "class_md5", "text_md5").agg(F.count("*").alias("rows")).join(head, "class_md5")
+    stays = own & (F.col("text_md5") == F.col("head"))
     out = shared.table(each.select(F.col("doc_id").alias("own_id"), "text_md5", stays.alias("stays"), "rows").where("not stays or rows > 1"))
     md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     same = lambda x: docs["doc_id"].cast("long").eqNullSafe(x["own_id"]) & (md5 == x["text_md5"])
