@@ -5,15 +5,434 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import attribution, detect, recall, rollup, stats
+from ..sources import adapters
+from . import dsl
+from .oracle import BASE, RULES
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+PRICES = adapters.PRICES
+LIMITS = {"min_traces": 5, "failure_rate": 0.5, "avg_latency": 600, "p95_latency": 1500, "tokens": 1e6, "spend": 4.0, "breaches": 10}
+NOW_US = 1_706_745_600_000_000  # 2024-02-01
+MIDDLE_US = 1_705_449_600_000_000  # 2024-01-17
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = adapters.steps(spark, d)
+    return s, adapters.traces(s)
+
+
+def verdict(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s, t = both(spark, d)
+    return attribution.verdicts(detect.run_rules(s, t, cycles=False), t), s
+
+
+# sources and the expression language
+
+
+@query("scan_steps", BASE + "SELECT trace_id, step_index, kind, tool, args_canon, fingerprint, tokens, latency_ms, error, agent, is_verify, mutating FROM steps")
+def _(spark, d):
+    return adapters.steps(spark, d).select("trace_id", "step_index", "kind", "tool", "args_canon", "fingerprint", "tokens", "latency_ms", "error", "agent", "is_verify", "mutating")
+
+
+@query("scan_traces", BASE + "SELECT trace_id, store, task, model, success, created_us, n_steps, tokens, duration, breached FROM traces")
+def _(spark, d):
+    return both(spark, d)[1].select("trace_id", "store", "task", "model", "success", "created_us", "n_steps", "tokens", "duration", "breached")
+
+
+def select(spark: SparkSession, d: str, expression: str) -> DataFrame:
+    s, t = both(spark, d)
+    return dsl.enriched(s, t).where(dsl.compile_expression(expression, now=NOW_US / 1e6)).select("trace_id")
+
+
+FIELDS = """,
+f AS (SELECT t.trace_id, t.task, t.model, t.success, t.created_us / 1e6 AS created, t.n_steps AS steps, t.tokens, t.duration,
+        coalesce(max(CASE WHEN s.kind = 'tool_call' AND s.latency_ms > 0 THEN s.latency_ms END), 0) AS max_latency, count(s.error) AS errors,
+        list(DISTINCT s.tool) FILTER (WHERE s.tool IS NOT NULL) AS tools, list(DISTINCT s.agent) FILTER (WHERE s.agent IS NOT NULL) AS agents,
+        list(s.tool) FILTER (WHERE s.kind = 'tool_call' AND s.error IS NOT NULL) AS failed_tools
+      FROM traces t JOIN steps s USING (trace_id) GROUP BY ALL)
+"""
+for _name, _expr, _where in [
+    ("query_success_and_steps", "success == false and steps > 12", "success = false AND steps > 12"),
+    ("query_unknown_outcome", "success == none or not (success != true)", "success IS NULL OR success IS NOT DISTINCT FROM true"),
+    ("query_tools_contains", "tools contains ['get_item', 'call_api'] and not tools contains 'create_account'", "list_has_all(tools, ['get_item', 'call_api']) AND NOT list_contains(tools, 'create_account')"),
+    ("query_tools_overlap", "tools in ['create_account', 'nothing'] or agents in ['agent-7']", "list_has_any(tools, ['create_account', 'nothing']) OR list_has_any(coalesce(agents, []), ['agent-7'])"),
+    ("query_failed_tools", "failed_tools contains 'call_api' and errors >= 3", "coalesce(list_contains(failed_tools, 'call_api'), false) AND errors >= 3"),
+    ("query_max_latency", "max_latency > 2000 or duration < 3000", "max_latency > 2000 OR duration < 3000"),
+    ("query_created_window", "created >= 3w ago and created < 1w ago", "created >= 1706745600 - 3 * 604800 AND created < 1706745600 - 604800"),
+    ("query_text", "task matches 'user 1[0-9]+$' and (model startswith 'm' and not model endswith '2')", "regexp_matches(task, 'user 1[0-9]+$') AND model LIKE 'm%' AND NOT model LIKE '%2'"),
+    ("query_mixed_types", "task < 5 or tokens >= 'x' or tools == 'get_item' or steps == 7", "steps = 7"),
+]:
+    query(_name, BASE + FIELDS + f"SELECT trace_id FROM f WHERE {_where}")(lambda spark, d, e=_expr: select(spark, d, e))
+
+
+@query("query_stats", BASE + "SELECT count(*) AS traces, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, avg(n_steps) AS mean_steps, avg(tokens) AS mean_tokens FROM traces WHERE n_steps > 5")
+def _(spark, d):
+    s, t = both(spark, d)
+    rows = dsl.enriched(s, t).where(dsl.compile_expression("steps > 5", now=0.0))
+    return rows.agg(F.count("*").alias("traces"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("failed"), F.avg("steps").alias("mean_steps"), F.avg("tokens").alias("mean_tokens"))
+
+
+# rollups
+
+_P95 = """,
+ranked_{v} AS (SELECT subject, {v}, row_number() OVER (PARTITION BY subject ORDER BY {v}) - 1 AS rn, CAST(round_even(0.95 * (count(*) OVER (PARTITION BY subject) - 1), 0) AS BIGINT) AS at_ FROM sub WHERE {v} > 0),
+p_{v} AS (SELECT subject, {v} AS p FROM ranked_{v} WHERE rn = at_)"""
+
+
+def _card(subject: str) -> str:
+    return BASE + f""", sub AS (SELECT *, {subject} AS subject FROM steps WHERE {subject} IS NOT NULL)""" + _P95.format(v="latency_ms") + _P95.format(v="tokens") + """,
+card AS (SELECT s.subject, count(DISTINCT s.trace_id) AS traces, count(*) AS steps, count(*) FILTER (s.kind = 'tool_call') AS tool_calls, CAST(sum(s.tokens) AS BIGINT) AS tokens, count(s.error) AS errors,
+  count(DISTINCT s.trace_id) FILTER (t.success = false) AS failed_traces, count(DISTINCT s.trace_id) FILTER (t.breached) AS breached_traces, CAST(sum(length(s.result)) AS BIGINT) AS result_chars,
+  count(DISTINCT s.trace_id) FILTER (t.success = false) / count(DISTINCT s.trace_id) AS failure_rate, any_value(a.p) AS p95_ms, any_value(b.p) AS p95_tokens
+FROM sub s JOIN traces t USING (trace_id) LEFT JOIN p_latency_ms a ON a.subject = s.subject LEFT JOIN p_tokens b ON b.subject = s.subject GROUP BY s.subject)
+"""
+
+
+@query("agent_scorecard", _card("coalesce(agent, 'unattributed')") + "SELECT * FROM card")
+def _(spark, d):
+    return rollup.scorecard(*both(spark, d), "agent")
+
+
+@query("tool_scorecard", _card("tool") + "SELECT * FROM card")
+def _(spark, d):
+    return rollup.scorecard(*both(spark, d), "tool")
+
+
+_LETTER = "CASE WHEN {0} <= 0.05 THEN 'A' WHEN {0} <= 0.15 THEN 'B' WHEN {0} <= 0.30 THEN 'C' WHEN {0} <= 0.50 THEN 'D' ELSE 'F' END"
+_POINT = "CASE {0} WHEN 'A' THEN 4.0 WHEN 'B' THEN 3.0 WHEN 'C' THEN 2.0 WHEN 'D' THEN 1.0 ELSE 0.0 END"
+
+
+@query("grades", _card("tool") + f""", g AS (SELECT *, {_LETTER.format('failure_rate')} AS reliability, CASE WHEN coalesce(nullif(tool_calls, 0), steps) > 0 THEN {_LETTER.format('errors / coalesce(nullif(tool_calls, 0), steps)')} END AS discipline,
+  CASE WHEN breached_traces <= 0 THEN 'A' ELSE 'F' END AS budget FROM card),
+h AS (SELECT *, 0.5 * {_POINT.format('reliability')} + 0.25 * {_POINT.format('budget')} + 0.25 * {_POINT.format('discipline')} AS m FROM g)
+SELECT subject, traces, CASE WHEN traces < 2 THEN 'n/a' WHEN m >= 3.5 THEN 'A' WHEN m >= 3 THEN 'B' WHEN m >= 2.5 THEN 'C' WHEN m >= 2 THEN 'D' ELSE 'F' END AS grade,
+  CASE WHEN traces >= 2 THEN reliability END AS reliability, CASE WHEN traces >= 2 THEN discipline END AS discipline, CASE WHEN traces >= 2 THEN budget END AS budget FROM h""")
+def _(spark, d):
+    return rollup.grades(rollup.scorecard(*both(spark, d), "tool"))
+
+
+@query("failure_trend", BASE + """, b AS (SELECT *, (created_us - min(created_us) OVER ()) // 604800000000 AS bucket, min(created_us) OVER () AS since FROM traces)
+SELECT bucket, strftime(make_timestamp(any_value(since) + bucket * 604800000000), '%Y-%m-%d') AS label, count(*) AS total, count(*) FILTER (success = false) AS failed, count(*) FILTER (success = false) / count(*) AS rate FROM b GROUP BY bucket""")
+def _(spark, d):
+    return rollup.trend(both(spark, d)[1])
+
+
+@query("spend_by_model", BASE + """SELECT t.model, count(*) AS traces, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(any_value(rate) AS DOUBLE) AS rate, sum(tokens) / 1000 * CAST(any_value(rate) AS DOUBLE) AS est_cost,
+CASE WHEN any_value(rate) IS NULL THEN CAST(sum(tokens) AS BIGINT) ELSE 0 END AS unpriced_tokens FROM traces t LEFT JOIN prices p ON p.model = t.model GROUP BY t.model""")
+def _(spark, d):
+    return rollup.spend_by_model(both(spark, d)[1], PRICES)
+
+
+@query("ci_gates", BASE + """, v AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM traces) AS min_traces, (SELECT count(*) FILTER (success = false) / count(*) FROM traces) AS failure_rate, (SELECT avg(latency_ms) FROM steps) AS avg_latency,
+  (SELECT CAST(latency_ms AS DOUBLE) FROM (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS rn, round_even(0.95 * (count(*) OVER () - 1), 0) AS at_ FROM steps) WHERE rn = at_) AS p95_latency,
+  (SELECT CAST(sum(tokens) AS DOUBLE) FROM traces) AS tokens, (SELECT sum(tokens / 1000 * CAST(rate AS DOUBLE)) FROM traces JOIN prices USING (model)) AS spend, (SELECT CAST(count(*) FILTER (breached) AS DOUBLE) FROM traces) AS breaches),
+w AS (SELECT unnest(['min_traces', 'failure_rate', 'avg_latency', 'p95_latency', 'tokens', 'spend', 'breaches']) AS gate, unnest([min_traces, failure_rate, avg_latency, p95_latency, tokens, spend, breaches]) AS value,
+  unnest(CAST([5, 0.5, 600, 1500, 1e6, 4.0, 10] AS DOUBLE[])) AS threshold FROM v)
+SELECT *, CASE WHEN gate = 'min_traces' THEN value >= threshold ELSE value <= threshold END AS ok FROM w""")
+def _(spark, d):
+    s, t = both(spark, d)
+    return rollup.ci_gates(t, s, PRICES, LIMITS)
+
+
+@query("week_compare", BASE + """, w AS (SELECT date_trunc('week', make_timestamp(created_us)) AS wk, count(*) AS traces, count(*) FILTER (success = false) AS failures, CAST(sum(tokens) AS BIGINT) AS tokens FROM traces GROUP BY 1)
+SELECT strftime(a.wk, '%Y-%m-%d') AS week, a.traces, a.failures, a.tokens, b.traces AS prev_traces, b.failures AS prev_failures, (a.failures - b.failures) / nullif(b.failures, 0) AS delta FROM w a LEFT JOIN w b ON b.wk + INTERVAL 7 DAY = a.wk""")
+def _(spark, d):
+    return rollup.week_compare(both(spark, d)[1])
+
+
+@query("retention_plan", BASE + f""", a AS (SELECT *, greatest(0, ({NOW_US} - created_us) / 86400000000.0) AS age FROM traces)
+SELECT trace_id, CASE WHEN success IS NOT TRUE AND age < 20 THEN 'failure_young' WHEN success AND age < 10 THEN 'fresh' WHEN breached THEN 'protected_breached' WHEN annotated THEN 'protected_annotated'
+  WHEN success IS NOT TRUE THEN 'failure past 20d' ELSE 'success past 10d' END AS fate FROM a""")
+def _(spark, d):
+    return rollup.retention_plan(both(spark, d)[1], NOW_US, 10, 20)
+
+
+@query("multistore_dedupe", BASE + """, u AS (SELECT user_id AS trace_id, 'a' || CAST(n_steps % 3 AS VARCHAR) AS content, CAST(substr(store, 7) AS BIGINT) * 10000000 + created_us // 100000000 % 10000000 AS store_order FROM traces)
+SELECT trace_id, arg_min(content, (store_order, content)) AS content, min(store_order) AS store_order, count(DISTINCT content) > 1 AS diverged FROM u GROUP BY trace_id""")
+def _(spark, d):
+    t = both(spark, d)[1]
+    rows = t.select(F.col("user_id").alias("trace_id"), F.concat(F.lit("a"), (F.col("n_steps") % 3).cast("string")).alias("content"), (F.substring("store", 7, 9).cast("long") * 10_000_000 + F.expr("created_us div 100000000 % 10000000")).alias("store_order"))
+    return rollup.multistore(rows)
+
+
+# rules, one query each
+
+_RULES = {
+    "repeat": ("r_repeat", lambda s, t: detect.repeat(s)), "long_loop": ("r_long", lambda s, t: detect.long_loop(s, t)), "reset": ("r_reset", lambda s, t: detect.reset(s)),
+    "premature": ("r_early", lambda s, t: detect.premature(t)), "missing_verify": ("r_unverified", lambda s, t: detect.missing_verify(s)), "weak_verify": ("r_weak", lambda s, t: detect.weak_verify(s)),
+    "intent_mismatch": ("r_mismatch", lambda s, t: detect.intent_mismatch(s)), "derail": ("r_derail", lambda s, t: detect.derail(s)), "forbidden": ("r_forbidden", detect.forbidden),
+    "clarify": ("r_clarify", lambda s, t: detect.clarify(s)), "withhold": ("r_withhold", lambda s, t: detect.withhold(s)), "ignored": ("r_ignored", lambda s, t: detect.ignored(s)),
+    "role": ("r_role", detect.role), "lost_reference": ("r_lost", lambda s, t: detect.lost_reference(s)),
+}
+for _name, (_cte, _f) in _RULES.items():
+    query(f"detect_{_name}", BASE + RULES + f"SELECT mode_id, rule, trace_id, CAST(step_index AS BIGINT) AS step_index, CAST(confidence AS DOUBLE) AS confidence FROM {_cte}")(lambda spark, d, f=_f: f(*both(spark, d)))
+
+
+@query("detect_cycle")
+def _(spark, d):
+    return detect.cycle(adapters.steps(spark, d))
+
+
+@query("run_rules", BASE + RULES + "SELECT mode_id, count(*) AS traces, min(confidence) AS least, max(confidence) AS most FROM detections GROUP BY mode_id")
+def _(spark, d):
+    return detect.run_rules(*both(spark, d), cycles=False).groupBy("mode_id").agg(F.count("*").alias("traces"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+
+
+@query("attribute", BASE + RULES + "SELECT trace_id, success, primary_mode FROM verdicts")
+def _(spark, d):
+    return verdict(spark, d)[0].select("trace_id", "success", "primary_mode")
+
+
+@query("fusion_scores", BASE + RULES + "SELECT trace_id, mode_id, round(score, 6) AS score, confidence FROM fused")
+def _(spark, d):
+    return attribution.fused(detect.run_rules(*both(spark, d), cycles=False)).select("trace_id", "mode_id", F.round("score", 6).alias("score"), "confidence")
+
+
+@query("store_stats", BASE + RULES + "SELECT store, count(*) AS traces, count(*) FILTER (success = false) AS failures, count(*) FILTER (success = false AND primary_mode = 'OTHER') AS unattributed, avg(n_steps) AS avg_steps, count(*) FILTER (breached) AS breached, CAST(sum(tokens) AS BIGINT) AS tokens FROM verdicts GROUP BY store")
+def _(spark, d):
+    return rollup.store_stats(verdict(spark, d)[0])
+
+
+@query("fleet_top_modes", BASE + RULES + "SELECT store, primary_mode AS mode_id, count(*) AS failures, row_number() OVER (PARTITION BY store ORDER BY count(*) DESC, primary_mode) AS rank FROM verdicts WHERE success = false AND primary_mode <> 'OTHER' GROUP BY store, primary_mode QUALIFY rank <= 3")
+def _(spark, d):
+    return rollup.top(rollup.mode_counts(verdict(spark, d)[0]), "store", "failures", "mode_id", 3).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("clusters", BASE + RULES + """, tl AS (SELECT trace_id, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM steps WHERE kind = 'tool_call' GROUP BY trace_id)
+SELECT primary_mode AS mode_id, coalesce(tools, '') AS tools, count(*) AS size, arg_min(task, (created_us, trace_id)) AS example FROM verdicts LEFT JOIN tl USING (trace_id) WHERE success = false AND primary_mode <> 'OTHER' GROUP BY 1, 2""")
+def _(spark, d):
+    return attribution.clusters(*verdict(spark, d))
+
+
+@query("deployment_compare", BASE + RULES + f"""SELECT primary_mode AS mode_id, count(*) FILTER (created_us < {MIDDLE_US}) AS before, count(*) FILTER (created_us >= {MIDDLE_US}) AS after,
+CASE WHEN count(*) FILTER (created_us < {MIDDLE_US}) = 0 THEN 'new' WHEN count(*) FILTER (created_us >= {MIDDLE_US}) = 0 THEN 'gone' ELSE 'both' END AS status FROM verdicts WHERE success = false AND primary_mode <> 'OTHER' GROUP BY 1""")
+def _(spark, d):
+    return rollup.compare(verdict(spark, d)[0], F.col("created_us") < MIDDLE_US)
+
+
+@query("triage", BASE + RULES + """, ag AS (SELECT trace_id, count(DISTINCT agent) AS agents FROM steps GROUP BY trace_id),
+f AS (SELECT v.*, agents FROM verdicts v JOIN ag USING (trace_id) WHERE success = false),
+g AS (SELECT trace_id, CASE primary_mode WHEN 'OTHER' THEN 'unattributed' ELSE primary_mode END AS mode, annotated, 1.0::DOUBLE / row_number() OVER (PARTITION BY primary_mode ORDER BY created_us, trace_id) AS novelty,
+  tokens / greatest(max(tokens) OVER (), 1) AS cost, agents / greatest(max(agents) OVER (), 1) AS blast, (created_us - min(created_us) OVER ()) / nullif(max(created_us) OVER () - min(created_us) OVER (), 0) AS recency FROM f)
+SELECT *, 2 * novelty + cost + blast + 0.5::DOUBLE * recency AS score FROM g""")
+def _(spark, d):
+    return attribution.triage(*verdict(spark, d))
+
+
+@query("counterfactual_unique", BASE + RULES + "SELECT trace_id, any_value(mode_id) AS root_mode FROM detections WHERE confidence >= 0.5 GROUP BY trace_id HAVING count(*) = 1")
+def _(spark, d):
+    """Traces whose one detection is the root cause: without its step nothing is found."""
+    rows = detect.run_rules(*both(spark, d), cycles=False).where("confidence >= 0.5")
+    return rows.groupBy("trace_id").agg(F.count("*").alias("n"), F.first("mode_id").alias("root_mode")).where("n = 1").drop("n")
+
+
+# robust statistics
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    return adapters.steps(spark, d).where("kind = 'tool_call'")
+
+
+def _outliers(keys: str, value: str, where: str, source: str = "steps") -> str:
+    return BASE + f""", r AS (SELECT *, {value} AS x FROM {source} WHERE {where}),
+m AS (SELECT {keys}, median(x) AS med, count(*) AS n FROM r GROUP BY ALL),
+dv AS (SELECT r.*, med, n, abs(x - med) AS off FROM r JOIN m USING ({keys})),
+s AS (SELECT {keys}, CASE WHEN median(off) > 0 THEN median(off) ELSE avg(off) END AS scale FROM dv GROUP BY ALL)
+SELECT trace_id, step_index, tool, x AS value, med AS median, 0.6745::DOUBLE * (x - med) / scale AS robust_z FROM dv JOIN s USING ({keys}) WHERE n >= 5 AND scale > 0 AND abs(0.6745::DOUBLE * (x - med) / scale) > 3.5"""
+
+
+for _name, _keys, _value, _where in [
+    ("latency_anomalies_trace", ["trace_id"], "latency_ms", "latency_ms > 0"),
+    ("latency_anomalies_fleet", ["tool"], "latency_ms", "latency_ms > 0"),
+    ("token_anomalies_trace", ["trace_id"], "tokens", "tokens > 0"),
+    ("token_anomalies_fleet", ["tool", "model"], "tokens", "tokens > 0"),
+    ("result_anomalies", ["trace_id"], "length(result)", "result <> ''"),
+]:
+    query(_name, _outliers(", ".join(_keys), _value, f"kind = 'tool_call' AND {_where}"))(lambda spark, d, k=_keys, v=_value, w=_where: stats.outliers(calls(spark, d).where(w).withColumn("x", F.expr(v).cast("long")), k, "x"))
+
+_FAMILY = """, r AS (SELECT *, latency_ms AS x FROM steps WHERE kind = 'tool_call' AND latency_ms > 0),
+m0 AS (SELECT trace_id, median(x) AS med FROM r GROUP BY ALL HAVING count(*) >= 5), m1 AS (SELECT trace_id, tool, median(x) AS med FROM r GROUP BY ALL HAVING count(*) >= 5),
+s0 AS (SELECT trace_id, any_value(med) AS med, CASE WHEN median(abs(x - med)) > 0 THEN median(abs(x - med)) ELSE avg(abs(x - med)) END AS scale FROM r JOIN m0 USING (trace_id) GROUP BY ALL),
+s1 AS (SELECT trace_id, tool, any_value(med) AS med, CASE WHEN median(abs(x - med)) > 0 THEN median(abs(x - med)) ELSE avg(abs(x - med)) END AS scale FROM r JOIN m1 USING (trace_id, tool) GROUP BY ALL),
+q AS (SELECT r.trace_id, step_index, r.tool, x, coalesce(s1.med, s0.med) AS med, coalesce(s1.scale, s0.scale) AS scale FROM r JOIN s0 ON s0.trace_id = r.trace_id LEFT JOIN s1 ON s1.trace_id = r.trace_id AND s1.tool = r.tool)
+SELECT trace_id, step_index, tool, x AS value, med AS median, 0.6745::DOUBLE * (x - med) / scale AS robust_z FROM q WHERE scale > 0 AND abs(0.6745::DOUBLE * (x - med) / scale) > 3.5"""
+
+
+@query("latency_anomalies_per_tool", BASE + _FAMILY)
+def _(spark, d):
+    return stats.family_outliers(calls(spark, d).where("latency_ms > 0"), "latency_ms")
+
+
+@query("psi_drift", BASE + f""", c AS (SELECT tool || ' {{k}}' AS action, count(*) FILTER (ts_us < {MIDDLE_US}) AS a, count(*) FILTER (ts_us >= {MIDDLE_US}) AS b FROM steps WHERE kind = 'tool_call' AND error IS NULL GROUP BY 1),
+e AS (SELECT action, (a + 1e-6::DOUBLE) / (sum(a) OVER () + 1e-6::DOUBLE) AS baseline_share, (b + 1e-6::DOUBLE) / (sum(b) OVER () + 1e-6::DOUBLE) AS current_share FROM c)
+SELECT *, round((baseline_share - current_share) * ln(baseline_share / current_share), 9) AS term FROM e""")
+def _(spark, d):
+    rows = stats.psi(adapters.steps(spark, d), F.col("ts_us") < MIDDLE_US)
+    return rows.withColumn("term", F.round("term", 9))
+
+
+_DAYS = """, days AS (SELECT store, strftime(make_timestamp(created_us), '%Y-%m-%d') AS day, count(*) AS traces, count(*) FILTER (success = false) AS failures, sum(tokens / 1000 * coalesce(CAST(rate AS DOUBLE), 0)) AS est_spend
+  FROM traces LEFT JOIN prices USING (model) GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY day) AS i FROM days),
+slopes AS (SELECT a.store, median((b.est_spend - a.est_spend) / (b.i - a.i)) AS slope FROM o a JOIN o b ON a.store = b.store AND a.i < b.i GROUP BY 1)"""
+
+
+def days(spark: SparkSession, d: str) -> DataFrame:
+    t = both(spark, d)[1]
+    return stats.daily(t, rollup.rate_of(F.col("model"), PRICES))
+
+
+@query("daily_rollup", BASE + _DAYS + "SELECT store, day, traces, failures, round(est_spend, 6) AS est_spend FROM days")
+def _(spark, d):
+    return days(spark, d).withColumn("est_spend", F.round("est_spend", 6))
+
+
+@query("theil_sen", BASE + _DAYS + "SELECT store, round(slope, 5) AS slope FROM slopes")
+def _(spark, d):
+    return stats.theil_sen(days(spark, d), "store", "day", "est_spend").withColumn("slope", F.round("slope", 5))
+
+
+@query("spend_forecast", BASE + _DAYS + """, l AS (SELECT store, arg_max(est_spend, day) AS latest, max(day) AS last_day FROM days GROUP BY 1)
+SELECT store, CAST(k AS BIGINT) AS offset, strftime(CAST(last_day AS DATE) + CAST(k AS INTEGER), '%Y-%m-%d') AS day, round(greatest(0, latest + slope * k), 6) AS est_spend,
+  CAST(CASE WHEN latest > 3 THEN 0 WHEN slope > 0 THEN ceil((3 - latest) / slope) END AS BIGINT) AS days_to_ceiling FROM l JOIN slopes USING (store), (SELECT unnest(range(1, 15)) AS k)""")
+def _(spark, d):
+    return stats.forecast(days(spark, d), 3.0).withColumn("est_spend", F.round("est_spend", 6))
+
+
+@query("failure_budget", BASE + _DAYS + """, c AS (SELECT *, sum(failures) OVER (PARTITION BY store ORDER BY day) AS burned FROM days)
+SELECT store, CAST(max(burned) AS BIGINT) AS burned, min(CASE WHEN burned > 40 THEN day END) AS exhausted, CAST(40 AS BIGINT) AS allowance FROM c GROUP BY store""")
+def _(spark, d):
+    return stats.failure_budget(days(spark, d), 40)
+
+
+_GRAMS = """, c AS (SELECT trace_id, 'tool_call:' || tool || ' {k}' AS g, row_number() OVER w AS pos, lead('tool_call:' || tool || ' {k}', 1) OVER w AS g2, lead('tool_call:' || tool || ' {k}', 2) OVER w AS g3 FROM steps WHERE kind = 'tool_call' WINDOW w AS (PARTITION BY trace_id ORDER BY step_index)),
+grams AS (SELECT trace_id, pos, 1::BIGINT AS n, g AS gram FROM c UNION ALL SELECT trace_id, pos, 2, g || '|' || g2 FROM c WHERE g2 IS NOT NULL UNION ALL SELECT trace_id, pos, 3, g || '|' || g2 || '|' || g3 FROM c WHERE g3 IS NOT NULL),
+pm AS (SELECT n, gram, count(*) AS occurrences, count(*) FILTER (success = false) AS failures, (count(*) FILTER (success = false) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE) AS p_fail FROM grams JOIN traces USING (trace_id) GROUP BY 1, 2)"""
+
+
+@query("precursor_mine", BASE + _GRAMS + "SELECT * FROM pm")
+def _(spark, d):
+    return stats.precursors(*both(spark, d))
+
+
+@query("precursor_score", BASE + _GRAMS + """, b AS (SELECT trace_id, n, occurrences, p_fail FROM grams JOIN pm USING (n, gram) QUALIFY row_number() OVER (PARTITION BY trace_id, n ORDER BY occurrences DESC, pos) = 1)
+SELECT trace_id, round(1 / (1 + exp(-sum(least(occurrences, 20) * n * ln(p_fail / (1 - p_fail))) / sum(least(occurrences, 20) * n))), 9) AS probability FROM b GROUP BY trace_id""")
+def _(spark, d):
+    s, t = both(spark, d)
+    return stats.precursor_score(s, stats.precursors(s, t)).withColumn("probability", F.round("probability", 9))
+
+
+@query("wilson_prf", """WITH p AS (SELECT lang AS mode, n_chars < 2000 AS predicted, quality = 0 AS gold FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT mode, count(*) FILTER (predicted AND gold) AS tp, count(*) FILTER (predicted AND NOT gold) AS fp, count(*) FILTER (NOT predicted AND gold) AS fn FROM p GROUP BY mode),
+e AS (SELECT *, tp / nullif(tp + fp, 0) AS pr, tp + fp AS n FROM c)
+SELECT mode, tp, fp, fn, coalesce(pr, 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+  CASE WHEN n = 0 THEN 0 ELSE round(greatest(0, (pr + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(pr * (1 - pr) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)), 9) END AS low,
+  CASE WHEN n = 0 THEN 0 ELSE round(least(1, (pr + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(pr * (1 - pr) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)), 9) END AS high FROM e""")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "n_chars").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    out = stats.prf(rows.select(F.col("lang").alias("mode"), (F.col("n_chars") < 2000).alias("predicted"), (F.col("quality") == 0).alias("gold")))
+    return out.withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+
+
+@query("ece", """WITH p AS (SELECT (n_chars % 1000) / 1000 AS confidence, quality = 1 AS correct FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT CAST(least(9, floor(confidence * 10)) AS BIGINT) AS bin, * FROM p)
+SELECT bin, count(*) AS n, round(count(*) / (SELECT count(*) FROM p) * abs(avg(confidence) - avg(CAST(correct AS DOUBLE))), 9) AS gap FROM b GROUP BY bin""")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    return stats.ece(rows.select(((F.col("n_chars") % 1000) / 1000).alias("confidence"), (F.col("quality") == 1).alias("correct"))).withColumn("gap", F.round("gap", 9))
+
+
+# recall and text
+
+
+@query("recall_timeline", BASE + """, tl AS (SELECT trace_id, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM steps WHERE kind = 'tool_call' GROUP BY trace_id), l AS (SELECT * FROM traces ORDER BY created_us DESC, trace_id DESC LIMIT 50)
+SELECT trace_id, strftime(make_timestamp(created_us), '%Y-%m-%d') AS day, task, CASE WHEN success IS NULL THEN 'unknown' WHEN success THEN 'ok' ELSE 'failed' END AS outcome, coalesce(tools, '') AS tools, duration FROM l LEFT JOIN tl USING (trace_id)""")
+def _(spark, d):
+    return recall.timeline(*both(spark, d), 50)
+
+
+@query("recall_search", BASE + """, x AS (SELECT trace_id, step_index, 'thought' AS field, 0 AS o, thought AS t FROM steps UNION ALL SELECT trace_id, step_index, 'result', 1, result FROM steps UNION ALL SELECT trace_id, step_index, 'error', 2, error FROM steps
+  UNION ALL SELECT trace_id, -1, 'task', -1, task FROM traces)
+SELECT trace_id, step_index, field, substr(t, greatest(instr(lower(t), 'c-7') - 60, 1), 160) AS excerpt FROM x WHERE contains(lower(t), 'c-7') QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY step_index, o) <= 8""")
+def _(spark, d):
+    return recall.search(*both(spark, d), "C-7")
+
+
+@query("recall_summary", BASE + """, c AS (SELECT trace_id, count(*) FILTER (kind = 'tool_call') AS calls FROM steps GROUP BY 1)
+SELECT strftime(make_timestamp(created_us), '%Y-%m-%d') AS day, count(*) AS conversations, count(*) FILTER (success = false) AS failed, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(calls) AS BIGINT) AS tool_calls FROM traces JOIN c USING (trace_id) GROUP BY 1""")
+def _(spark, d):
+    return recall.day_summary(*both(spark, d))
+
+
+@query("recall_related", BASE + """, tl AS (SELECT t.trace_id, strftime(make_timestamp(any_value(created_us)), '%Y-%m-%d') AS day, coalesce(list(DISTINCT s.tool) FILTER (s.kind = 'tool_call'), []) AS tools FROM traces t JOIN steps s USING (trace_id) GROUP BY 1),
+g AS (SELECT * FROM tl WHERE trace_id = (SELECT min(trace_id) FROM traces)),
+r AS (SELECT a.trace_id, len(list_intersect(a.tools, g.tools)) / nullif(len(list_distinct(list_concat(a.tools, g.tools))), 0) AS j, a.day = g.day AS same FROM tl a, g WHERE a.trace_id <> g.trace_id)
+SELECT trace_id, coalesce(j, 0) + CASE WHEN same THEN 0.5::DOUBLE ELSE 0 END AS score FROM r WHERE coalesce(j, 0) + CASE WHEN same THEN 0.5 ELSE 0 END > 0""")
+def _(spark, d):
+    s, t = both(spark, d)
+    return recall.related(s, t, t.agg(F.min("trace_id")).first()[0])
+
+
+@query("topics", """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9._-]{2,}')) AS word FROM conversations),
+c AS (SELECT role, word, count(*) AS n FROM w WHERE length(word) <= 32 AND word NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'you', 'are', 'was') GROUP BY 1, 2)
+SELECT role, word, n, row_number() OVER (PARTITION BY role ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 6""")
+def _(spark, d):
+    return recall.topics(spark.read.parquet(f"{d}/conversations.parquet"), "role", "text")
+
+
+def _redact_sql() -> str:
+    out, counts = "text", []
+    for name, p in recall.REDACTIONS:
+        counts.append(f"CAST(len(regexp_extract_all({out}, '{p}')) AS BIGINT) AS n_{name.lower()}")
+        out = f"regexp_replace({out}, '{p}', '[{name}]', 'g')"
+    return f"SELECT doc_id, {', '.join(counts)}, {out} AS redacted FROM documents"
+
+
+@query("redact", _redact_sql())
+def _(spark, d):
+    return recall.redact(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+@query("toolscan", "SELECT page_id, unnest(list_filter([CASE WHEN regexp_matches(html, '(?i)<script') THEN 'script' END, CASE WHEN contains(html, '<!--') THEN 'comment' END, CASE WHEN regexp_matches(html, '[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}]') THEN 'invisible' END, CASE WHEN regexp_matches(html, '(?i)ignore (all )?(previous|prior) instructions') THEN 'orders' END], lambda x: x IS NOT NULL)) AS finding FROM pages")
+def _(spark, d):
+    return recall.tool_scan(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query("composition", BASE + """, p AS (SELECT store, kind, CAST(sum(greatest(1, length(result) // 4) + CASE WHEN thought IS NULL THEN 0 ELSE greatest(1, length(thought) // 4) END + greatest(1, length(args_canon) // 4)) AS BIGINT) AS tokens FROM steps GROUP BY 1, 2)
+SELECT *, tokens / sum(tokens) OVER (PARTITION BY store) AS share FROM p""")
+def _(spark, d):
+    return recall.composition(adapters.steps(spark, d))
+
+
+@query("budget_sim", BASE + """, c AS (SELECT *, sum(tokens) OVER (PARTITION BY trace_id ORDER BY step_index) AS sofar, sum(tokens) OVER (PARTITION BY trace_id) AS total FROM steps)
+SELECT trace_id, step_index AS tripped_at, CAST(total - sofar AS BIGINT) AS saved FROM c WHERE kind = 'tool_call' AND sofar > 400 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY step_index) = 1""")
+def _(spark, d):
+    return recall.budget_trip(adapters.steps(spark, d), 400)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Failures ranked by how much a look at them is worth."""
+    return _queries["triage"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
