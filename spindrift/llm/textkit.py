@@ -150,24 +150,37 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Finds 64-bit keys among distinct ones: the ones are ordered by a hash, and looked up by its 20 high bits."""
+    """Finds 64-bit keys among distinct ones: the ones are ordered by a hash, and looked up by its highest bits. Only the keys
+    travel to executors; the rest is made where it is first used."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        hashed = mix(keys * M1)
-        self.order = np.argsort(hashed)
-        self.keys = keys[self.order]
-        self.first = np.searchsorted(hashed[self.order], np.arange(1 << 20, dtype=U) << U(44))
-        self.first = np.r_[self.first, len(keys)]
+        self.keys = keys
+        self.made = False
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "made": False}
+
+    def _make(self) -> None:
+        hashed = mix(self.keys * M1)
+        self.order = np.argsort(hashed).astype(np.int32)
+        self.sorted = self.keys[self.order]
+        bits = min(20, max(8, len(self.keys).bit_length() + 1))
+        self.shift = U(64 - bits)
+        first = np.searchsorted(hashed[self.order], np.arange(1 << bits, dtype=U) << self.shift)
+        self.first = np.r_[first, len(self.keys)].astype(np.int32)
+        self.made = True
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The place of each in the keys given at first, or -1."""
+        """The place of each in the keys, or -1."""
+        if not self.made:
+            self._make()
         out = np.full(len(wanted), -1, np.int64)
-        high = (mix(wanted * M1) >> U(44)).astype(np.int64)
+        high = (mix(wanted * M1) >> self.shift).astype(np.int64)
         at, end = self.first[high], self.first[high + 1]
         open_ = np.flatnonzero(at < end)
         at, end = at[open_], end[open_]
         while len(open_):
-            here = self.keys[at] == wanted[open_]
+            here = self.sorted[at] == wanted[open_]
             out[open_[here]] = self.order[at[here]]
             on = ~here & (at + 1 < end)
             open_, at, end = open_[on], at[on] + 1, end[on]

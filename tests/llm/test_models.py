@@ -130,8 +130,8 @@ def test_quality(spark):
 
 def test_kneser_ney_adds_up(spark):
     """In a seen context, the probabilities of all 256 bytes add up to 1."""
-    rows = spark.createDataFrame([("abracadabra abracadabra banana bandana" * 3, "en")], "text string, lang string")
-    m = quality.Model(quality.fit(rows))
+    rows = spark.createDataFrame([("abracadabra abracadabra banana bandana" * 3, 0)], "text string, lang int")
+    m = quality.Model(quality.fit(rows), {"en": 0})
     for context in (b"abrac", b"dabra", b" band"):
         keys = np.array([int.from_bytes(context + bytes([b]), "little") for b in range(256)], dtype=np.uint64)
         assert np.exp2(m.logs(keys, np.full(256, m.langs["en"]))).sum() <= 1 + 1e-4
