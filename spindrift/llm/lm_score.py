@@ -406,6 +406,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     model = spark.sparkContext.broadcast(m)
     each = rows.select("doc_id", "tag", "text").mapInArrow(_score(model), "doc_id long, tag int, n_tokens long, known long, logs double, rest long, rest_logs double, bits double, n_bytes long, rare array<long>, times array<int>")
     each = shared.table(each)
+    model.destroy()
     # equal rows lack the same tokens: their sums are shared out among them
     copies = each.groupBy("doc_id", "tag").agg(F.count("*").alias("copies"))
     rare = each.select("doc_id", "tag", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("doc_id", "tag", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))

@@ -43,9 +43,7 @@ def encoder(path: str, fast_path: str | None):
     """A function from texts to lists of ids."""
     if (path, fast_path) in _loaded:
         return _loaded[path, fast_path]
-    from tokenizers import Tokenizer
-
-    slow, fast = Tokenizer.from_file(path), None
+    slow, fast = [], None
     if fast_path:
         import public_tokenizers
         import tiktoken
@@ -57,7 +55,11 @@ def encoder(path: str, fast_path: str | None):
     def encode(text: str) -> list[int]:
         if fast is not None and "<|" not in text and _PLAIN.fullmatch(text):
             return fast.encode_ordinary(text)
-        return slow.encode(text, add_special_tokens=False).ids
+        if not slow:  # many tasks never need it
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(path))
+        return slow[0].encode(text, add_special_tokens=False).ids
 
     _loaded[path, fast_path] = encode
     return encode
