@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, detect, recall, rollup, stats
-from ..sources import adapters
+from ..operators import attribution, detect, recall, rollup, sequence, stats
+from ..sources import adapters, sinks
 from . import dsl
 from .oracle import BASE, RULES
 
@@ -425,6 +425,66 @@ def _(spark, d):
     return recall.budget_trip(adapters.steps(spark, d), 400)
 
 
+# order within a run
+
+
+@query("risk_curve", BASE + """, m AS (SELECT *, CASE WHEN kind = 'tool_call' AND mutating THEN 1 WHEN is_verify THEN -1 ELSE 0 END AS mv, list(fingerprint) OVER (PARTITION BY trace_id ORDER BY step_index ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS recent FROM steps),
+c AS (SELECT *, sum(mv) OVER w AS run FROM m WINDOW w AS (PARTITION BY trace_id ORDER BY step_index)), o AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY trace_id ORDER BY step_index)) AS open FROM c),
+r AS (SELECT trace_id, step_index, least(1, (len(list_filter(recent, lambda x: x = fingerprint)) - 1) / 2) AS repetition, least(1, open / 2) AS debt FROM o)
+SELECT trace_id, step_index, CAST(repetition AS DOUBLE) AS repetition, CAST(debt AS DOUBLE) AS debt, 0.3::DOUBLE * repetition + 0.2::DOUBLE * debt AS risk FROM r""")
+def _(spark, d):
+    return sequence.risk(adapters.steps(spark, d))
+
+
+@query("integrity_chain", BASE + """, l AS (SELECT trace_id, any_value(task) AS task, list(fingerprint || '|' || result || '|' || coalesce(error, '') ORDER BY step_index) AS own FROM steps GROUP BY trace_id)
+SELECT trace_id, list_reduce(list_prepend(sha256(task), own), lambda a, x: sha256(a || x)) AS final, CAST(len(own) AS BIGINT) AS steps FROM l""")
+def _(spark, d):
+    return sequence.chain(adapters.steps(spark, d), F.col("task")).select("trace_id", F.element_at("hashes", -1).alias("final"), F.size("hashes").cast("long").alias("steps"))
+
+
+@query("align_topk")
+def _(spark, d):
+    s = adapters.steps(spark, d)
+    return sequence.most_similar(s, s.agg(F.min("trace_id")).first()[0], 10)
+
+
+@query("diff")
+def _(spark, d):
+    s = adapters.steps(spark, d)
+    two = s.select("trace_id").distinct().orderBy("trace_id").limit(2).collect()
+    return sequence.diff(s, spark.createDataFrame([(two[0][0], two[1][0])], "a string, b string"))
+
+
+@query("context_forecast", BASE + """, r AS (SELECT s.trace_id, step_index, greatest(1, length(result) // 4) AS t FROM steps s WHERE kind = 'tool_call'),
+c AS (SELECT *, sum(t) OVER (PARTITION BY trace_id ORDER BY step_index DESC) AS behind, count(*) OVER (PARTITION BY trace_id) AS n FROM r),
+b AS (SELECT trace_id, task, greatest(1, length(task) // 4) AS head, unnest([10, 20, 40]) AS budget FROM traces),
+k AS (SELECT b.trace_id, budget, any_value(head) AS head, coalesce(any_value(n), 0) AS n, count(*) FILTER (behind + head <= budget) AS kept, coalesce(sum(t) FILTER (behind + head <= budget), 0) AS used FROM b LEFT JOIN c USING (trace_id) GROUP BY 1, 2)
+SELECT trace_id, CAST(budget AS BIGINT) AS budget, CAST(used + head AS BIGINT) AS used, CAST(n - kept AS BIGINT) AS evicted, CAST(kept AS BIGINT) AS kept, CASE WHEN n = 0 THEN 1 ELSE kept / n END AS recall FROM k""")
+def _(spark, d):
+    return sequence.context_forecast(adapters.steps(spark, d), [10, 20, 40])
+
+
+# exports
+
+
+@query("export_spans", BASE + """SELECT trace_id, substr(sha256(trace_id || '#' || CAST(step_index AS VARCHAR)), 1, 16) AS span_id, substr(sha256(trace_id), 1, 16) AS parent, coalesce(tool, kind) AS name,
+CAST(min(ts_us) OVER (PARTITION BY trace_id) + 1000 * coalesce(sum(latency_ms) OVER w, 0) AS BIGINT) AS start_us, CAST(min(ts_us) OVER (PARTITION BY trace_id) + 1000 * coalesce(sum(latency_ms) OVER w, 0) + 1000 * latency_ms AS BIGINT) AS end_us,
+CASE WHEN error IS NOT NULL THEN 2 ELSE 1 END AS status FROM steps WINDOW w AS (PARTITION BY trace_id ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(spark, d):
+    return sinks.spans(adapters.steps(spark, d))
+
+
+@query("export_csv", BASE + "SELECT trace_id, step_index, kind, coalesce(tool, '') AS tool, result, coalesce(thought, '') AS thought, tokens, latency_ms, coalesce(error, '') AS error FROM steps")
+def _(spark, d):
+    return sinks.csv_rows(adapters.steps(spark, d))
+
+
+@query("prometheus", BASE + RULES + """, s AS (SELECT store, count(*) AS traces, count(*) FILTER (success = false) AS failures, count(*) FILTER (breached) AS breached, CAST(sum(tokens) AS BIGINT) AS tokens FROM verdicts GROUP BY store)
+SELECT 'agent_' || n || '{store="' || store || '"} ' || CAST(v AS VARCHAR) AS line FROM (SELECT store, unnest(['traces', 'failures', 'breached', 'tokens']) AS n, unnest([traces, failures, breached, tokens]) AS v FROM s)""")
+def _(spark, d):
+    return sinks.prometheus(rollup.store_stats(verdict(spark, d)[0]))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures ranked by how much a look at them is worth."""
     return _queries["triage"](spark, sf_dir)
