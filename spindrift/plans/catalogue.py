@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, detect, recall, rollup, sequence, stats
+from ..operators import attribution, detect, prose, recall, repair, rollup, sequence, stats
 from ..sources import adapters, sinks
 from . import dsl
 from .oracle import BASE, RULES
@@ -485,6 +485,64 @@ def _(spark, d):
     return sinks.prometheus(rollup.store_stats(verdict(spark, d)[0]))
 
 
+# prose
+
+_TURNS = """WITH c0 AS (SELECT CAST(conv_id AS VARCHAR) AS trace_id, turn, role, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 8000) AS text FROM conversations),
+c1 AS (SELECT *, coalesce(first_value(CASE WHEN role = 'user' AND text <> '' THEN substr(text, 1, 200) END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), '') AS task,
+  coalesce(bool_or(role <> 'assistant' AND regexp_matches(text, '{nudge}')) OVER (PARTITION BY trace_id), false) AS nudged FROM c0),
+t AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY turn) - 1 AS pos, text, task, nudged, count(*) OVER (PARTITION BY trace_id) AS n FROM c1 WHERE role = 'assistant' AND text <> '')
+""".format(nudge=prose.NUDGE)
+_HIT = "SELECT '{0}' AS mode_id, '{1}' AS rule, trace_id, CAST({2} AS BIGINT) AS step_index, CAST({3} AS DOUBLE) AS confidence "
+_lacking = " OR ".join(f"contains(lower(text), '{w}')" for w in prose.LACKING)
+for _name, _sql_text in {
+    "prose_no_verify": _HIT.format("FM-3.2", "prose_no_verify", "any_value(n) - 1", 0.5) + f"FROM t GROUP BY trace_id HAVING any_value(n) >= 4 AND NOT bool_or(regexp_matches(text, '{prose.VERIFY}'))",
+    "prose_derail": _HIT.format("FM-2.3", "prose_derail", "any_value(n) - 3", 0.55) + "FROM (SELECT *, len(list_filter(regexp_extract_all(lower(task), '[a-z'']{4,}'), lambda w: contains(lower(text), w))) > 0 AS hit FROM t) GROUP BY trace_id HAVING any_value(n) >= 5 AND bool_or(hit AND pos < n // 2) AND NOT bool_or(hit AND pos >= n - 3)",
+    "prose_ambiguity": _HIT.format("FM-2.2", "prose_ambiguity", "at_", 0.6) + f"FROM (SELECT trace_id, max(CASE WHEN {_lacking} THEN pos END) AS at_, max(CASE WHEN rtrim(text) LIKE '%?' THEN pos END) AS asked, bool_or(nudged) AS nudged FROM t GROUP BY trace_id) WHERE at_ IS NOT NULL AND nudged AND coalesce(asked, -1) < at_",
+    "prose_outcome": _HIT.format("FM-3.2", "prose_outcome", "any_value(n) - 1", 0.7) + f"FROM t GROUP BY trace_id HAVING any_value(n) >= 2 AND NOT bool_or(regexp_matches(text, '{prose.RESULT}')) AND regexp_matches(arg_max(text, pos), '{prose.CLAIM}')",
+}.items():
+    _rule = getattr(prose, _name.removeprefix("prose_"))
+    query(_name, _TURNS + _sql_text)(lambda spark, d, f=_rule: f(prose.turns(spark.read.parquet(f"{d}/conversations.parquet"))))
+
+
+@query("prose_likeness")
+def _(spark, d):
+    return prose.likeness_rules(prose.turns(spark.read.parquet(f"{d}/conversations.parquet")))
+
+
+# what would help
+
+
+@query("repair")
+def _(spark, d):
+    return repair.plan_repair(*both(spark, d))
+
+
+@query("conformal_sets")
+def _(spark, d):
+    scores = attribution.fused(detect.run_rules(*both(spark, d), cycles=False))
+    gold = scores.groupBy("trace_id").agg(F.min("mode_id").alias("mode_id"))
+    p = repair.softmax(scores, 1.5)
+    return repair.conformal_sets(p, repair.conformal_threshold(p, gold))
+
+
+@query("dedupe")
+def _(spark, d):
+    return repair.duplicate_groups(adapters.steps(spark, d))
+
+
+@query("merge_stores", BASE + """, a AS (SELECT user_id AS trace_id, max(n_steps) % 3 AS content FROM traces WHERE store <> 'store-0' GROUP BY 1), b AS (SELECT user_id AS trace_id, min(n_steps) % 3 AS content FROM traces WHERE store <> 'store-1' GROUP BY 1)
+SELECT coalesce(a.trace_id, b.trace_id) AS trace_id, CASE WHEN b.content IS NULL THEN 'new' WHEN a.content IS NULL THEN 'kept' WHEN a.content = b.content THEN 'same' ELSE 'conflict' END AS status FROM a FULL OUTER JOIN b ON a.trace_id = b.trace_id""")
+def _(spark, d):
+    t = both(spark, d)[1]
+    side = lambda store, pick: t.where(F.col("store") != store).groupBy(F.col("user_id").alias("trace_id")).agg((pick("n_steps") % 3).alias("content"))
+    return repair.merge(side("store-0", F.max), side("store-1", F.min))
+
+
+@query("grade_trend")
+def _(spark, d):
+    return repair.grade_trend(*both(spark, d), "agent", NOW_US - 3 * 86_400_000_000)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures ranked by how much a look at them is worth."""
     return _queries["triage"](spark, sf_dir)
