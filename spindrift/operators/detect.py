@@ -7,7 +7,6 @@ confidence. Windows are partitioned by trace, so that all rules share one exchan
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +24,8 @@ def _by():
 
 
 def _after():
-    return _by().rowsBetween(1, W.unboundedFollowing)
+    """All later steps: read backwards, the frame grows by a row at a time instead of being read anew for each."""
+    return W.partitionBy("trace_id").orderBy(F.desc("step_index")).rowsBetween(W.unboundedPreceding, -1)
 
 
 def _hit(rows: DataFrame, mode: str, rule: str, step: Column, confidence: Column | float) -> DataFrame:
@@ -111,7 +111,7 @@ def missing_verify(steps: DataFrame) -> DataFrame:
 def weak_verify(steps: DataFrame) -> DataFrame:
     claim = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
     seen = F.when(F.col("is_verify"), F.struct("step_index", F.coalesce("error", "result", F.lit("")).alias("said")))
-    rows = steps.withColumn("next", F.first(seen, ignorenulls=True).over(_after())).where("mutating and error is null and next is not null")
+    rows = steps.withColumn("next", F.last(seen, ignorenulls=True).over(_after())).where("mutating and error is null and next is not null")
     rows = rows.where((claim(F.col("result")) == claim(F.col("next.said"))) & (claim(F.col("result")) != ""))
     first = rows.groupBy("trace_id").agg(F.min_by("next.step_index", "step_index").alias("at"))
     return _hit(first, "FM-3.3", "weak_verify", F.col("at"), 0.6)
@@ -177,6 +177,76 @@ def lost_reference(steps: DataFrame) -> DataFrame:
 
 
 def run_rules(steps: DataFrame, traces: DataFrame, cycles: bool = True) -> DataFrame:
-    """All detections."""
-    found = [repeat(steps), *([cycle(steps)] if cycles else []), long_loop(steps, traces), reset(steps), premature(traces), missing_verify(steps), weak_verify(steps), intent_mismatch(steps), derail(steps), forbidden(steps, traces), clarify(steps), withhold(steps), ignored(steps), role(steps, traces), lost_reference(steps)]
-    return reduce(DataFrame.unionByName, found)
+    """All detections, in one pass: after the exchange by trace, every window and the aggregate keep that partitioning.
+    Gives what the rules above give one by one."""
+    idx, call, good = F.col("step_index"), F.col("kind") == "tool_call", (F.col("kind") == "tool_call") & F.col("error").isNull()
+    rows = steps.join(traces.select("trace_id", "success", "n_steps", "last_kind", "last_index", "step_limit", "forbidden", "roles"), "trace_id")
+    same = W.partitionBy("trace_id", "fingerprint").orderBy("step_index")
+    whole, earlier = W.partitionBy("trace_id", "fingerprint"), same.rowsBetween(W.unboundedPreceding, -1)
+    ok_at = F.when(good, idx)
+    rows = rows.withColumn("nth", F.row_number().over(same))
+    rows = rows.withColumns({"before": F.last(F.when(good, F.struct("step_index", "nth")), ignorenulls=True).over(earlier), "made": F.count(ok_at).over(whole), "made_first": F.min(ok_at).over(whole), "made_last": F.max(ok_at).over(whole)})
+    seen = F.when(F.col("is_verify"), F.struct("step_index", F.coalesce("error", "result", F.lit("")).alias("said")))
+    after = _after()
+    rows = rows.withColumns({
+        "check": F.last(seen, ignorenulls=True).over(after),
+        "senders": F.collect_set(F.when(F.col("kind") == "message", F.col("from_agent"))).over(after),
+        "doers": F.collect_set(F.when(F.col("kind").isin("tool_call", "plan"), F.col("agent"))).over(after),
+        "actors": F.collect_set(F.when(F.col("kind") != "message", F.col("agent"))).over(after),
+        "tools": F.collect_set(F.when(call, F.col("tool"))).over(W.partitionBy("trace_id")),
+        "known": F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.coalesce("result", F.lit("")), F.lit(ENTITY), F.lit(0))).over(_by().rowsBetween(W.unboundedPreceding, -1)))),
+    })
+    claim = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    said = F.lower(F.regexp_extract(F.coalesce("thought", F.lit("")), INTENT, 1))
+    words = F.array_distinct(F.filter(F.split(F.lower("task"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 3) & ~w.isin(*STOP)))
+    text, task = F.lower(F.concat_ws(" ", "tool", "args_canon")), F.lower("task")
+    topical = call & (F.size(words) > 0)
+    off = topical & ~F.exists(words, lambda w: F.contains(text, w))
+    change = F.col("mutating") & F.col("error").isNull()
+    unclear = task.contains(" or ") & (task.contains("?") | task.contains("either"))
+    asked = F.coalesce(F.contains("thought", F.lit("?")), F.lit(False)) | F.coalesce(F.contains("result", F.lit("?")), F.lit(False))
+    named = F.regexp_extract_all(F.concat_ws(" ", "thought", "result"), F.lit(ENTITY), F.lit(0))
+    first = lambda condition: F.min(F.when(condition, idx))
+    per = rows.groupBy("trace_id").agg(
+        F.min(F.when(good & (idx - F.col("before.step_index") <= WITHIN), F.struct("step_index", (F.col("nth") - F.col("before.nth") + 1).alias("n")))).alias("again"),
+        F.min(F.when(good & (F.col("made") >= 3) & (F.col("made_last") - F.col("made_first") > WITHIN), F.struct("made_first", "made_last"))).alias("loop"),
+        *(F.first(c).alias(c) for c in ("success", "n_steps", "last_kind", "last_index", "step_limit")),
+        first((idx > 0) & (F.col("kind") == "plan") & (F.lower(F.trim("thought")) == F.lower(F.trim("task")))).alias("reset"),
+        first(change & F.col("check").isNull()).alias("unverified"),
+        F.min(F.when(change & (claim(F.col("result")) == claim(F.col("check.said"))) & (claim(F.col("result")) != ""), F.struct("step_index", F.col("check.step_index").alias("at")))).alias("weak"),
+        first(call & F.col("tool").isNotNull() & (said != "") & (said != F.lower("tool")) & (said.contains("_") | F.array_contains("tools", said))).alias("mismatch"),
+        F.count_if(topical).alias("topical"), F.count_if(off).alias("off"), first(off).alias("off_at"),
+        first(call & (F.col("tool") == F.col("forbidden"))).alias("forbidden"),
+        F.coalesce(first(F.col("mutating")), F.max(idx)).alias("commit"), F.max(unclear).alias("unclear"), F.max(asked).alias("asked"),
+        first(call & F.col("share_with").isNotNull() & ~F.array_contains("senders", F.coalesce("agent", F.lit("unknown"))) & F.array_contains("doers", F.col("share_with"))).alias("withheld"),
+        first(F.col("requires_ack") & F.col("to_agent").isNotNull() & ~F.array_contains("actors", F.col("to_agent"))).alias("ignored"),
+        first(F.col("roles") & call & (F.col("agent") == "agent-0") & (F.col("tool") == "place_order")).alias("off_role"),
+        first((idx > 0) & (F.col("kind") != "tool_call") & (F.size(F.array_except(named, F.coalesce("known", F.array().cast("array<string>")))) > 0)).alias("lost"),
+    )
+
+    def found(mode: str, rule: str, step: Column, confidence: Column | float, condition: Column | None = None) -> Column:
+        confidence = confidence if isinstance(confidence, Column) else F.lit(confidence)
+        hit = F.struct(F.lit(mode).alias("mode_id"), F.lit(rule).alias("rule"), step.cast("long").alias("step_index"), confidence.cast("double").alias("confidence"))
+        return F.when(step.isNotNull() if condition is None else condition & step.isNotNull(), hit)
+
+    c = F.col
+    looped = c("loop").isNotNull()
+    spent = F.coalesce((c("n_steps") >= c("step_limit")) & (c("last_kind") != "response"), F.lit(False))
+    hits = F.array(
+        found("FM-1.3", "repeat", c("again.step_index"), F.least(F.lit(0.95), 0.6 + 0.1 * c("again.n"))),
+        found("FM-1.5", "long_loop", F.coalesce("loop.made_last", "last_index"), F.when(looped, 0.65).otherwise(0.6), looped | spent),
+        found("FM-2.1", "reset", c("reset"), 0.75),
+        found("FM-3.1", "premature", c("last_index"), F.when(c("last_kind") == "response", 0.7).otherwise(0.8), (c("success") == False) & c("last_kind").isin("response", "error")),  # noqa: E712
+        found("FM-3.2", "missing_verify", c("unverified"), 0.7),
+        found("FM-3.3", "weak_verify", c("weak.at"), 0.6),
+        found("FM-2.6", "intent_mismatch", c("mismatch"), 0.65),
+        found("FM-2.3", "derail", c("off_at"), F.least(F.lit(0.55), 0.35 + 0.2 * c("off") / F.greatest("topical", F.lit(1))), (c("topical") >= 3) & (c("off") >= 0.5 * c("topical"))),
+        found("FM-1.1", "forbidden", c("forbidden"), 1.0),
+        found("FM-2.2", "clarify", c("commit"), 0.55, c("unclear") & ~c("asked")),
+        found("FM-2.4", "withhold", c("withheld"), 0.6),
+        found("FM-2.5", "ignored", c("ignored"), 0.65),
+        found("FM-1.2", "role", c("off_role"), 0.85),
+        found("FM-1.4", "lost_reference", c("lost"), 0.55),
+    )
+    out = per.select("trace_id", F.explode(F.array_compact(hits)).alias("x")).select("x.mode_id", "x.rule", "trace_id", "x.step_index", "x.confidence")
+    return out.unionByName(cycle(steps)) if cycles else out
