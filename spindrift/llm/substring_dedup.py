@@ -93,6 +93,16 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: i
     return sk.cut(sk.keyed(docs, text, doc_id), removed, _apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
+#: DuckDB SQL for query()'s rows: every window spelt out, its first place looked up.
+SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x, ws FROM w),
+win AS (SELECT doc_id, i, x, CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i : i + 19], ' ') END AS s FROM word),
+late AS (SELECT doc_id, i, x, s IS NOT NULL AND (doc_id, i) > min((doc_id, i)) OVER (PARTITION BY s) AS again FROM win),
+gone AS (SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS removed FROM late),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT removed), '') AS t FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
