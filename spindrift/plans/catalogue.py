@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, detect, prose, recall, repair, rollup, sequence, stats
+from ..operators import attribution, detect, fleet, prose, recall, repair, rollup, sequence, stats
+from ..functions.calendar import micros
 from ..sources import adapters, sinks
+from ..streaming import live
 from . import dsl
 from .oracle import BASE, RULES
 
@@ -543,6 +545,66 @@ def _(spark, d):
     return repair.grade_trend(*both(spark, d), "agent", NOW_US - 3 * 86_400_000_000)
 
 
+# fleets
+
+_SURVEY = """, fc AS (SELECT * FROM steps WHERE kind = 'tool_call' AND latency_ms > 0), fm AS (SELECT store, tool, median(latency_ms) AS med, count(*) AS n FROM fc GROUP BY 1, 2),
+fd AS (SELECT fc.*, med, n, abs(latency_ms - med) AS off FROM fc JOIN fm USING (store, tool)), fs AS (SELECT store, tool, CASE WHEN median(off) > 0 THEN median(off) ELSE avg(off) END AS scale FROM fd GROUP BY 1, 2),
+an AS (SELECT store, count(*) AS anomalies FROM fd JOIN fs USING (store, tool) WHERE n >= 5 AND scale > 0 AND abs(0.6745::DOUBLE * (latency_ms - med) / scale) > 3.5 GROUP BY store),
+tm AS (SELECT store, primary_mode AS top_mode FROM verdicts WHERE success = false AND primary_mode <> 'OTHER' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY store ORDER BY count(*) DESC, primary_mode) = 1),
+survey AS (SELECT store, count(*) AS traces, count(*) FILTER (success = false) AS failures, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens / 1000 * coalesce(CAST(rate AS DOUBLE), 0)), 6) AS est_spend, count(*) FILTER (breached) AS breaches,
+  coalesce(any_value(anomalies), 0) AS anomalies, any_value(top_mode) AS top_mode, count(*) FILTER (success = false) / count(*) AS failure_rate FROM verdicts LEFT JOIN prices USING (model) LEFT JOIN an USING (store) LEFT JOIN tm USING (store) GROUP BY store)"""
+
+
+def surveyed(spark: SparkSession, d: str) -> DataFrame:
+    return fleet.survey(*verdict(spark, d), PRICES).withColumn("est_spend", F.round("est_spend", 6))
+
+
+@query("fleet_survey", BASE + RULES + _SURVEY + "SELECT * FROM survey")
+def _(spark, d):
+    return surveyed(spark, d)
+
+
+@query("fleet_alerts", BASE + RULES + _SURVEY + """SELECT store, concat_ws(', ', CASE WHEN failure_rate >= 0.26 THEN 'failure rate' END, CASE WHEN anomalies >= 100 THEN 'anomalies' END, CASE WHEN est_spend > 2 THEN 'spend' END) AS reasons,
+failure_rate >= 0.26 OR anomalies >= 100 OR est_spend >= 2 AS alert FROM survey""")
+def _(spark, d):
+    return fleet.alerts(surveyed(spark, d), rate=0.26, anomalies=100, spend=2.0)
+
+
+@query("status", BASE + "SELECT count(*) AS traces, count(*) FILTER (success = false) AS failures, count(*) FILTER (success = false AND annotated) AS annotated_failures, count(*) FILTER (breached) AS breached, arg_max(trace_id, (created_us, trace_id)) FILTER (success = false) AS last_failure FROM traces")
+def _(spark, d):
+    return fleet.status(both(spark, d)[1])
+
+
+@query("gap_days", BASE + """, o AS (SELECT DISTINCT store, CAST(make_timestamp(created_us) AS DATE) AS day FROM traces), s AS (SELECT store, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM o GROUP BY store)
+SELECT store, strftime(day, '%Y-%m-%d') AS day FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.store = s.store AND o.day = CAST(s.day AS DATE))""")
+def _(spark, d):
+    return fleet.gap_days(both(spark, d)[1])
+
+
+@query("recurring_modes", BASE + RULES + "SELECT mode_id, count(DISTINCT CAST(make_timestamp(created_us) AS DATE)) AS days FROM detections JOIN traces USING (trace_id) WHERE success = false GROUP BY mode_id HAVING days >= 2")
+def _(spark, d):
+    s, t = both(spark, d)
+    return fleet.recurring_modes(t, detect.run_rules(s, t, cycles=False))
+
+
+@query("worklist", _sql["triage"].replace("SELECT *, 2 * novelty", ", q AS (SELECT *, 2 * novelty", 1) + ") SELECT *, (SELECT count(*) FROM q WHERE NOT annotated) - 20 AS beyond FROM q WHERE NOT annotated ORDER BY score DESC, trace_id LIMIT 20")
+def _(spark, d):
+    return fleet.worklist(attribution.triage(*verdict(spark, d)), 20)
+
+
+@query("jaccard_turns", _TURNS + """, g AS (SELECT trace_id, pos, list_distinct(list_transform(range(1, greatest(length(text) - 2, 1) + 1), lambda i: substr(lower(text), i, 3))) AS s FROM t),
+p AS (SELECT *, lag(s) OVER (PARTITION BY trace_id ORDER BY pos) AS l FROM g)
+SELECT trace_id, pos, len(list_intersect(s, l)) / len(list_distinct(list_concat(s, l))) AS jaccard FROM p WHERE l IS NOT NULL""")
+def _(spark, d):
+    return fleet.turn_likeness(prose.turns(spark.read.parquet(f"{d}/conversations.parquet")))
+
+
+@query("inbox_census", "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (event_id % 3 <> 0) AS verified, CAST(max(epoch_us(ts)) AS DOUBLE) AS last FROM events GROUP BY 1")
+def _(spark, d):
+    posts = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("kind"), (F.col("event_id") % 3 != 0).alias("verified"), micros(F.col("ts")).cast("double").alias("received_at"))
+    return live.census(posts)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures ranked by how much a look at them is worth."""
     return _queries["triage"](spark, sf_dir)
