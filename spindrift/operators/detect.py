@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 WITHIN, CYCLE_CALLS = 6, 16
 STOP = ("with", "from", "that", "this", "then")
-ENTITY = r"#\w+(?:-\w+)*|\b[A-Z]{2,}\d+\b"
-INTENT = r"(?i)\b(?:will|now|then|let'?s|next)\s+(?:call|use|run|invoke|execute)\s+`?([a-z_][a-z0-9_]{2,})`?"
+ENTITY = r"\b[A-Z]{2,}[0-9]+\b|#\w+(-\w+)*"
+INTENT = r"(?i)\b(?:next|let'?s|then|now|will)\s+(?:execute|invoke|run|use|call)\s+`?([a-z_]\w{2,})`?"
 
 
 def _by():
@@ -59,13 +59,14 @@ def _longest_cycle(tools: list[str]) -> tuple[int, int]:
     for period in range(2, 7):
         run = at = 0
         while at + 2 * period <= len(tools):
-            if tools[at : at + period] == tools[at + period : at + 2 * period]:
-                run = run + period if run else 2 * period
-                if run > best:
-                    best, end = run, at + 2 * period
-                at += period
-            else:
+            ahead = at + period
+            if tools[at:ahead] != tools[ahead : ahead + period]:
                 run, at = 0, at + 1
+                continue
+            run += period if run else 2 * period
+            if run > best:
+                best, end = run, ahead + period
+            at = ahead
     return best, end
 
 

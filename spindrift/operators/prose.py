@@ -17,11 +17,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LIMIT = 8000
-VERIFY = r"(?i)\b(verif|check(ed)?|confirm|validate|test(ed)?|re-?run|assert)\w*\b"
-NUDGE = r"(?i)\b(continue|go on|keep (going|solving)|proceed)\b"
-LACKING = ("insufficient", "not specified", "cannot be solved", "unclear", "more context", "not enough information", "missing information", "cannot be determined")
-RESULT = r"\d+ failed|FAILED \[|FAILED \(|Traceback \(most recent call last\)|AssertionError|\d+ passed|All tests passed|Ran \d+ tests?[^O]*OK"
-CLAIM = r"(?i)\b((we|i|these changes|our changes|modifications?)\s+(have\s+|has\s+)?(now\s+)?(successfully\s+)?(resolved|fixed|addressed|solved)|(issue|bug|problem)\s+(is|has\s+been)\s+(now\s+)?(resolved|fixed|solved|addressed)|solution\s+(successfully\s+)?(addresses|works\s+as\s+intended)|all\s+tests?\s+(now\s+)?pass(ed|ing)?|task\s+is\s+complete)\b"
+VERIFY = r"(?i)\b(assert|confirm|re-?run|validate|verif|test(ed)?|check(ed)?)\w*\b"
+NUDGE = r"(?i)\b(proceed|continue|keep (solving|going)|go on)\b"
+LACKING = ("cannot be determined", "cannot be solved", "insufficient", "missing information", "more context", "not enough information", "not specified", "unclear")
+RESULT = r"AssertionError|Traceback \(most recent call last\)|FAILED [\[(]|\d+ (failed|passed)|Ran \d+ tests?[^O]*OK|All tests passed"
+CLAIM = r"(?i)\b(task\s+is\s+complete|all\s+tests?\s+(now\s+)?pass(ing|ed)?|solution\s+(successfully\s+)?(works\s+as\s+intended|addresses)|(problem|bug|issue)\s+(has\s+been|is)\s+(now\s+)?(addressed|solved|fixed|resolved)|(modifications?|our changes|these changes|i|we)\s+(has\s+|have\s+)?(now\s+)?(successfully\s+)?(solved|addressed|fixed|resolved))\b"
 COLUMNS = "mode_id string, rule string, trace_id string, step_index long, confidence double"
 
 
@@ -90,7 +90,7 @@ def alike(a: str, b: str, floor: float) -> bool:
     return m.real_quick_ratio() >= floor and m.quick_ratio() >= floor and m.ratio() >= floor
 
 
-ROUTING = re.compile(r"(?i)(observation|update|status)\b[^\n]*->\s*\S+[:.]?\s*(observation|update|status)?[.!:\s]*")
+ROUTING = re.compile(r"(?i)(status|update|observation)\b.*->\s*\S+[.:]?\s*(status|update|observation)?[\s.:!]*")
 
 
 def find_repeat(texts: list[str]) -> int | None:
@@ -121,8 +121,8 @@ def find_restart(texts: list[str], task: str) -> tuple[int, float] | None:
     return None
 
 
-NAME = re.compile(r"`?[A-Za-z_][A-Za-z0-9_]{2,}(?:\.[A-Za-z_][A-Za-z0-9_]*)+`?|`[^`]{3,60}`")
-PLUMBING = frozenset("py io src test tests def init run result print open path line start end python python3 bash code depth relative the and for not but you are with this that will can has its use get any all may out see how".split())
+NAME = re.compile(r"`?[A-Za-z_]\w{2,}(?:\.[A-Za-z_]\w*)+`?|`[^`]{3,60}`", re.ASCII)
+PLUMBING = frozenset("all and any are bash but can code def depth end for get has how init io its line may not open out path print py python python3 relative result run see src start test tests that the this use will with you".split())
 
 
 def _salient(text: str) -> set[str]:

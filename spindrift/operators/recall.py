@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import day_of
 
 STOP = ("the", "and", "for", "with", "from", "that", "this", "you", "are", "was")
-WORD = r"[a-z][a-z0-9._-]{2,}"
+WORD = r"[a-z][-._0-9a-z]{2,}"
 REDACTIONS = [("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("IP", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"), ("CARD", r"\b[0-9]{16}\b"), ("HEX", r"\b[0-9a-f]{40}\b")]
 
 

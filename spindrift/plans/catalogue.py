@@ -390,7 +390,7 @@ def _(spark, d):
     return recall.related(s, t, t.agg(F.min("trace_id")).first()[0])
 
 
-@query("topics", """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9._-]{2,}')) AS word FROM conversations),
+@query("topics", """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z][-._0-9a-z]{2,}')) AS word FROM conversations),
 c AS (SELECT role, word, count(*) AS n FROM w WHERE length(word) <= 32 AND word NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'you', 'are', 'was') GROUP BY 1, 2)
 SELECT role, word, n, row_number() OVER (PARTITION BY role ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 6""")
 def _(spark, d):

@@ -96,8 +96,8 @@ r_ignored AS (SELECT 'FM-2.5' AS mode_id, 'ignored' AS rule, m.trace_id, min(m.s
               GROUP BY m.trace_id),
 r_role AS (SELECT 'FM-1.2' AS mode_id, 'role' AS rule, trace_id, min(step_index) AS step_index, 0.85 AS confidence FROM calls JOIN traces USING (trace_id)
            WHERE roles AND agent = 'agent-0' AND calls.tool = 'place_order' GROUP BY trace_id),
-said AS (SELECT trace_id, step_index, kind, unnest(regexp_extract_all(concat_ws(' ', thought, result), '#\\w+(?:-\\w+)*|\\b[A-Z]{2,}\\d+\\b')) AS ent FROM steps),
-known AS (SELECT trace_id, ent, min(step_index) AS since FROM (SELECT trace_id, step_index, unnest(regexp_extract_all(result, '#\\w+(?:-\\w+)*|\\b[A-Z]{2,}\\d+\\b')) AS ent FROM steps) GROUP BY ALL),
+said AS (SELECT trace_id, step_index, kind, unnest(regexp_extract_all(concat_ws(' ', thought, result), '\\b[A-Z]{2,}[0-9]+\\b|#\\w+(-\\w+)*')) AS ent FROM steps),
+known AS (SELECT trace_id, ent, min(step_index) AS since FROM (SELECT trace_id, step_index, unnest(regexp_extract_all(result, '\\b[A-Z]{2,}[0-9]+\\b|#\\w+(-\\w+)*')) AS ent FROM steps) GROUP BY ALL),
 r_lost AS (SELECT 'FM-1.4' AS mode_id, 'lost_reference' AS rule, s.trace_id, min(s.step_index) AS step_index, 0.55 AS confidence
            FROM said s LEFT JOIN known n ON n.trace_id = s.trace_id AND n.ent = s.ent AND n.since < s.step_index
            WHERE s.step_index > 0 AND s.kind <> 'tool_call' AND n.ent IS NULL GROUP BY s.trace_id),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 CAP, MOST_STEPS, MOST_TEXT = 10_000_000, 10_000, 4000
 STEP = "struct<kind:string,tool:string,args:string,result:string,thought:string,tokens:bigint,latency_ms:bigint,error:string,agent:string,meta:string>"
 _RAW = "struct<kind:variant,tool:variant,args:variant,result:variant,thought:variant,tokens:variant,latency_ms:variant,error:variant,agent:variant,meta:variant>"
-SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
+SAFE_ID = r"^[0-9A-Za-z][-.0-9A-Z_a-z]*$"
 
 
 def _text(v: Column) -> Column:
