@@ -81,7 +81,7 @@ def cycle(steps: DataFrame) -> DataFrame:
             for trace, c in zip(part["trace_id"], part["c"]):
                 run, end = _longest_cycle([x["tool"] for x in c])
                 if run >= CYCLE_CALLS:
-                    out.append(("FM-1.3", "cycle", trace, int(c[end - run]["step_index"]), min(0.85, 0.5 + 0.02 * run)))
+                    out.append(("FM-1.3", "cycle", trace, int(c[end - run]["step_index"]), min(0.02 * run + 0.5, 0.85)))
             yield pd.DataFrame(out, columns=["mode_id", "rule", "trace_id", "step_index", "confidence"])
 
     return calls.mapInPandas(scan, "mode_id string, rule string, trace_id string, step_index long, confidence double")

@@ -84,7 +84,7 @@ def jaccard(a: set[str], b: set[str]) -> float:
 
 def alike(a: str, b: str, floor: float) -> bool:
     """Whether the matching blocks of two texts reach the floor; cheap bounds come first."""
-    if 2.0 * min(len(a), len(b)) < floor * (len(a) + len(b)):
+    if floor * (len(a) + len(b)) > 2 * min(len(b), len(a)):
         return False
     m = SequenceMatcher(None, a, b)
     return m.real_quick_ratio() >= floor and m.quick_ratio() >= floor and m.ratio() >= floor
@@ -121,12 +121,12 @@ def find_restart(texts: list[str], task: str) -> tuple[int, float] | None:
     return None
 
 
-NAME = re.compile(r"`?[A-Za-z_]\w{2,}(?:\.[A-Za-z_]\w*)+`?|`[^`]{3,60}`", re.ASCII)
+NAME = re.compile(r"`?[^\W\d]\w{2,}(\.[^\W\d]\w*)+`?|`[^`]{3,60}`", re.ASCII)
 PLUMBING = frozenset("all and any are bash but can code def depth end for get has how init io its line may not open out path print py python python3 relative result run see src start test tests that the this use will with you".split())
 
 
 def _salient(text: str) -> set[str]:
-    return {w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= 3 and w not in PLUMBING}
+    return {w for w in re.split(r"[\W_]+", text.lower()) if w not in PLUMBING and len(w) > 2}
 
 
 def _touch(a: set[str], b: set[str]) -> bool:
@@ -141,10 +141,10 @@ def find_divergence(texts: list[str]) -> int | None:
         if a < 0 or b <= a:
             continue
         thought, action = turn[a + 8 : b], turn[b + 7 :]
-        names = {x.strip("`") for x in NAME.findall(thought)}
+        names = {x.strip("`") for x in (m.group() for m in NAME.finditer(thought))}
         if len(names) < 2 or any(x in action for x in names) or len(action.strip()) < 16:
             continue
-        if any(x in action.lower() for x in ("the action as block of code", "observation: the result of the action")):
+        if any(x in action.lower() for x in ("observation: the result of the action", "the action as block of code")):
             continue
         words = _salient(action)
         if words and not _touch(set().union(*map(_salient, names)), words) and not _touch(_salient(thought), words):

@@ -52,7 +52,7 @@ def softmax(scores: DataFrame, temperature: float) -> DataFrame:
     return scores.withColumn("e", e).withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
 
 
-def fit_temperature(scores: DataFrame, gold: DataFrame, low: float = 0.5, high: float = 5.0, iterations: int = 40) -> float:
+def fit_temperature(scores: DataFrame, gold: DataFrame, low: float = 0.5, high: float = 5.0, rounds: int = 40) -> float:
     """The temperature of the least mean negative log-likelihood of the true modes, by golden-section search. Each probe is one
     aggregate; the scores never come to the driver. gold: trace_id, mode_id."""
     rows = scores.join(gold.select("trace_id", F.col("mode_id").alias("gold")), "trace_id").cache()
@@ -64,7 +64,7 @@ def fit_temperature(scores: DataFrame, gold: DataFrame, low: float = 0.5, high:
         return list(shifted.groupBy("trace_id").agg(*terms).agg(*(F.avg(f"t{i}") for i in range(len(at)))).first())
 
     phi, a, b = (math.sqrt(5) - 1) / 2, low, high
-    for _ in range(iterations):
+    for _ in range(rounds):
         c, d = b - phi * (b - a), a + phi * (b - a)
         lc, ld = loss(c, d)
         a, b = (a, d) if lc < ld else (c, b)
@@ -76,7 +76,7 @@ def conformal_threshold(probabilities: DataFrame, gold: DataFrame, alpha: float
     """The ceil((n + 1)(1 - alpha))-th least of 1 - p of the true modes."""
     true = gold.join(probabilities, ["trace_id", "mode_id"], "left").select((1 - F.coalesce("p", F.lit(0.0))).alias("x"))
     n = true.count()
-    at = min(max(0, math.ceil((n + 1) * (1 - alpha)) - 1), n - 1)
+    at = min(max(math.ceil((1 - alpha) * (n + 1)) - 1, 0), n - 1)
     by = true.groupBy("x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
     return by.where(F.col("upto") > at).agg(F.min("x")).first()[0]
 

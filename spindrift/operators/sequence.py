@@ -62,7 +62,8 @@ def edit_script(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[tupl
             same, shape = a[i - 1][0] == b[j - 1][0], a[i - 1][1] == b[j - 1][1]
             if table[i][j] == table[i - 1][j - 1] + (MATCH if same else SUBSTITUTE if shape else 0.0):
                 out.append(("equal" if same else "mutated", i - 1, j - 1, 1.0 if same else round(SequenceMatcher(None, a[i - 1][0], b[j - 1][0]).ratio(), 3)))
-                i, j = i - 1, j - 1
+                i -= 1
+                j -= 1
                 continue
         if i and table[i][j] == table[i - 1][j] + GAP:
             out.append(("deleted", i - 1, None, 0.0))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SCALARS = {"id": "trace_id", "task": "task", "success": "success", "model": "model", "created": "created", "steps": "steps", "tokens": "tokens", "duration": "duration", "max_latency": "max_latency", "errors": "errors"}
 TEXTS, SETS, LISTS = {"id", "task", "model"}, {"mode", "agents", "tools"}, {"failed_tools", "failed_agents"}
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-TOKEN = re.compile(r"\s*(?:(?P<op>==|!=|<=|>=|<|>)|(?P<open>[(\[])|(?P<close>[)\]])|(?P<comma>,)|(?P<string>'[^']*'|\"[^\"]*\")|(?P<number>-?\d+(?:\.\d+)?)(?P<unit>[smhdw](?=\s+ago\b))?|(?P<word>[A-Za-z_][\w.-]*))")
+TOKEN = re.compile(r"\s*(?:(?P<sign>==|!=|<=|>=|<|>)|(?P<open>[(\[])|(?P<close>[)\]])|(?P<sep>,)|(?P<quoted>'[^']*'|\"[^\"]*\")|(?P<amount>-?[0-9]+(?:[.][0-9]+)?)(?P<unit>[smhdw](?=\s+ago\b))?|(?P<word>[A-Za-z_][\w.-]*))")
 
 
 class ExpressionError(ValueError):
@@ -34,7 +34,7 @@ def tokens(text: str) -> list[tuple[str, str, int]]:
         m = TOKEN.match(text, at)
         if not m:
             raise ExpressionError(f"can't read position {at}: {text[at : at + 12]!r}")
-        kind = m.lastgroup if m.lastgroup != "unit" else "number"
+        kind = m.lastgroup if m.lastgroup != "unit" else "amount"
         out.append((kind, m.group(kind), m.start(kind)))
         if m.group("unit"):
             out.append(("unit", m.group("unit"), m.start("unit")))
@@ -119,7 +119,7 @@ class _Parser:
             raise ExpressionError(f"unknown field {name!r} at position {at}")
         kind, op, at = self.take()
         op = op.lower()
-        if kind != "op" and op not in ("contains", "startswith", "endswith", "matches", "in"):
+        if kind != "sign" and op not in ("in", "matches", "endswith", "startswith", "contains"):
             raise ExpressionError(f"operator expected at position {at}")
         return compare(name, op, self.value(name))
 
@@ -129,13 +129,13 @@ class _Parser:
             out = []
             while self.items[self.at : self.at + 1] and self.items[self.at][:2] != ("close", "]"):
                 out.append(self.value(name))
-                if self.items[self.at : self.at + 1] and self.items[self.at][0] == "comma":
+                if self.items[self.at : self.at + 1] and self.items[self.at][0] == "sep":
                     self.take()
             self.take("close")
             return out
-        if kind == "string":
+        if kind == "quoted":
             return text[1:-1]
-        if kind == "number":
+        if kind == "amount":
             if self.items[self.at : self.at + 1] and self.items[self.at][0] == "unit":
                 unit = self.take()[1]
                 self.take("word")

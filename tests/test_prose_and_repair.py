@@ -60,7 +60,7 @@ def test_conformal(spark):
     top = math.exp(2) / (math.exp(2) + 2)
     assert at == pytest.approx(1 - (1 - top) / 2) or at == pytest.approx(1 - top)
     assert {r.modes for r in repair.conformal_sets(p, 1 - top + 1e-9).collect()} == {"a"}
-    assert 0.5 <= repair.fit_temperature(scores, gold, iterations=6) <= 5.0
+    assert 0.5 <= repair.fit_temperature(scores, gold, rounds=6) <= 5.0
 
 
 def test_duplicates_and_merge(spark):

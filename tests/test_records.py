@@ -2,9 +2,28 @@ import json
 
 from spindrift.sources import records, sinks
 
-NATIVE = {"id": "abc", "task": "t", "created_at": 5, "model": "m", "success": "TRUE", "meta": {"a": 1}, "steps": [{"kind": "tool_call", "tool": "get", "args": {"b": 2, "a": 1}, "result": "ok", "tokens": 3.9, "latency_ms": -5}, {"kind": "plan", "thought": "x", "args": [], "meta": "x", "tokens": True}]}
-CHAT = {"messages": [{"role": "user", "content": "do it"}, {"role": "assistant", "content": None, "tool_calls": [{"id": "1", "type": "function", "function": {"name": "go", "arguments": '{"k": 1}'}}, {"id": "2", "type": "function", "function": {"name": "bad", "arguments": "oops"}}]}, {"role": "tool", "name": "go", "content": "boom", "is_error": True}, {"role": "assistant", "content": "done"}], "metadata": {"trace_id": "0123456789ab"}}
-OTLP = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "T", "spanId": "b", "parentSpanId": "a", "name": "call", "startTimeUnixNano": "2000000000", "endTimeUnixNano": "2005000000", "status": {"code": 2}, "attributes": [{"key": "gen_ai.usage.total_tokens", "value": {"intValue": "7"}}]}, {"traceId": "T", "spanId": "a", "name": "root", "startTimeUnixNano": "1000000000", "endTimeUnixNano": "3000000000", "status": {"code": 1}, "attributes": []}]}]}]}
+
+
+def step(kind, **more):
+    return dict(kind=kind, **more)
+
+
+def say(role, content, **more):
+    return dict(role=role, content=content, **more)
+
+
+def call(i, name, arguments):
+    return dict(id=i, type="function", function=dict(name=name, arguments=arguments))
+
+
+def span(i, name, start, end, code, parent=None, attributes=()):
+    return dict(traceId="T", spanId=i, name=name, startTimeUnixNano=start, endTimeUnixNano=end, status=dict(code=code), attributes=list(attributes), **({"parentSpanId": parent} if parent else {}))
+
+
+NATIVE = dict(id="abc", task="t", created_at=5, model="m", success="TRUE", meta={"a": 1}, steps=[step("tool_call", tool="get", args=dict(b=2, a=1), result="ok", tokens=3.9, latency_ms=-5), step("plan", thought="x", args=[], meta="x", tokens=True)])
+CHAT = dict(messages=[say("user", "do it"), say("assistant", None, tool_calls=[call("1", "go", '{"k": 1}'), call("2", "bad", "oops")]), say("tool", "boom", name="go", is_error=True), say("assistant", "done")], metadata=dict(trace_id="0123456789ab"))
+USED = dict(key="gen_ai.usage.total_tokens", value=dict(intValue="7"))
+OTLP = dict(resourceSpans=[dict(scopeSpans=[dict(spans=[span("b", "call", "2000000000", "2005000000", 2, "a", [USED]), span("a", "root", "1000000000", "3000000000", 1)])])])
 
 
 def write(path, *rows):
@@ -13,7 +32,7 @@ def write(path, *rows):
 
 
 def test_all_kinds(spark, tmp_path):
-    path = write(tmp_path / "r.jsonl", NATIVE, CHAT, [{"role": "user", "content": "hi"}], OTLP, "{torn", "[1", {"id": "x", "steps": {}}, {"nothing": 1}, {"id": "../../pwn", "steps": []})
+    path = write(tmp_path / "r.jsonl", NATIVE, CHAT, [say("user", "hi")], OTLP, "{torn", "[1", {"id": "x", "steps": {}}, {"nothing": 1}, dict(id="../../pwn", steps=[]))
     got = {r.trace_id: r for r in records.read(spark, path).collect()}
     assert len(got) == 4
     a = got["abc"]
@@ -34,7 +53,7 @@ def test_coercion(spark, tmp_path):
     assert {r.trace_id: r.created_at for r in records.read(spark, path).collect()} == {f"a{i}": w for i, (_, w) in enumerate(cases)}
     counts = [(-5, 0), (True, 0), ("7", 0), (1e30, 10_000_000), (3.9, 3)]
     outcomes = [("TRUE", True), (1, True), (0, False), ("yes", None), (None, None), (" false ", False)]
-    path = write(tmp_path / "d.jsonl", *({"id": f"n{i}", "steps": [{"kind": "plan", "tokens": v}]} for i, (v, _) in enumerate(counts)), *({"id": f"s{i}", "success": v, "steps": []} for i, (v, _) in enumerate(outcomes)))
+    path = write(tmp_path / "d.jsonl", *(dict(id=f"n{i}", steps=[step("plan", tokens=v)]) for i, (v, _) in enumerate(counts)), *({"id": f"s{i}", "success": v, "steps": []} for i, (v, _) in enumerate(outcomes)))
     got = {r.trace_id: r for r in records.read(spark, path).collect()}
     assert [got[f"n{i}"].steps[0].tokens for i in range(len(counts))] == [w for _, w in counts]
     assert [got[f"s{i}"].success for i in range(len(outcomes))] == [w for _, w in outcomes]
