@@ -77,7 +77,7 @@ def _cutter(path: str, fast_path: str | None, longest: int):
             doc, start, length, total, ids = [], [], [], [], []
             for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = np.array([*encode(text or ""), END], dtype="<u4")
-                body, at = memoryview(tokens.tobytes()), 0
+                body, at = tokens.tobytes(), 0
                 for n in decompose(len(tokens), longest):
                     doc.append(d), start.append(at), length.append(n), total.append(len(tokens))
                     ids.append(body[4 * at : 4 * (at + n)])

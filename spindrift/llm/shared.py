@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -58,20 +62,36 @@ def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers are reused from step to step; what one step freed would else count
+    against the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut between rows so that the column holds about `most` bytes; a longer row comes alone."""
     import numpy as np
 
+    turn = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         ends = np.cumsum(lengths(batch.column(column)))
         begin = 0
         while begin < batch.num_rows:
+            if turn % 8 == 0:
+                give_back()
+            turn += 1
             before = ends[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 def lengths(column: pa.Array):
