@@ -31,13 +31,14 @@ LABELLED, MOST_LABELLED = 1500, 100_000
 TREES, DEPTH, LEAF = 40, 9, 4
 KEEP = 0.5
 NAMES = r"(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|credential|client[_-]?secret|key)"
+_PART = r"[-0-9A-Z_a-z]{8,}"
 _VALUE = r"[A-Za-z0-9+/=_\-.~!@#$%^&*]"
 #: Kind, what a text that matches must contain (nothing: the pattern is tried on all), pattern.
 PATTERNS = [
     ("private_key", ("PRIVATE KEY-----",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
     ("cloud_key", ("AKIA", "ASIA"), re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
     ("service_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "sk_live_", "AIza"), re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})")),
-    ("web_token", ("eyJ",), re.compile(r"\beyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")),
+    ("web_token", ("eyJ",), re.compile(rf"\beyJ{_PART}\.{_PART}\.{_PART}")),
     ("card", (), re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d.])")),
     # from the sign on: names are looked for in front of it, so that prose costs one pass for two characters
     ("assigned", ("=", ":"), re.compile(rf"(?:=>|:=|=|:)\s{{0,3}}[\"']?({_VALUE}{{8,200}})")),
