@@ -7,9 +7,9 @@ The terms are those of the benchmark, at most TERMS of them by hash. Documents a
 words; their images in the latent space are compared with the passages' by cosine, with the norm of the whole window, so
 that words foreign to the benchmark count against it. All windows are searched.
 
-A candidate's region, the window with an item's length on both sides, is then aligned with the item. It counts as a leak
-where the longest common subsequence has 0.75 of the item's words, or 0.5 (a paraphrase) and the item's answer follows
-whole; without an answer column the answer is the item's last sentence, or its last five words where that has fewer.
+A candidate's region, the window with the passage's length on both sides, is then aligned with the passage. It counts as a
+leak of the item where the longest common subsequence has 0.75 of the passage's words, or 0.5 (a paraphrase) and the
+item's answer stands there whole; without an answer column the answer is the item's last sentence, or its last five words where that has fewer.
 
 Defined results: null texts are empty ones; items without words match nothing; repeated items and documents each count;
 other columns are not read. Without documents or items there are no rows.
@@ -55,6 +55,14 @@ class Item:
     masks: dict[int, int]
 
 
+def masks(words: list[int]) -> dict[int, int]:
+    """The places of each word, as bits."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
 def lcs(item: Item, region: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming."""
     full = (1 << len(item.words)) - 1
@@ -82,8 +90,7 @@ class Space:
     foreign: float
     basis: np.ndarray  # terms by rank, times IDF
     passages: np.ndarray  # passages by rank, of unit length in the space of terms
-    of: np.ndarray  # the item of each passage
-    items: list[Item]
+    parts: list[Item]  # each passage, with its item's id and answer
 
 
 def last_sentence(text: str) -> list[int]:
@@ -97,10 +104,7 @@ def read_items(benchmark: DataFrame, item_id: str, text: str, answer: str | None
         words = plain_words(r.t)
         if words:
             last = plain_words(r.a) if r.a else last_sentence(r.t)
-            masks: dict[int, int] = {}
-            for i, w in enumerate(words):
-                masks[w] = masks.get(w, 0) | 1 << i
-            out.append(Item(r.i, words, last if len(last) >= 3 or r.a else words[-5:], masks))
+            out.append(Item(r.i, words, last if len(last) >= 3 or r.a else words[-5:], masks(words)))
     return out
 
 
@@ -185,7 +189,7 @@ def fit(docs: DataFrame, items: list[Item]) -> Space:
     basis = svd(shared.table(rows), size, min(RANK, size, len(passages)))
     image = np.stack([v @ basis[c] for c, v in sparse]).astype(np.float32)
     foreign = float(np.median(word_idf))
-    return Space(index, column, idf[column].astype(np.float32), foreign, (basis * idf[:, None]).astype(np.float32), image, np.array([n for n, _ in passages]), items)
+    return Space(index, column, idf[column].astype(np.float32), foreign, (basis * idf[:, None]).astype(np.float32), image, [Item(items[n].item_id, p, items[n].answer, masks(p)) for n, p in passages])
 
 
 def _search(space):
@@ -223,12 +227,12 @@ def _search(space):
                 cos = x[able] @ s.passages.T / norm[able, None]
                 for i, j in zip(*np.nonzero(cos >= COSINE)):
                     w = a + int(able[i])
-                    pairs.setdefault((int(of[w]), int(s.of[j])), []).append((int(first[w] - blocks[of[w]]), float(cos[i, j])))
-            out = []
+                    pairs.setdefault((int(of[w]), int(j)), []).append((int(first[w] - blocks[of[w]]), float(cos[i, j])))
+            top: dict[tuple, tuple] = {}
             ids = batch.column("doc_id").to_pylist() if pairs else []
             tags = batch.column("tag").to_pylist() if pairs else []
             for (d, n), hits in pairs.items():
-                item, best = s.items[n], None
+                item, best = s.parts[n], None
                 hits.sort()
                 reach = len(item.words)
                 for b, cos in hits:
@@ -238,7 +242,9 @@ def _search(space):
                     best = max(best, got) if best else got
                 share, cos, lo, hi = best
                 answer = _has(h[at[d] + lo : at[d] + hi].tolist(), item.answer)
-                out.append((ids[d], tags[d], item.item_id, cos, share, answer, share >= COPY or share >= PARAPHRASE and answer, lo, hi))
+                row = (share >= COPY or share >= PARAPHRASE and answer, share, cos, answer, lo, hi)
+                top[d, item.item_id] = max(top.get((d, item.item_id), row), row)
+            out = [(ids[d], tags[d], i, cos, share, answer, leak, lo, hi) for (d, i), (leak, share, cos, answer, lo, hi) in top.items()]
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["doc_id", "tag", "item_id", "cosine", "common", "answer", "leak", "first_word", "last_word"])

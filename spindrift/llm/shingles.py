@@ -1,7 +1,8 @@
 """Weighted shingles: runs of five words, weighted by how often a text has them and by how rare their words are.
 
-A shingle's weight is its number of places times the mean IDF of its words. IDF: 1 + ln((N + 1) / (max(df, N / 1000) + 1)),
-from the document frequencies of words over all documents. Words in fewer than a thousandth of the documents share one
+A shingle's weight is its number of places times the mean IDF of its words. IDF: 1 + ln((N + 1) / (max(df, N / 1000) + 1))
+/ ln(1001), from the document frequencies of words over all documents: no word counts more than twice another, so that the
+rare words of an edit don't outweigh the text around it. Words in fewer than a thousandth of the documents share one
 IDF, so that the table of the others is bounded by 1000 times the mean number of distinct words in a document. The IDF
 of whole shingles isn't used: it falls with each copy, so that in a large group of near copies the few edited shingles
 would outweigh the hundreds that are shared, and the group would be lost.
@@ -61,7 +62,7 @@ def fit(docs: DataFrame, text: str = "text") -> Idf:
     got = counts.toArrow()
     words, df = got["word"].to_numpy().view(U), got["df"].to_numpy()
     order = np.argsort(words)
-    idf = lambda x: 1 + np.log((n + 1) / (np.maximum(x, floor) + 1))
+    idf = lambda x: 1 + np.log((n + 1) / (np.maximum(x, floor) + 1)) / np.log(RARE + 1)
     return Idf(words[order], idf(df[order]).astype(np.float32), float(idf(0.0)))
 
 

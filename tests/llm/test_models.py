@@ -71,7 +71,7 @@ def test_near_dedup(spark, docs, rows):
     sets = []
     n = len(every)
     df = Counter(w for _, t in every for w in set(re.findall(r"[^\x20\x09-\x0d]+", t or "")))
-    idf = lambda w: 1 + math.log((n + 1) / (max(df[w], n / 1000) + 1))
+    idf = lambda w: 1 + math.log((n + 1) / (max(df[w], n / 1000) + 1)) / math.log(1001)
     for _, t in every:
         ws, c = re.findall(r"[^\x20\x09-\x0d]+", t or ""), Counter()
         for i in range(max(1, len(ws) - 4) if ws else 0):
