@@ -587,7 +587,7 @@ def _(spark, d):
     return fleet.recurring_modes(t, detect.run_rules(s, t, cycles=False))
 
 
-@query("worklist", _sql["triage"].replace("SELECT *, 2 * novelty", ", q AS (SELECT *, 2 * novelty", 1) + ") SELECT *, (SELECT count(*) FROM q WHERE NOT annotated) - 20 AS beyond FROM q WHERE NOT annotated ORDER BY score DESC, trace_id LIMIT 20")
+@query("worklist", _sql["triage"].replace("SELECT *, 2 * novelty", ", q AS (SELECT *, 2 * novelty", 1) + ") SELECT *, greatest(0, (SELECT count(*) FROM q WHERE NOT annotated) - 20) AS beyond FROM q WHERE NOT annotated ORDER BY score DESC, trace_id LIMIT 20")
 def _(spark, d):
     return fleet.worklist(attribution.triage(*verdict(spark, d)), 20)
 
