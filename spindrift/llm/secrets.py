@@ -1,7 +1,9 @@
 """Secret scans: patterns propose candidates, a random forest on their features removes the false ones.
 
 Candidates are quoted or bare values after words such as token, key or password, and strings of known shapes (cloud and
-service keys, tokens in three parts, private-key headers, card numbers with a valid check digit). A candidate's features
+service keys, tokens in three parts, private keys, card numbers with a valid check digit). A value of any length goes on as long as its
+characters do. A private key goes from its first line through its END line, or to the end of the text where none follows, and
+isn't judged (score 1): the forest, which knows one kind of first line, takes others for false. A candidate's features
 are its length, its entropy, the share of each kind of character, how often the kind changes from one character to the
 next, the mean log-probability of its letter pairs (a table of common pairs), the share of it that dictionary words cover,
 and the words and path separators around it. The forest is trained from labelled findings: LABELLED of each class, made
@@ -35,14 +37,15 @@ _PART = r"[-0-9A-Z_a-z]{8,}"
 _VALUE = r"[A-Za-z0-9+/=_\-.~!@#$%^&*]"
 #: Kind, what a text that matches must contain (nothing: the pattern is tried on all), pattern.
 PATTERNS = [
-    ("private_key", ("PRIVATE KEY-----",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
+    ("private_key", ("PRIVATE KEY-----",), re.compile(r"(?s)-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:.*?-----END (?:[A-Z]+ )*PRIVATE KEY-----|.*)")),
     ("cloud_key", ("AKIA", "ASIA"), re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")),
     ("service_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "sk_live_", "AIza"), re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})")),
     ("web_token", ("eyJ",), re.compile(rf"\beyJ{_PART}\.{_PART}\.{_PART}")),
-    ("card", (), re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d.])")),
-    # from the sign on: names are looked for in front of it, so that prose costs one pass for two characters
-    ("assigned", ("=", ":"), re.compile(rf"(?:=>|:=|=|:)\s{{0,3}}[\"']?({_VALUE}{{8,200}})")),
+    ("card", (), re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\.?\d)")),
+    # the sign: names are looked for in front of it, so that prose costs one pass for two characters; VALUE behind it
+    ("assigned", ("=", ":"), re.compile(rf"(?:=>|:=|=|:)\s{{0,3}}[\"']?(?={_VALUE}{{8}})")),
 ]
+VALUE = re.compile(rf"{_VALUE}+")
 KINDS = [k for k, _, _ in PATTERNS]
 NAMED = re.compile(rf"(?i)(?<![a-z]){NAMES}[\"']?\s{{0,3}}\Z|[_\-]{NAMES}[\"']?\s{{0,3}}\Z")
 DIGESTS = re.compile(r"(?i)\b(?:sha1|sha256|sha512|md5|commit|checksum|digest|hash|etag|rev|uuid|integrity|fingerprint)\b")
@@ -90,10 +93,14 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for kind, signs, pattern in PATTERNS:
         if signs and not any(x in text for x in signs):
             continue
+        end = 0  # of the last assigned value: signs within it aren't looked at, so that each character is read once
         for m in pattern.finditer(text):
-            if kind == "assigned" and not NAMED.search(text[max(0, m.start() - 48) : m.start()]):
-                continue
-            a, b = m.span(m.lastindex or 0)
+            a, b = m.span()
+            if kind == "assigned":
+                if a < end or not NAMED.search(text[max(0, a - 48) : a]):
+                    continue
+                a, b = VALUE.match(text, b).span()
+                end = b
             while kind == "assigned" and b > a and text[b - 1] in ".!@#$%^&*":
                 b -= 1
             if b - a < 8 or kind == "card" and not check_digit(text[a:b]):
@@ -104,6 +111,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for x in out:
         if not kept or x[1] >= kept[-1][2]:
             kept.append(x)
+        elif x[0] == "private_key":  # a value that runs into a key is part of it
+            kept[-1] = (x[0], kept[-1][1], x[2])
     return kept
 
 
@@ -210,7 +219,10 @@ def _scan(forest, keep: float, redact: bool):
             texts = batch.column("text").to_pylist()
             found = [candidates(t) for t in texts]
             flat = [(i, k, a, b) for i, c in enumerate(found) for k, a, b in c]
-            scores = trees.predict(np.array([features(k, texts[i][a:b], texts[i][max(0, a - 40) : a], texts[i][b : b + 20]) for i, k, a, b in flat])) if flat else []
+            judged = np.array([k != "private_key" for _, k, _, _ in flat], bool)
+            scores = np.ones(len(flat))
+            if judged.any():
+                scores[judged] = trees.predict(np.array([features(k, texts[i][a:b], texts[i][max(0, a - 40) : a], texts[i][b : b + 20]) for (i, k, a, b), j in zip(flat, judged) if j]))
             kept: list[list] = [[] for _ in texts]
             for (i, k, a, b), s in zip(flat, scores):
                 if s >= keep:
