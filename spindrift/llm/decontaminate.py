@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences and answer checks.
 
 Words are lower-cased and freed of ASCII punctuation. Benchmark items are cut into passages of 64 words, half
-overlapping; their TF-IDF rows (document frequencies over all documents) are factored by a distributed randomised SVD:
-each task multiplies its passages' rows with the present basis, and only sums of the size of the basis come together.
-The terms are those of the benchmark, at most TERMS of them by hash. Documents are cut into windows of two blocks of 16
-words; their images in the latent space are compared with the passages' by cosine, with the norm of the whole window, so
-that words foreign to the benchmark count against it. All windows are searched.
+overlapping; their TF-IDF rows (document frequencies over all documents) are factored, RANK passages at a time, by a
+distributed randomised SVD: each task multiplies its passages' rows with the present basis, and only sums of the size of the
+basis come together. The terms are those of the passages. As no group has more passages than its space has dimensions,
+nothing of a passage is lost, however large the benchmark is; the search takes time in proportion to the groups. Documents
+are cut into windows of two blocks of 16 words; their images in each latent space are compared with the passages' by cosine,
+with the norm of the whole window, so that words foreign to the benchmark count against it. All windows are searched.
 
 A candidate's region, the window with the passage's length on both sides, is then aligned with the passage. It counts as a
 leak of the item where the longest common subsequence has 0.75 of the passage's words, or 0.5 (a paraphrase) and the
@@ -31,7 +32,7 @@ from . import textkit as tk
 
 U = np.uint64
 PASSAGE, BLOCK = 64, 16
-RANK, POWER, TERMS = 256, 2, 1 << 16
+RANK, POWER = 256, 2
 COSINE, COPY, PARAPHRASE = 0.35, 0.75, 0.5
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -80,17 +81,24 @@ def _has(region: list[int], part: list[int]) -> bool:
     return n > 0 and any(region[i : i + n] == part for i in range(len(region) - n + 1))
 
 
+@dataclass
+class Group:
+    """At most RANK passages in their latent space."""
+
+    row: np.ndarray  # of each of the benchmark's terms, its row of the basis, or -1
+    basis: np.ndarray  # terms by rank, times IDF
+    passages: np.ndarray  # passages by rank, of unit length in the space of terms
+    parts: list[Item]  # each passage, with its item's id and answer
+
+
 @dataclass
 class Space:
-    """The benchmark's terms and their IDF, and the passages in the latent space."""
+    """The benchmark's terms and their IDF, and the groups of passages."""
 
     terms: tk.Index
-    column: np.ndarray
     idf: np.ndarray
     foreign: float
-    basis: np.ndarray  # terms by rank, times IDF
-    passages: np.ndarray  # passages by rank, of unit length in the space of terms
-    parts: list[Item]  # each passage, with its item's id and answer
+    groups: list[Group]
 
 
 def last_sentence(text: str) -> list[int]:
@@ -170,26 +178,31 @@ def svd(rows: DataFrame, n_terms: int, rank: int) -> np.ndarray:
     return (q_before @ vectors[:, keep])[:, ::-1]
 
 
+def factor(spark: SparkSession, parts: list[Item], place: dict[int, int], idf: np.ndarray) -> Group:
+    sparse = _rows([p.words for p in parts], place, idf)
+    own = np.unique(np.concatenate([c for c, _ in sparse]))
+    row = np.full(len(idf), -1, np.int32)
+    row[own] = np.arange(len(own))
+    rows = spark.createDataFrame([(row[c].tolist(), v.tolist()) for c, v in sparse], "c array<long>, v array<double>")
+    basis = svd(shared.table(rows), len(own), min(RANK, len(own), len(parts)))
+    image = np.stack([v @ basis[row[c]] for c, v in sparse]).astype(np.float32)
+    return Group(row, (basis * idf[own, None]).astype(np.float32), image, parts)
+
+
 def fit(docs: DataFrame, items: list[Item]) -> Space:
     spark = docs.sparkSession
     words = np.array(sorted({w for i in items for w in i.words}), dtype=U)
-    column = np.arange(len(words)) if len(words) <= TERMS else (tk.mix(words * tk.M3) % U(TERMS)).astype(np.int64)
-    size = min(len(words), TERMS)
     index = tk.Index(words)
     got = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(index)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(words))
     df[got["term"].to_numpy()] = got["df"].to_numpy()
-    word_idf = np.log((docs.count() + 1) / (df + 1))
-    idf = np.zeros(size)
-    np.maximum.at(idf, column, word_idf)
-    place = dict(zip(words.tolist(), column.tolist()))
-    passages = [(n, i.words[a : a + PASSAGE]) for n, i in enumerate(items) for a in range(0, max(len(i.words) - PASSAGE // 2, 1), PASSAGE // 2)]
-    sparse = _rows([p for _, p in passages], place, idf)
-    rows = spark.createDataFrame([(c.tolist(), v.tolist()) for c, v in sparse], "c array<long>, v array<double>")
-    basis = svd(shared.table(rows), size, min(RANK, size, len(passages)))
-    image = np.stack([v @ basis[c] for c, v in sparse]).astype(np.float32)
-    foreign = float(np.median(word_idf))
-    return Space(index, column, idf[column].astype(np.float32), foreign, (basis * idf[:, None]).astype(np.float32), image, [Item(items[n].item_id, p, items[n].answer, masks(p)) for n, p in passages])
+    idf = np.log((docs.count() + 1) / (df + 1))
+    place = {w: i for i, w in enumerate(words.tolist())}
+    passages = [i.words[a : a + PASSAGE] for i in items for a in range(0, max(len(i.words) - PASSAGE // 2, 1), PASSAGE // 2)]
+    owners = [i for i in items for _ in range(0, max(len(i.words) - PASSAGE // 2, 1), PASSAGE // 2)]
+    parts = [Item(i.item_id, p, i.answer, masks(p)) for i, p in zip(owners, passages)]
+    groups = [factor(spark, parts[a : a + RANK], place, idf) for a in range(0, len(parts), RANK)]
+    return Space(index, idf.astype(np.float32), float(np.median(idf)), groups)
 
 
 def _search(space):
@@ -204,35 +217,37 @@ def _search(space):
             block = blocks[:-1][text] + (np.arange(len(h)) - at[text]) // BLOCK
             weight = np.where(found >= 0, s.idf[np.maximum(found, 0)], np.float32(s.foreign))
             square = np.bincount(block, weights=weight.astype(np.float64) ** 2, minlength=blocks[-1])
-            image = np.zeros((blocks[-1], s.basis.shape[1]), np.float32)
-            pick = np.flatnonzero((found >= 0) & (weight > 1))  # words of more than a third of the documents weigh nearly nothing
-            for a in range(0, len(pick), 1 << 13):
-                p = pick[a : a + (1 << 13)]
-                b = block[p]
-                starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-                image[b[starts]] += np.add.reduceat(s.basis[s.column[found[p]]], starts)
             # windows: each block with the next one of its text
             count = np.maximum(np.diff(blocks) - 1, (size > 0).astype(np.int64))
             first = tk.runs(blocks[:-1], count)
             of = np.repeat(np.arange(len(size)), count)
             second = np.minimum(first + 1, blocks[of + 1] - 1)
             two = second > first
-            pairs: dict[tuple[int, int], list] = {}
-            for a in range(0, len(first), 1 << 12):
-                c = slice(a, a + (1 << 12))
-                x = image[first[c]] + np.where(two[c, None], image[second[c]], 0)
-                norm = np.sqrt(square[first[c]] + np.where(two[c], square[second[c]], 0))
-                able = np.flatnonzero(np.einsum("ij,ij->i", x, x) >= (COSINE * norm) ** 2)
-                able = able[norm[able] > 0]
-                cos = x[able] @ s.passages.T / norm[able, None]
-                for i, j in zip(*np.nonzero(cos >= COSINE)):
-                    w = a + int(able[i])
-                    pairs.setdefault((int(of[w]), int(j)), []).append((int(first[w] - blocks[of[w]]), float(cos[i, j])))
+            pairs: dict[tuple[int, int, int], list] = {}
+            able_words = np.flatnonzero((found >= 0) & (weight > 1))  # words of more than a third of the documents weigh nearly nothing
+            for g, group in enumerate(s.groups):
+                row = group.row[found[able_words]]
+                pick, row = able_words[row >= 0], row[row >= 0]
+                image = np.zeros((blocks[-1], group.basis.shape[1]), np.float32)
+                for a in range(0, len(pick), 1 << 13):
+                    b = block[pick[a : a + (1 << 13)]]
+                    starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+                    image[b[starts]] += np.add.reduceat(group.basis[row[a : a + (1 << 13)]], starts)
+                for a in range(0, len(first), 1 << 12):
+                    c = slice(a, a + (1 << 12))
+                    x = image[first[c]] + np.where(two[c, None], image[second[c]], 0)
+                    norm = np.sqrt(square[first[c]] + np.where(two[c], square[second[c]], 0))
+                    able = np.flatnonzero(np.einsum("ij,ij->i", x, x) >= (COSINE * norm) ** 2)
+                    able = able[norm[able] > 0]
+                    cos = x[able] @ group.passages.T / norm[able, None]
+                    for i, j in zip(*np.nonzero(cos >= COSINE)):
+                        w = a + int(able[i])
+                        pairs.setdefault((int(of[w]), g, int(j)), []).append((int(first[w] - blocks[of[w]]), float(cos[i, j])))
             top: dict[tuple, tuple] = {}
             ids = batch.column("doc_id").to_pylist() if pairs else []
             tags = batch.column("tag").to_pylist() if pairs else []
-            for (d, n), hits in pairs.items():
-                item, best = s.parts[n], None
+            for (d, g, n), hits in pairs.items():
+                item, best = s.groups[g].parts[n], None
                 hits.sort()
                 reach = len(item.words)
                 for b, cos in hits:

@@ -213,6 +213,16 @@ def test_decontaminate(spark, nothing):
     assert decontaminate.leaks(table, benchmark.where("item_id >= 90")).collect() == []
 
 
+def test_decontaminate_large_benchmark(spark):
+    """Verbatim copies are found however many passages there are."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(2500)]
+    items = [(i, " ".join(rng.choice(vocabulary, 16))) for i in range(2050)]
+    docs = [(i, " ".join([*rng.choice(vocabulary, i % 16), *(t for _, t in items[5 * i : 5 * i + 5])])) for i in range(410)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i // 5, i) for i in range(2050)}
+
+
 def test_lcs():
     a, b = [1, 2, 3, 4, 5, 2], [9, 2, 3, 5, 2, 2]
     masks = {}
