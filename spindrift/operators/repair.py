@@ -40,7 +40,7 @@ def plan_repair(steps: DataFrame, traces: DataFrame) -> DataFrame:
     ends = mended.groupBy("trace_id").agg(F.count("*").alias("n_steps"), F.max_by("kind", "step_index").alias("last_kind"), F.max("step_index").alias("last_index"))
     after_traces = traces.drop("n_steps", "last_kind", "last_index").join(ends, "trace_id")
     before_traces = traces.join(failed, "trace_id", "left_semi")
-    modes = lambda s, t, name: detect.run_rules(s, t, cycles=False).where("confidence >= 0.5").groupBy("trace_id").agg(F.collect_set("mode_id").alias(name))
+    modes = lambda s, t, name: detect.run_rules(s, t).where("confidence >= 0.5").groupBy("trace_id").agg(F.collect_set("mode_id").alias(name))
     both = modes(mine, before_traces, "before").join(modes(mended, after_traces, "after"), "trace_id", "left").withColumn("after", F.coalesce("after", F.array().cast("array<string>")))
     return both.select("trace_id", F.array_join(F.sort_array(F.array_except("before", "after")), ",").alias("cleared"), F.array_join(F.sort_array(F.array_intersect("before", "after")), ",").alias("remaining"))
 

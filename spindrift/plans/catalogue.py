@@ -40,7 +40,7 @@ def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def verdict(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     s, t = both(spark, d)
-    return attribution.verdicts(detect.run_rules(s, t, cycles=False), t), s
+    return attribution.verdicts(detect.run_rules(s, t), t), s
 
 
 # sources and the expression language
@@ -192,7 +192,7 @@ def _(spark, d):
 
 @query("run_rules", BASE + RULES + "SELECT mode_id, count(*) AS traces, min(confidence) AS least, max(confidence) AS most FROM detections GROUP BY mode_id")
 def _(spark, d):
-    return detect.run_rules(*both(spark, d), cycles=False).groupBy("mode_id").agg(F.count("*").alias("traces"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    return detect.run_rules(*both(spark, d)).groupBy("mode_id").agg(F.count("*").alias("traces"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
 
 
 @query("attribute", BASE + RULES + "SELECT trace_id, success, primary_mode FROM verdicts")
@@ -202,7 +202,7 @@ def _(spark, d):
 
 @query("fusion_scores", BASE + RULES + "SELECT trace_id, mode_id, round(score, 6) AS score, confidence FROM fused")
 def _(spark, d):
-    return attribution.fused(detect.run_rules(*both(spark, d), cycles=False)).select("trace_id", "mode_id", F.round("score", 6).alias("score"), "confidence")
+    return attribution.fused(detect.run_rules(*both(spark, d))).select("trace_id", "mode_id", F.round("score", 6).alias("score"), "confidence")
 
 
 @query("store_stats", BASE + RULES + "SELECT store, count(*) AS traces, count(*) FILTER (success = false) AS failures, count(*) FILTER (success = false AND primary_mode = 'OTHER') AS unattributed, avg(n_steps) AS avg_steps, count(*) FILTER (breached) AS breached, CAST(sum(tokens) AS BIGINT) AS tokens FROM verdicts GROUP BY store")
@@ -239,7 +239,7 @@ def _(spark, d):
 @query("counterfactual_unique", BASE + RULES + "SELECT trace_id, any_value(mode_id) AS root_mode FROM detections WHERE confidence >= 0.5 GROUP BY trace_id HAVING count(*) = 1")
 def _(spark, d):
     """Traces whose one detection is the root cause: without its step nothing is found."""
-    rows = detect.run_rules(*both(spark, d), cycles=False).where("confidence >= 0.5")
+    rows = detect.run_rules(*both(spark, d)).where("confidence >= 0.5")
     return rows.groupBy("trace_id").agg(F.count("*").alias("n"), F.first("mode_id").alias("root_mode")).where("n = 1").drop("n")
 
 
@@ -521,7 +521,7 @@ def _(spark, d):
 
 @query("conformal_sets")
 def _(spark, d):
-    scores = attribution.fused(detect.run_rules(*both(spark, d), cycles=False))
+    scores = attribution.fused(detect.run_rules(*both(spark, d)))
     gold = scores.groupBy("trace_id").agg(F.min("mode_id").alias("mode_id"))
     p = repair.softmax(scores, 1.5)
     return repair.conformal_sets(p, repair.conformal_threshold(p, gold))
@@ -584,7 +584,7 @@ def _(spark, d):
 @query("recurring_modes", BASE + RULES + "SELECT mode_id, count(DISTINCT CAST(make_timestamp(created_us) AS DATE)) AS days FROM detections JOIN traces USING (trace_id) WHERE success = false GROUP BY mode_id HAVING days >= 2")
 def _(spark, d):
     s, t = both(spark, d)
-    return fleet.recurring_modes(t, detect.run_rules(s, t, cycles=False))
+    return fleet.recurring_modes(t, detect.run_rules(s, t))
 
 
 @query("worklist", _sql["triage"].replace("SELECT *, 2 * novelty", ", q AS (SELECT *, 2 * novelty", 1) + ") SELECT *, greatest(0, (SELECT count(*) FROM q WHERE NOT annotated) - 20) AS beyond FROM q WHERE NOT annotated ORDER BY score DESC, trace_id LIMIT 20")

@@ -94,3 +94,35 @@ def test_chain(spark):
 def test_fuzzy_prices(spark):
     rows = spark.createDataFrame([("GPT-X",), ("vendor/gpt-x",), ("other",)], "model string").select(rollup.fuzzy_rate(F.col("model"), {"gpt-x": 2.0}).alias("r"))
     assert [r.r for r in rows.collect()] == [2.0, 2.0, None]
+
+
+def test_registered_queries_have_the_cycle_rule(spark, monkeypatch):
+    """A run of 18 calls of two tools in turn, with changing arguments: the queries against verdicts made by hand."""
+    import math
+    from collections import defaultdict
+
+    from spindrift.operators import attribution
+    from spindrift.sources import adapters
+
+    s = adapters.steps(spark, DATA).cache()
+    trace = s.where("kind = 'tool_call' and error is null").join(adapters.traces(s).where("success = false").select("trace_id"), "trace_id", "left_semi").agg(F.min("trace_id")).first()[0]
+    one = s.where((F.col("trace_id") == trace) & (F.col("kind") == "tool_call") & F.col("error").isNull()).orderBy("step_index").limit(1)
+    more = one.crossJoin(spark.range(18)).withColumns({"step_index": (F.col("id") - 18).cast("long"), "tool": F.when(F.col("id") % 2 == 0, "ping").otherwise("pong"), "fingerprint": F.concat(F.lit("call "), F.col("id").cast("string"))}).drop("id")
+    looped = s.unionByName(more.select(s.columns)).cache()
+    monkeypatch.setattr(catalogue.adapters, "steps", lambda spark, d: looped)
+    found = [*detect.run_rules(looped, adapters.traces(looped), cycles=False).collect(), *detect.cycle(looped).collect()]
+    assert [(r.trace_id, r.mode_id) for r in found if r.rule == "cycle"] == [(trace, "FM-1.3")]
+    prior = {r.mode_id: r.prior for r in attribution.modes(spark).collect()}
+    scores = defaultdict(float)
+    for r in found:
+        if r.confidence >= 0.5:
+            scores[r.trace_id, r.mode_id] += math.log(prior[r.mode_id] * 14) + math.log((r.confidence + 0.005) / (1.005 - r.confidence))
+    got = {(r.trace_id, r.mode_id): r.score for r in catalogue.queries()["fusion_scores"](spark, DATA).collect()}
+    assert got == pytest.approx(scores, abs=2e-6)
+    best = {}
+    for (t, m), x in scores.items():
+        best[t] = min(best.get(t, (9e9, "")), (-x, m))
+    said = {r.trace_id: r.primary_mode for r in catalogue.queries()["attribute"](spark, DATA).collect()}
+    assert said == {t: best[t][1] if t in best else "OTHER" for t in said} and trace in said
+    assert {r.mode_id: r.traces for r in catalogue.queries()["run_rules"](spark, DATA).collect()}["FM-1.3"] == sum(r.mode_id == "FM-1.3" for r in found)
+    assert {r.trace_id: r["mode"] for r in catalogue.queries()["triage"](spark, DATA).collect()}[trace] == best[trace][1]
