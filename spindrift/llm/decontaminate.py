@@ -10,7 +10,7 @@ with the norm of the whole window, so that words foreign to the benchmark count
 
 A candidate's region, the window with the passage's length on both sides, is then aligned with the passage. It counts as a
 leak of the item where the longest common subsequence has 0.75 of the passage's words, or 0.5 (a paraphrase) and the
-item's answer stands there whole; without an answer column the answer is the item's last sentence, or its last five words where that has fewer.
+item's answer stands there whole, whatever other regions have; without an answer column the answer is the item's last sentence, or its last five words where that has fewer.
 
 Defined results: null texts are empty ones; items without words match nothing; repeated items and documents each count;
 other columns are not read. Without documents or items there are no rows.
@@ -77,8 +77,15 @@ def lcs(item: Item, region: list[int]) -> int:
 
 
 def _has(region: list[int], part: list[int]) -> bool:
-    n = len(part)
-    return n > 0 and any(region[i : i + n] == part for i in range(len(region) - n + 1))
+    n, i = len(part), -1
+    while n:
+        try:
+            i = region.index(part[0], i + 1, len(region) - n + 1)
+        except ValueError:
+            return False
+        if region[i : i + n] == part:
+            return True
+    return False
 
 
 @dataclass
@@ -193,7 +200,7 @@ def fit(docs: DataFrame, items: list[Item]) -> Space:
     spark = docs.sparkSession
     words = np.array(sorted({w for i in items for w in i.words}), dtype=U)
     index = tk.Index(words)
-    got = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(index)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    got = docs.select("text").mapInArrow(_frequencies(shared.Sent(spark, index)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(words))
     df[got["term"].to_numpy()] = got["df"].to_numpy()
     idf = np.log((docs.count() + 1) / (df + 1))
@@ -224,7 +231,7 @@ def _search(space):
             second = np.minimum(first + 1, blocks[of + 1] - 1)
             two = second > first
             pairs: dict[tuple[int, int, int], list] = {}
-            able_words = np.flatnonzero((found >= 0) & (weight > 1))  # words of more than a third of the documents weigh nearly nothing
+            able_words = np.flatnonzero(found >= 0)
             for g, group in enumerate(s.groups):
                 row = group.row[found[able_words]]
                 pick, row = able_words[row >= 0], row[row >= 0]
@@ -253,12 +260,11 @@ def _search(space):
                 for b, cos in hits:
                     lo, hi = max(0, b * BLOCK - reach), min(int(size[d]), (b + 2) * BLOCK + reach)
                     region = h[at[d] + lo : at[d] + hi].tolist()
-                    got = (lcs(item, region) / reach, min(cos, 1.0), lo, hi)
-                    best = max(best, got) if best else got
-                share, cos, lo, hi = best
-                answer = _has(h[at[d] + lo : at[d] + hi].tolist(), item.answer)
-                row = (share >= COPY or share >= PARAPHRASE and answer, share, cos, answer, lo, hi)
-                top[d, item.item_id] = max(top.get((d, item.item_id), row), row)
+                    share, answer = lcs(item, region) / reach, _has(region, item.answer)
+                    # each region is judged for itself: one with the answer isn't hidden by a likelier one without it
+                    row = (share >= COPY or share >= PARAPHRASE and answer, share, min(cos, 1.0), answer, lo, hi)
+                    best = max(best, row) if best else row
+                top[d, item.item_id] = max(top.get((d, item.item_id), best), best)
             out = [(ids[d], tags[d], i, cos, share, answer, leak, lo, hi) for (d, i), (leak, share, cos, answer, lo, hi) in top.items()]
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
@@ -280,7 +286,7 @@ def candidates(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     items = read_items(benchmark, item_id, item_text, answer)
     if not items:
         return spark.createDataFrame([], FOUND)
-    return rows.mapInArrow(_search(spark.sparkContext.broadcast(fit(rows, items))), FOUND)
+    return rows.mapInArrow(_search(shared.Sent(spark, fit(rows, items))), FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

@@ -230,7 +230,7 @@ def fill(m: Model, rows: DataFrame) -> np.ndarray:
     """Both tables, from all rows (text) of training documents: [order, slot, 2] counts, of a fixed size."""
     spark = rows.sparkSession
     given = rows.select("text", F.spark_partition_id().alias("task"))
-    packed = given.mapInArrow(_fill(spark.sparkContext.broadcast(m)), "k int, block int, task int, seen binary")
+    packed = given.mapInArrow(_fill(shared.Sent(spark, m)), "k int, block int, task int, seen binary")
     few = packed.groupBy("k", "block", (F.col("task") / 64).cast("int").alias("group")).applyInArrow(_sum, "k int, block int, seen binary")
     out = np.zeros((ORDERS, 2 << TABLE_BITS), dtype=np.uint32)
     for r in few.groupBy("k", "block").applyInArrow(_sum, "k int, block int, seen binary").toLocalIterator():
@@ -294,7 +294,7 @@ def _learn(model):
 
 def learn(m: Model, raw: np.ndarray, rows: DataFrame) -> None:
     """Weights and calibration, averaged over the tasks by how often each was used; a fixed number of rows comes back."""
-    shared_model = rows.sparkSession.sparkContext.broadcast((m, raw))
+    shared_model = shared.Sent(rows.sparkSession, (m, raw))
     got = rows.select("text").mapInArrow(_learn(shared_model), "what string, i long, x double, y double").groupBy("what", "i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
     w, cells = m.weights.astype(np.float64).ravel(), np.zeros((DEPTHS * (STEPS + 1), 2))
     for r in got:
@@ -307,7 +307,7 @@ def learn(m: Model, raw: np.ndarray, rows: DataFrame) -> None:
     p = squash(middle)
     # 32 decisions' worth of trust in the mixture itself
     m.calibration = np.log((cells[:, 1] + 32 * p) / (cells[:, 0] + 32 * (1 - p))).reshape(DEPTHS, STEPS + 1).astype(np.float32)
-    shared_model.unpersist()
+    shared_model.destroy()
 
 
 def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -403,7 +403,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     learn(m, raw, training.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIT)) == 0))
     m.tables = np.stack([quantised(raw[k][:, 0], raw[k][:, 1]) for k in range(ORDERS)])
     del raw
-    model = spark.sparkContext.broadcast(m)
+    model = shared.Sent(spark, m)
     each = rows.select("doc_id", "tag", "text").mapInArrow(_score(model), "doc_id long, tag int, n_tokens long, known long, logs double, rest long, rest_logs double, bits double, n_bytes long, rare array<long>, times array<int>")
     each = shared.table(each)
     model.destroy()

@@ -135,7 +135,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     shared.small_batches(spark)
     k = bands * depth
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(sh.fit(rows))
+    idf = shared.Sent(spark, sh.fit(rows))
     rows = rows.withColumn("node", F.md5(F.col("text").cast("binary")))
     signed = shared.table(rows.mapInArrow(_signer(idf, bands, depth), "node string, doc_id long, keys array<long>, sig binary"))
     nodes = shared.table(signed.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sig", "doc_id").alias("sig")))

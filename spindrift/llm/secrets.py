@@ -247,7 +247,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", forest: Fo
     spark = docs.sparkSession
     shared.small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(_scan(spark.sparkContext.broadcast(forest or train()), keep, False), FOUND)
+    return rows.mapInArrow(_scan(shared.Sent(spark, forest or train()), keep, False), FOUND)
 
 
 def redact(docs: DataFrame, carried: list[str], forest: Forest | None = None, keep: float = KEEP) -> DataFrame:
@@ -256,7 +256,7 @@ def redact(docs: DataFrame, carried: list[str], forest: Forest | None = None, ke
     shared.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carried)
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("doc_id", "text"))
-    return rows.mapInArrow(_scan(spark.sparkContext.broadcast(forest or train()), keep, True), f"{FOUND}, text string{more}").select(*rows.columns)
+    return rows.mapInArrow(_scan(shared.Sent(spark, forest or train()), keep, True), f"{FOUND}, text string{more}").select(*rows.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

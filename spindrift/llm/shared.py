@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,12 @@ PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set, as in tests."""
+    """The folder all executors share, as the cluster names it. Where none is named, a session on this one machine, as in
+    tests, makes a temporary one; a cluster's can't, since other hosts wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         own = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, own, True)
         found = f"file://{own}"
@@ -29,6 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Sent:
+    """A value at hand in every task, broadcast with its classes: executors need no copy of this package. It is opened once
+    in each Python worker."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if not hasattr(self.packed, "_opened"):
+            self.packed._opened = pickle.loads(self.packed.value)
+            if self.packed._jbroadcast is None:  # in a worker: what is opened needs no packed form
+                del self.packed._value
+        return self.packed._opened
+
+    def destroy(self) -> None:
+        self.packed.destroy()
+
+
 def table(df: DataFrame, partition: str | None = None) -> DataFrame:
     """Writes df in the shared folder and reads it again: later steps neither recompute it nor depend on its executors."""
     spark = df.sparkSession
