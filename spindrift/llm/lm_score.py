@@ -1,19 +1,24 @@
 """LM scoring by logistic context mixing over binary decisions.
 
-A token is coded by the decisions on its way through a Huffman tree of the LEAVES most frequent training tokens; one leaf
-stands for all others, whose own share follows (below). Each decision is predicted from three contexts: the tree's node
-alone, the node with the token before, and with the two before, the last two hashed into tables of 2 ** TABLE_BITS
-counters. The logits of the predictions are mixed by weights that a gate selects (depth in the tree, and how often each
-context was seen), and a calibration table refines the mixture. Weights and calibration are learnt online, each decision
-as if its own count weren't there; while a text is scored, its own shift of the weights is refined after 64, 192, 448 ...
-of its tokens, so that only what stands before affects a prediction.
+A token is coded by the decisions on its way through a Huffman tree of the most frequent training tokens; one leaf stands
+for all others, whose own share follows (below). Each decision is predicted from three contexts: the tree's node alone, the
+node with the token before, and with the two before, the last two hashed into tables of counters. The logits of the
+predictions are mixed by weights that a gate selects (depth in the tree, and how often each context was seen), and a table
+of the contexts' joint states refines the mixture. Counters, weights and refinement come from all training documents, as
+sums of integers, so that a score doesn't depend on how documents are spread over files and tasks. While a text is scored,
+its own shift of the weights is learnt after 64, 192, 448 ... of its tokens, so that only what stands before affects a
+prediction.
+
+A training text's decisions are predicted as if their own counts weren't in the tables, as an online coder would that hasn't
+seen the text yet: a text scores low in bits where others, or itself before, say the same. Tokens below the common leaf keep
+their own count, as in the base.
 
 Below the common leaf, a training token of count c has (1 - u)(c + 1) / (N' + V'), N' and V' the occurrences and kinds of
 such tokens; u, for any unknown token, is the share of those that occur once (Good and Turing). Known tokens and one
 "unknown" so share the probability 1, as they do in the add-one base.
 
-Counts and tables come from all training documents. The mixture's weights are learnt from those of every FIT-th training
-document, by a hash of its id. Tables have a fixed size; what makes them is summed in two steps over the tasks.
+What is gathered grows with the corpus: all tokens are counted; leaves grow as the square root of the training tokens, and
+counters as table_bits() says.
 
 Defined results: a null text is an empty one, of one token (the end); a null id trains; repeated rows are scored each for
 itself, alike; other columns are not read. With no training documents every token is unknown. An empty table gives no rows.
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +41,18 @@ from . import textkit as tk
 
 U = np.uint64
 FOLDS, HELD = 7, 2
-LOOKUP, LEAVES = 1 << 18, (1 << 16) - 1
-TABLE_BITS, BLOCK_BITS = 22, 16
+#: Leaves of the tree: so many times the square root of the number of training tokens. Tokens looked up: so many times those.
+LEAVES_PER_ROOT, LOOKUP_PER_LEAF = 8, 4
+BLOCK_BITS = 16
 ORDERS = 2
-FIT = 32
 END = U(0x8F1BBCDCBFA53E0B)
-DEPTHS, SEEN = 16, 4
-GATES, INPUTS = DEPTHS * SEEN * SEEN, 4
-STEPS = 48  # calibration: cells of half a unit of logit, from -12 to 12
+#: Classes of depth in the tree, and bins of a node's own logit (from -8 to 8) for the fit of the weights.
+DEPTHS, BINS = 4, 16
 PIECE = 4 << 20
 #: Tokens whose decisions are worked on at once; the arrays then fit the cache.
 CHUNK = 1 << 13
 FIRST = 64
+INPUTS = 3
 
 
 def trains(doc_id: Column) -> Column:
@@ -74,9 +79,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
 
 
+def _states() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a pair of counters says: the state of each entry (n1 << 8 | n0), each state's logit, and its class of how often
+    it was seen (0, 1 to 2, 3 to 9, more)."""
+    n0, n1 = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+    n, t = n0 + n1, np.log((n1 + 0.4) / (n0 + 0.4))
+    seen = np.digitize(n, (1, 3, 10))
+    bins, width = np.array([1, 5, 9, 15]), np.array([1.0, 0.75, 0.7, 0.87])
+    half = (bins[seen] - 1) // 2
+    near = np.clip(np.round(t / width[seen]), -half, half).astype(np.int64)
+    first = np.r_[0, np.cumsum(bins)]
+    state = first[seen] + half + near
+    logit = np.concatenate([(np.arange(k) - (k - 1) // 2) * w for k, w in zip(bins, width)])
+    return state.astype(np.uint8), logit, np.repeat(np.arange(4), bins)
+
+
+STATE, STATE_LOGIT, STATE_SEEN = _states()
+STATES = len(STATE_LOGIT)
+
+
+def _without() -> np.ndarray:
+    """The states again, three times: of the entry itself, and of the entry less one count of bit 0, or of bit 1: what all
+    other decisions say. An entry that is full (255) is scaled down, so that one count is next to nothing in it."""
+    e = np.arange(1 << 16)
+    n0, n1 = e & 255, e >> 8
+    full = (n0 == 255) | (n1 == 255)
+    less = [np.where(full, e, np.where(n > 0, e - step, e)) for n, step in ((n0, 1), (n1, 256))]
+    return np.concatenate([STATE, *(STATE[x] for x in less)])
+
+
+SEEN_AS = _without()
+
+
 @dataclass
 class Model:
-    """words: sorted hashes of the LOOKUP most frequent tokens; c their counts; leaf their leaves, or that of all others."""
+    """words: sorted hashes of the most frequent tokens; c their counts; leaf their leaves, or that of all others."""
 
     words: np.ndarray
     c: np.ndarray
@@ -90,9 +127,10 @@ class Model:
     node: np.ndarray
     bit: np.ndarray
     node_logit: np.ndarray
-    tables: np.ndarray | None = None  # [order, slot]: uint8 logit, uint8 seen, as uint16
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.6, 0.3, 0.5, 0.0], np.float32), (GATES, 1)))
-    calibration: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-12, 12, STEPS + 1, dtype=np.float32), (DEPTHS, 1)))
+    table_bits: int
+    tables: np.ndarray | None = None  # [order, slot]: entries as _states() reads them
+    mixed: np.ndarray | None = None  # [depth, state, state]: what the contexts add to the logit
+    prior: np.ndarray | None = None  # the same: the weight of the node's own logit
 
     def __post_init__(self) -> None:
         # where the words begin whose hashes have the same 20 high bits
@@ -101,6 +139,10 @@ class Model:
             self.first[-1] = len(self.words)
         self.size = np.diff(self.code_at)
         self.node_hash = (self.node.astype(U) + U(1)) * tk.M2
+        depth = np.minimum(np.arange(len(self.node)) - np.repeat(self.code_at[:-1], self.size), 4 * DEPTHS - 1) // 4
+        self.depth = (depth * STATES * STATES).astype(np.int32)
+        self.own_logit = self.node_logit[self.node]
+        self.bin = np.clip(np.round(self.own_logit + BINS / 2), 0, BINS - 1).astype(np.int32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf and count (-1: not in the table) of each token."""
@@ -143,12 +185,30 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.array(at), np.array(node, dtype=np.int64), np.array(bit, dtype=np.int8), logit.astype(np.float32)
 
 
+def table_bits(tokens: int) -> int:
+    """Counters (2 ** bits of each order) grow as the power 0.25 of the training tokens: 23 bits for 73 million, 24 for four
+    thousand million. In proportion to the tokens they would outgrow any executor."""
+    return max(12, round(0.25 * np.log2(max(tokens, 1)) + 16.4))
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counters of 32 bits, their low bytes first: most others are zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def start(counts: DataFrame) -> Model:
-    """The model without its tables. counts: token, c of all training documents; at most LOOKUP rows come to the driver."""
+    """The model without its tables. counts: token, c of all training documents. To the driver come as many rows as the square
+    root of the number of training tokens asks for; leaves and tables grow with the corpus so."""
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(LOOKUP).toArrow()
+    most = LEAVES_PER_ROOT * int(total**0.5) + 255
+    top = counts.orderBy(F.desc("c"), "token").limit(LOOKUP_PER_LEAF * most).toArrow()
     words, c = top["token"].to_numpy().view(U), top["c"].to_numpy()
-    leaves = min(LEAVES, len(words))
+    leaves = min(most, len(words))
     rest_total, rest_kinds = total - int(c[:leaves].sum()), kinds - leaves
     least = int(c[leaves - 1]) if leaves else 0
     ones = counts.where("c = 1").count() if least > 1 or kinds > leaves else 0
@@ -156,7 +216,7 @@ def start(counts: DataFrame) -> Model:
     code = huffman(np.r_[c[:leaves], max(rest_total, 1)])
     leaf = np.minimum(np.arange(len(words)), leaves)
     order = np.argsort(words)
-    return Model(words[order], c[order], leaf[order], int(total), int(kinds), rest_total, rest_kinds, unknown, *code)
+    return Model(words[order], c[order], leaf[order], int(total), int(kinds), rest_total, rest_kinds, unknown, *code, table_bits(int(total)))
 
 
 def contexts(at: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -171,147 +231,160 @@ def contexts(at: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
 
 
 def decisions(m: Model, leaf: np.ndarray, ctx: list[np.ndarray]):
-    """For each decision of some tokens: its token, node, bit, depth and slots in the tables."""
-    size, begin = m.size[leaf], m.code_at[leaf]
-    d = tk.runs(begin, size)
+    """For each decision of some tokens: its token, place in the codes and slots in the tables."""
+    size = m.size[leaf]
+    d = tk.runs(m.code_at[leaf], size)
     token = np.repeat(np.arange(len(leaf)), size)
-    depth = np.minimum(d - begin[token], DEPTHS - 1)
     node_hash, slots = m.node_hash[d], []
     for c in ctx:
         x = np.repeat(c, size)
         x += node_hash
         x ^= x >> U(31)
         x *= tk.M3
-        x >>= U(64 - TABLE_BITS)
+        x >>= U(64 - m.table_bits)
         slots.append(x.view(np.int64))
-    return token, m.node[d], m.bit[d], depth, slots
+    return token, d, slots
 
 
 def _fill(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = model.value, np.zeros((ORDERS, 2 << TABLE_BITS), dtype=np.uint32)
-        any_, task = False, 0
+        m = model.value
+        seen, any_, task = None, False, 0
         for batch in shared.slices(batches, "text"):
+            if seen is None:
+                seen = np.zeros((ORDERS, 2 << m.table_bits), dtype=np.uint32)
             at, h = tokens(batch.column("text"))
             leaf, ctx = m.find(h)[0], contexts(at, h)
             for a in range(0, len(h), CHUNK):
-                _, _, bit, _, slots = decisions(m, leaf[a : a + CHUNK], [c[a : a + CHUNK] for c in ctx])
+                _, d, slots = decisions(m, leaf[a : a + CHUNK], [c[a : a + CHUNK] for c in ctx])
+                bit = m.bit[d]
                 for k in range(ORDERS):
                     np.add.at(seen[k], slots[k] * 2 + bit, np.uint32(1))
             any_, task = True, batch.column("task")[0].as_py()
         if any_:
-            pack = zstandard.ZstdCompressor(level=1).compress
+            width = min(2 << BLOCK_BITS, 2 << m.table_bits)
             for k in range(ORDERS):
-                for b, part in enumerate(seen[k].reshape(-1, 2 << BLOCK_BITS)):
+                for b, part in enumerate(seen[k].reshape(-1, width)):
                     if part.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([task], pa.int32()), pa.array([pack(part.astype("<u4").tobytes())], pa.binary())], ["k", "block", "task", "seen"])
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([task], pa.int32()), pa.array([packed(part)], pa.binary())], ["k", "block", "task", "seen"])
 
     return run
 
 
 def _sum(rows: pa.Table) -> pa.Table:
-    total = np.zeros(2 << BLOCK_BITS, dtype=np.int64)
+    total = None
     for x in rows["seen"]:
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), dtype="<u4")
-        total += data
-    total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
-    return pa.table({"k": rows["k"][:1], "block": rows["block"][:1], "seen": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
+        data = unpacked(x.as_py())
+        total = data.astype(np.int64) if total is None else total + data
+    total = np.minimum(total, 0xFFFFFFFF)
+    return pa.table({"k": rows["k"][:1], "block": rows["block"][:1], "task": pa.array([rows["task"][0].as_py() // 64], pa.int32()), "seen": pa.array([packed(total)], pa.binary())})
 
 
-def quantised(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Logit (from -12 to 12, 8 bits) and how often seen (0, 1 to 2, 3 to 9, more) of counters, as 16 bits."""
-    n = n0.astype(np.float64) + n1
-    logit = np.where(n > 0, np.log((n1 + 0.4) / (n0 + 0.4)), 0.0)
-    q = np.clip(np.round(logit * (127 / 12)) + 128, 1, 255).astype(np.uint16)
-    return q << 8 | np.digitize(n, (1, 3, 10)).astype(np.uint16)
+def entries(counts: np.ndarray) -> np.ndarray:
+    """Counts [slot, 2] as 16 bits; where one is above 255, both are scaled down alike."""
+    most = np.maximum(counts.max(axis=1), 1)
+    scaled = np.where(most[:, None] > 255, np.ceil(counts * (255.0 / most[:, None])), counts).astype(np.uint16)
+    return scaled[:, 0] | scaled[:, 1] << 8
 
 
 def fill(m: Model, rows: DataFrame) -> np.ndarray:
-    """Both tables, from all rows (text) of training documents: [order, slot, 2] counts, of a fixed size."""
+    """Both tables' entries, from all rows (text) of training documents. Tasks' counts are summed 64 at a time, in as many
+    rounds as that takes, so that no group grows with the corpus."""
     spark = rows.sparkSession
     given = rows.select("text", F.spark_partition_id().alias("task"))
-    packed = given.mapInArrow(_fill(shared.Sent(spark, m)), "k int, block int, task int, seen binary")
-    few = packed.groupBy("k", "block", (F.col("task") / 64).cast("int").alias("group")).applyInArrow(_sum, "k int, block int, seen binary")
-    out = np.zeros((ORDERS, 2 << TABLE_BITS), dtype=np.uint32)
-    for r in few.groupBy("k", "block").applyInArrow(_sum, "k int, block int, seen binary").toLocalIterator():
-        width = 2 << BLOCK_BITS
-        out[r.k, r.block * width : (r.block + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.seen)), dtype="<u4")
-    return out.reshape(ORDERS, -1, 2)
-
-
-#: The logit in each of the tables' entries.
-LOGIT = (((np.arange(1 << 16) >> 8) - 128) * (12 / 127)).astype(np.float32)
+    schema = "k int, block int, task int, seen binary"
+    parts = shared.table(given.mapInArrow(_fill(shared.Sent(spark, m)), schema))
+    most = parts.agg(F.max("task")).first()[0] or 0
+    while True:
+        parts = parts.groupBy("k", "block", (F.col("task") / 64).cast("int").alias("group")).applyInArrow(_sum, schema)
+        most //= 64
+        if not most:
+            break
+    out = np.zeros((ORDERS, 1 << m.table_bits), dtype=np.uint16)
+    for r in parts.toLocalIterator():
+        counts = unpacked(bytes(r.seen)).reshape(-1, 2)
+        out[r.k, r.block * len(counts) : (r.block + 1) * len(counts)] = entries(counts)
+    return out
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def inputs(m: Model, node: np.ndarray, depth: np.ndarray, slots: list[np.ndarray], tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The logits of the three predictions, and the gate of each decision. tables: the quantised entries at the slots."""
-    logits = [m.node_logit[node], *(LOGIT[t] for t in tables)]
-    gate = depth * (SEEN * SEEN)
-    gate += (tables[0] & 255) * np.uint16(SEEN)
-    gate += tables[1] & 255
-    return logits, gate
+def gates(m: Model, d: np.ndarray, slots: list[np.ndarray], mode: np.ndarray | None) -> np.ndarray:
+    """The joint state of each decision's contexts and depth. mode: 0, or what to leave out of the entries (1 and 2: bits 0
+    and 1) times 2 ** 16; None: 0 throughout."""
+    out = m.depth[d]
+    for k, slot in enumerate(slots):
+        e = m.tables[k][slot]
+        if mode is not None:
+            e = e + mode
+        s = SEEN_AS[e].astype(np.int32)
+        if k == 0:
+            s *= STATES
+        out = out + s
+    return out
+
 
+def _census(model):
+    """How often each bit follows each joint state and bin of the node's own logit: integers, whose sums don't depend on how
+    documents are spread over tasks."""
 
-def _learn(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, raw = model.value
-        w, used = m.weights.astype(np.float64), np.zeros(GATES)
-        cells = np.zeros((DEPTHS, STEPS + 1, 2))
-        any_ = False
+        m, seen = model.value, np.zeros(DEPTHS * STATES * STATES * BINS * 2, np.int64)
         for batch in shared.slices(batches, "text"):
-            any_ = True
             at, h = tokens(batch.column("text"))
-            _, node, bit, depth, slots = decisions(m, m.find(h)[0], contexts(at, h))
-            entries = []
-            for k in range(ORDERS):
-                n = raw[k][slots[k]].astype(np.int64)
-                n[np.arange(len(bit)), bit] -= 1  # without this very decision
-                entries.append(quantised(np.maximum(n[:, 0], 0), np.maximum(n[:, 1], 0)))
-            logits, gate = inputs(m, node, depth, slots, entries)
-            for a in range(0, len(bit), 1 << 15):
-                s = slice(a, a + (1 << 15))
-                g, x = gate[s], [y[s] for y in logits]
-                v = w[g]
-                mixed = np.clip(v[:, 0] * x[0] + v[:, 1] * x[1] + v[:, 2] * x[2] + v[:, 3], -12, 12)
-                error = bit[s] - squash(mixed)
-                n = np.bincount(g, minlength=GATES)
-                used += n
-                rate = 0.3 / (1 + used / 50_000)
-                for i, y in enumerate([*x, np.ones(len(g))]):
-                    w[:, i] += rate * np.bincount(g, weights=error * y, minlength=GATES) / np.maximum(n + 20, 1)
-                near = np.round((mixed + 12) * (STEPS / 24)).astype(np.int64)
-                np.add.at(cells, (depth[s], near, bit[s].astype(np.int64)), 1)
-        if any_:
-            rows = [*(("w", i, float(v), float(u)) for i, (v, u) in enumerate(zip((w * used[:, None]).ravel(), np.repeat(used, INPUTS)))), *(("c", i, float(a), float(b)) for i, (a, b) in enumerate(cells.reshape(-1, 2)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows]) for j in range(4)], ["what", "i", "x", "y"])
+            leaf, ctx = m.find(h)[0], contexts(at, h)
+            for a in range(0, len(h), CHUNK):
+                _, d, slots = decisions(m, leaf[a : a + CHUNK], [c[a : a + CHUNK] for c in ctx])
+                bit = m.bit[d].astype(np.int32)
+                cell = gates(m, d, slots, (bit + 1) << 16)
+                cell *= BINS
+                cell += m.bin[d]
+                cell *= 2
+                cell += bit
+                np.add.at(seen, cell, 1)
+        cells = np.flatnonzero(seen)
+        if len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[cells])], ["cell", "n"])
 
     return run
 
 
-def learn(m: Model, raw: np.ndarray, rows: DataFrame) -> None:
-    """Weights and calibration, averaged over the tasks by how often each was used; a fixed number of rows comes back."""
-    shared_model = shared.Sent(rows.sparkSession, (m, raw))
-    got = rows.select("text").mapInArrow(_learn(shared_model), "what string, i long, x double, y double").groupBy("what", "i").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
-    w, cells = m.weights.astype(np.float64).ravel(), np.zeros((DEPTHS * (STEPS + 1), 2))
-    for r in got:
-        if r.what == "w" and r.y > 0:
-            w[r.i] = r.x / r.y
-        elif r.what == "c":
-            cells[r.i] = r.x, r.y
-    m.weights = w.reshape(GATES, INPUTS).astype(np.float32)
-    middle = np.tile(np.linspace(-12, 12, STEPS + 1), DEPTHS)
-    p = squash(middle)
-    # 32 decisions' worth of trust in the mixture itself
-    m.calibration = np.log((cells[:, 1] + 32 * p) / (cells[:, 0] + 32 * (1 - p))).reshape(DEPTHS, STEPS + 1).astype(np.float32)
-    shared_model.destroy()
-
-
-def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-    """Bits of each text's decisions."""
+def learn(m: Model, model: shared.Sent, rows: DataFrame) -> None:
+    """The mixture's weights, from all training documents, each decision seen as if its own count weren't there. What comes
+    back has a fixed size: the weights of each gate (depth, and how often each context was seen) are a logistic regression
+    on it. Then each joint state's own error is taken back, as far as its counts bear that out (the refinement)."""
+    got = rows.select("text").mapInArrow(_census(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = np.zeros(DEPTHS * STATES * STATES * BINS * 2)
+    cells[got["cell"].to_numpy()] = got["n"].to_numpy()
+    n = cells.reshape(DEPTHS, STATES, STATES, BINS, 2)
+    joint = np.indices(n.shape[:4]).reshape(4, -1)
+    gate = (joint[0] * 4 + STATE_SEEN[joint[1]]) * 4 + STATE_SEEN[joint[2]]
+    x = np.stack([joint[3] - BINS / 2, STATE_LOGIT[joint[1]], STATE_LOGIT[joint[2]], np.ones(joint.shape[1])], axis=1)
+    n = n.reshape(-1, 2)
+    some = np.flatnonzero(n.sum(axis=1))
+    first, ridge = np.array([0.6, 0.3, 0.5, 0.0]), 50.0
+    w = np.tile(first, (DEPTHS * 16, 1))
+    pick, own = x[some], gate[some]
+    total, ones = n[some].sum(axis=1), n[some, 1]
+    for _ in range(15):  # Newton's steps, held near the first weights where there is little to learn from
+        p = squash(np.clip((pick * w[own]).sum(axis=1), -12, 12))
+        slope = np.stack([np.bincount(own, pick[:, i] * (ones - total * p), len(w)) for i in range(4)], axis=1) - ridge * (w - first)
+        bend = np.stack([np.bincount(own, pick[:, i] * pick[:, j] * total * p * (1 - p), len(w)) for i in range(4) for j in range(4)], axis=1).reshape(-1, 4, 4) + ridge * np.eye(4)
+        w = w + np.clip(np.linalg.solve(bend, slope[:, :, None])[:, :, 0], -0.5, 0.5)
+    p = squash(np.clip((x * w[gate]).sum(axis=1), -12, 12))
+    by = lambda v: v.reshape(-1, BINS).sum(axis=1)
+    error, spread = by(n[:, 1] - n.sum(axis=1) * p), by(n.sum(axis=1) * p * (1 - p))
+    without = x.copy()
+    without[:, 0] = 0
+    mixed = (without * w[gate]).sum(axis=1).reshape(-1, BINS)[:, 0]
+    m.mixed = (mixed + np.clip(error / (spread + 20), -2, 2)).astype(np.float32)
+    m.prior = w[gate][:, 0].reshape(-1, BINS)[:, 0].astype(np.float32)
+
+
+def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray, trains: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each text's decisions. trains: whether the tables hold the text's own counts, which are then left out."""
     n = len(at) - 1
     out, text = np.zeros(n), tk.owner(at)
     # stretches of tokens between refinements: [0, 64), [64, 192), ...
@@ -320,46 +393,34 @@ def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray) -> np.n
     stages = np.searchsorted(stage[order], np.arange(int(stage.max()) + 2 if len(h) else 1))
     text, leaf, ctx = text[order], leaf[order], [c[order] for c in contexts(at, h)]
     own = np.zeros((INPUTS, n), np.float32)
-    weights = np.ascontiguousarray(m.weights.T)
-    flat = m.calibration.ravel()
     for s, (lo, hi) in enumerate(zip(stages[:-1].tolist(), stages[1:].tolist())):
         last = s == len(stages) - 2
         gradient, count = np.zeros((INPUTS, n)), np.zeros(n)
         for a in range(lo, hi, CHUNK):
             b = min(a + CHUNK, hi)
-            token, node, bit, depth, slots = decisions(m, leaf[a:b], [c[a:b] for c in ctx])
-            x, gate = inputs(m, node, depth, slots, [m.tables[k][slots[k]] for k in range(ORDERS)])
-            t = text[a:b][token]
-            mixed = weights[3][gate]
+            token, d, slots = decisions(m, leaf[a:b], [c[a:b] for c in ctx])
+            t, bit = text[a:b][token], m.bit[d]
+            mode = None if trains is None else np.where(trains[t], (bit + np.int32(1)) << 16, 0)
+            state = gates(m, d, slots, mode)
+            x, y = m.mixed[state], m.prior[state]
+            y *= m.own_logit[d]
+            mixed = x + y
             if s:
-                mixed += own[3][t]
-            for i, y in enumerate(x):
-                w = weights[i][gate]
-                if s:
-                    w += own[i][t]
-                w *= y
-                mixed += w
+                mixed += own[0][t] * x
+                mixed += own[1][t] * y
+                mixed += own[2][t]
             np.clip(mixed, -12, 12, out=mixed)
-            cell = (mixed + np.float32(12)) * np.float32(STEPS / 24)
-            low = np.minimum(cell.astype(np.int32), STEPS - 1)
-            cell -= low
-            low += depth * (STEPS + 1)
-            lower = flat[low]
-            final = lower + cell * (flat[low + 1] - lower)
-            final += mixed
-            final *= (np.float32(0.5) - bit).astype(np.float32)  # half, and with the sign of what didn't happen
-            cost = np.exp(final, out=final)
-            cost += np.float32(1)
-            np.log(cost, out=cost)
+            cost = mixed * (1 - 2 * bit).astype(np.float32)  # with the sign of what didn't happen
+            np.exp(cost, out=cost)
+            np.log1p(cost, out=cost)
             starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             who = t[starts]
             out[who] += np.add.reduceat(cost, starts, dtype=np.float64)
             if not last:
                 error = bit - 1 / (1 + np.exp(-mixed))
-                gradient[3, who] += np.add.reduceat(error, starts)
                 count[who] += np.diff(np.r_[starts, len(t)])
-                for i, y in enumerate(x):
-                    gradient[i, who] += np.add.reduceat(error * y, starts)
+                for i, z in enumerate((x, y, None)):
+                    gradient[i, who] += np.add.reduceat(error if z is None else error * z, starts, dtype=np.float64)
         own += (0.3 * gradient / (count + 200)).astype(np.float32)
     return out / np.log(2)
 
@@ -383,7 +444,7 @@ def _score(model):
             first = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (own[1:] != own[:-1])]) if len(rare) else np.zeros(0, np.int64)
             times = np.diff(np.r_[first, len(rare)]).astype(np.int32)
             edges = pa.array(np.searchsorted(own[first], np.arange(len(at))).astype(np.int32))
-            columns = {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_tokens": pa.array(np.diff(at)), "known": pa.array(add(known, None).astype(np.int64)), "logs": pa.array(add(known, logs[known])), "rest": pa.array(add(rest, None).astype(np.int64)), "rest_logs": pa.array(add(rest, logs[rest])), "bits": pa.array(text_bits(m, at, h, leaf)), "n_bytes": pa.array(shared.lengths(batch.column("text"))), "rare": pa.ListArray.from_arrays(edges, pa.array(rare[first].view(np.int64))), "times": pa.ListArray.from_arrays(edges, pa.array(times))}
+            columns = {"doc_id": batch.column("doc_id"), "tag": batch.column("tag"), "n_tokens": pa.array(np.diff(at)), "known": pa.array(add(known, None).astype(np.int64)), "logs": pa.array(add(known, logs[known])), "rest": pa.array(add(rest, None).astype(np.int64)), "rest_logs": pa.array(add(rest, logs[rest])), "bits": pa.array(text_bits(m, at, h, leaf, batch.column("trains").to_numpy(zero_copy_only=False))), "n_bytes": pa.array(shared.lengths(batch.column("text"))), "rare": pa.ListArray.from_arrays(edges, pa.array(rare[first].view(np.int64))), "times": pa.ListArray.from_arrays(edges, pa.array(times))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -399,12 +460,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     training = rows.where("trains")
     counts = shared.table(training.select("text").mapInArrow(_count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")))
     m = start(counts)
-    raw = fill(m, training)
-    learn(m, raw, training.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIT)) == 0))
-    m.tables = np.stack([quantised(raw[k][:, 0], raw[k][:, 1]) for k in range(ORDERS)])
-    del raw
+    m.tables = fill(m, training)
+    model = shared.Sent(spark, m)
+    learn(m, model, training)
+    model.destroy()
     model = shared.Sent(spark, m)
-    each = rows.select("doc_id", "tag", "text").mapInArrow(_score(model), "doc_id long, tag int, n_tokens long, known long, logs double, rest long, rest_logs double, bits double, n_bytes long, rare array<long>, times array<int>")
+    each = rows.select("doc_id", "tag", "text", "trains").mapInArrow(_score(model), "doc_id long, tag int, n_tokens long, known long, logs double, rest long, rest_logs double, bits double, n_bytes long, rare array<long>, times array<int>")
     each = shared.table(each)
     model.destroy()
     # equal rows lack the same tokens: their sums are shared out among them

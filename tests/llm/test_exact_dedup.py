@@ -67,6 +67,20 @@ def test_empty(nothing):
     assert suffix_dedup.dedup(nothing).collect() == []
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements differ, however they are arranged; so do words of any length but for one byte."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(19)]
+    rows = []
+    for n in (8, 64, 256, 257, 1024, 2048, 4096):
+        x = word[:n]
+        for y in (x, x.translate(str.maketrans("ab", "ba")), x[:-1] + "c", "c" + x[1:]):
+            rows.append((len(rows), " ".join([*around[:7], y, *around[7:]])))
+    check_words(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
 def test_periodic(spark):
     r = random.Random(3)
     rows = [(i, "".join(r.choices("ab", k=r.choice([3, 7, 40]))) * r.choice([1, 9, 60])) for i in range(40)]

@@ -32,10 +32,11 @@ def test_huffman_probabilities_add_up():
     """The decisions' probabilities, over all leaves, add up to 1 in any context."""
     counts = np.array([50, 20, 20, 5, 3, 1, 1])
     words = np.arange(1, 7, dtype=np.uint64) << np.uint64(50)
-    m = lm_score.Model(words, counts[:6], np.arange(6), 99, 6, 1, 1, 0.5, *lm_score.huffman(counts))
+    m = lm_score.Model(words, counts[:6], np.arange(6), 99, 6, 1, 1, 0.5, *lm_score.huffman(counts), 12)
     rng = np.random.default_rng(1)
-    m.tables = rng.integers(1, 256, (2, 1 << lm_score.TABLE_BITS)).astype(np.uint16) << 8 | rng.integers(0, 4, (2, 1 << lm_score.TABLE_BITS)).astype(np.uint16)
-    m.weights = rng.normal(0.4, 0.3, m.weights.shape).astype(np.float32)
+    m.tables = rng.integers(0, 1 << 16, (2, 1 << 12)).astype(np.uint16)
+    m.mixed = rng.normal(0, 1, lm_score.DEPTHS * lm_score.STATES**2).astype(np.float32)
+    m.prior = rng.normal(0.5, 0.3, len(m.mixed)).astype(np.float32)
     before = words[[3, 1] * 100]
     total = 0.0
     for leaf in range(7):
@@ -47,6 +48,61 @@ def test_huffman_probabilities_add_up():
     assert total == pytest.approx(1, abs=2e-2)
 
 
+def test_lm_score_by_brute_force(spark, docs):
+    """The tables, their census and the scores, recomputed decision by decision in plain Python."""
+    table = docs.select("doc_id", "text").where("doc_id is not null").limit(15).union(spark.createDataFrame([(900 + i, prose(900 + i // 2, 150)) for i in range(8)], "doc_id long, text string"))
+    rows = [(r.doc_id, r.text or "") for r in table.collect()]
+    training = table.where(lm_score.trains(table.doc_id)).selectExpr("coalesce(text, '') AS text")
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    counts = training.mapInArrow(lm_score._count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    m = lm_score.start(counts)
+    texts = [r.text for r in training.collect()]
+    seen = np.zeros((2, 1 << m.table_bits, 2), np.int64)
+
+    def walk(text):
+        at, h = lm_score.tokens(pa.array([text]))
+        leaf, ctx = m.find(h)[0], lm_score.contexts(at, h)
+        for t in range(len(h)):
+            for d in range(m.code_at[leaf[t]], m.code_at[leaf[t] + 1]):
+                slots = []
+                for c in ctx:
+                    x = (int(c[t]) + int(m.node_hash[d])) % 2**64
+                    x = (x ^ x >> 31) * int(lm_score.tk.M3) % 2**64
+                    slots.append(x >> 64 - m.table_bits)
+                yield t, d, d - m.code_at[leaf[t]], int(m.bit[d]), slots
+
+    for text in texts:
+        for _, _, _, bit, slots in walk(text):
+            for k, slot in enumerate(slots):
+                seen[k, slot, bit] += 1
+    m.tables = lm_score.fill(m, training)
+    assert all((m.tables[k] == lm_score.entries(seen[k])).all() for k in range(2))
+    lm_score.learn(m, lm_score.shared.Sent(spark, m), training)
+    for i, text in rows:
+        own = zlib.crc32(str(i).encode()) % 7 != 2
+        at, h = lm_score.tokens(pa.array([text]))
+        if len(h) > lm_score.FIRST:
+            continue
+        bits = 0.0
+        for _, d, depth, bit, slots in walk(text):
+            states = []
+            for k, slot in enumerate(slots):
+                n = seen[k, slot].copy()
+                n[bit] -= own
+                states.append(int(lm_score.STATE[n[1] << 8 | n[0]]))
+            cell = (min(depth // 4, 3) * lm_score.STATES + states[0]) * lm_score.STATES + states[1]
+            x = float(np.clip(m.mixed[cell] + m.prior[cell] * m.own_logit[d], -12, 12))
+            bits += math.log2(1 + math.exp(-x if bit else x))
+        assert lm_score.text_bits(m, at, h, m.find(h)[0], np.array([own]))[0] == pytest.approx(bits, rel=1e-4, abs=1e-6)
+
+
+def test_lm_score_does_not_depend_on_layout(docs):
+    got = [{(r.doc_id, r.n_tokens, r.score) for r in lm_score.score(docs.repartition(n)).collect()} for n in (1, 5)]
+    assert got[0] == got[1]
+
+
 def test_lm_empty(nothing):
     assert lm_score.score(nothing).collect() == []
 
@@ -223,6 +279,55 @@ def test_decontaminate_large_benchmark(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(i // 5, i) for i in range(2050)}
 
 
+def test_leaks_are_judged_region_by_region(spark):
+    """A region with the answer at 0.5 or more leaks, though another region is likelier and has no answer."""
+    item = [f"q{i}" for i in range(28)]
+    near = item[:18] + [f"x{i}" for i in range(10)]  # 18 of 28, without the answer
+    told = [f"y{i}" for i in range(12)] + item[12:]  # 16 of 28, with it
+    far = [f"z{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join([*told, *far, *near])), (2, " ".join(far + near)), (3, " ".join(far + told)), *((i, prose(i, 60)) for i in range(10, 40))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item[:-5]) + ". " + " ".join(item[-5:]) + ".")], "item_id long, text string")
+    got = {r.doc_id: (r.leak, r.answer) for r in decontaminate.candidates(docs, benchmark).collect()}
+    assert got == {1: (True, True), 2: (False, False), 3: (True, True)}
+
+
+def test_quality_of_a_rare_language(spark):
+    """Clean texts of a language of few trusted rows stay, whatever the others are like."""
+    swap = str.maketrans("abeiklmnorstu", "вкшжщцчфюэыъь")
+    main = [(i, prose(1000 + i, 60 + i % 200), "en") for i in range(900)]
+    rare = [(3000 + i, prose(3000 + i, 60 + i % 100).translate(swap), "xx") for i in range(12)]
+    docs = spark.createDataFrame([*main, *rare], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in [*main, *rare[:8]]], "doc_id long, quality int")
+    by = {r.doc_id: r.keep for r in quality.judge(docs, labels).collect()}
+    assert all(by[i] for i, _, _ in rare)
+    few = spark.createDataFrame([(i, 1) for i, _, _ in main[:3]], "doc_id long, quality int")
+    assert quality.judge(docs, few).where("perplexity is null").count() == 0
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Models reach workers that can't import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+from spindrift.llm import decontaminate, lm_score, near_dedup, quality, secrets
+docs = spark.createDataFrame([(i, "a b c d e f g h " * (i + 1), "en") for i in range(8)], "doc_id long, text string, lang string")
+labels = docs.selectExpr("doc_id", "1 AS quality")
+items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+print("rows", *(x.count() for x in (quality.judge(docs, labels), near_dedup.classes(docs), secrets.scan(docs), lm_score.score(docs), decontaminate.candidates(docs, items))))
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_PYTHON")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 8 8 8 8" in done.stdout, done.stderr[-3000:]
+
+
 def test_lcs():
     a, b = [1, 2, 3, 4, 5, 2], [9, 2, 3, 5, 2, 2]
     masks = {}
