@@ -23,10 +23,29 @@ U = np.uint64
 WINDOW, MER = 20, 3
 
 
-def _elements(column: pa.Array) -> Iterator[tuple]:
-    w = tk.words(column)
-    if not len(w.start):
-        return
+#: Words that are hashed at once; a longer text goes in stretches that overlap by a window less one word.
+STRETCH = 200_000
+
+
+def _elements(k: int):
+    def elements(column: pa.Array) -> Iterator[tuple]:
+        w = tk.words(column)
+        parts = [(0, w.doc, 0, len(w.start))]
+        if len(w.start) > 2 * STRETCH:
+            parts = []
+            for i, (a, b) in enumerate(zip(w.doc[:-1].tolist(), w.doc[1:].tolist())):
+                for x in range(a, max(b - k + 1, a + 1), STRETCH):
+                    y = min(b, x + STRETCH + k - 1)
+                    parts.append((x - a, np.r_[np.zeros(i + 1, np.int64), np.full(len(w.doc) - 1 - i, y - x)], x, y))
+        for base, at, x, y in parts:
+            if x < y:
+                lo, hi = int(w.start[x]), int(w.end[y - 1])
+                yield base, at, *_hashed(tk.Words(w.body[lo:hi], at, w.start[x:y] - lo, w.end[x:y] - lo))
+
+    return elements
+
+
+def _hashed(w: tk.Words) -> tuple:
     h1, h2 = w.hashes(0), w.hashes(1)
     n = np.arange(max(len(h1) - MER + 1, 0))
     mers = tk.hash_ranges(h1, n, n + MER, 0)
@@ -41,7 +60,7 @@ def _elements(column: pa.Array) -> Iterator[tuple]:
         body[ends - 1] = 32
         return body, ends
 
-    yield 0, w.doc, mers, content, strings
+    return mers, content, strings
 
 
 def _judge(k: int):
@@ -84,13 +103,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """doc_id, tag, spans (array of begin, end): words covered by a window that also starts earlier."""
-    return sk.removals(sk.keyed(docs, text, doc_id), _elements, _judge(window), window, MER, buckets)
+    return sk.removals(sk.keyed(docs, text, doc_id), _elements(window), _judge(window), window, MER, buckets)
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of each document."""
-    removed = removed_words(docs, text, doc_id, window, buckets)
-    return sk.cut(sk.keyed(docs, text, doc_id), removed, _apply, "doc_id long, n_words long, n_removed long, kept string")
+    rows = sk.keyed(docs, text, doc_id)
+    found = sk.repeats(rows, _elements(window), _judge(window), window, MER, buckets)
+    return sk.cut(rows, found, _apply, "doc_id long, n_words long, n_removed long, kept string", buckets)
 
 
 #: DuckDB SQL for query()'s rows: every window spelt out, its first place looked up.

@@ -24,7 +24,7 @@ from . import superkmer as sk
 from . import textkit as tk
 
 U = np.uint64
-LEAST, MER = 100, 24
+LEAST, MER = 100, 16
 #: Suffixes sorted at once; minimisers aren't split between sorts.
 AT_ONCE = 100_000
 
@@ -182,8 +182,9 @@ def removed_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay; a cut may fall within a character)."""
-    removed = removed_bytes(docs, text, doc_id, least, buckets)
-    return sk.cut(sk.keyed(docs, text, doc_id), removed, _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = sk.keyed(docs, text, doc_id)
+    found = sk.repeats(rows, _elements(least), _judge(least), least, MER, buckets)
+    return sk.cut(rows, found, _apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", buckets)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

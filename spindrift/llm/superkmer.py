@@ -4,6 +4,12 @@ A text is a row of elements (words or bytes). A window is k of them; its minimis
 strings in it. Equal windows have equal minimisers, so that all copies of a window meet in one bucket, and consecutive
 windows with one minimiser travel as one string. Super-k-mers that repeat whole within a piece of a task are settled
 there: only the earliest is sent. So a passage that thousands of documents share comes to its bucket once from each piece.
+
+A minimiser of HOT strings or more, as in a passage that many documents share among surroundings of their own, would fill
+its bucket: its windows are sent each for itself, by their own hashes (128 bits), to buckets of their own. A first pass over the
+texts counts minimisers by SLOTS slots; what is hot is a set of bits of that size, the same in all tasks.
+
+What is removed and the texts then meet by a hash of the document (packed, at every size of the input alike).
 """
 
 from __future__ import annotations
@@ -29,6 +35,9 @@ PLACE = U((1 << 24) - 1)
 
 #: Bytes of strings that a task gathers before it sends them, and buckets for each shuffle partition.
 HELD_BYTES, BUCKETS = 16 << 20, 8
+#: Strings of one minimiser beyond which its windows are spread; slots that minimisers are counted by; and how many a task
+#: must see of a slot in HELD_BYTES of text for that to count.
+HOT, SLOTS, FEW = 20_000, 1 << 22, 8
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -82,7 +91,7 @@ def spans(doc: np.ndarray, tag: np.ndarray, begin: np.ndarray, end: np.ndarray)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(data: bytes, n: int, *types: str) -> list[np.ndarray]:
@@ -97,7 +106,36 @@ def unpack(data: bytes, n: int, *types: str) -> list[np.ndarray]:
 META = ("<i8", "<i4", "<i8", "<u4", "<u4")  # doc_id, tag, place of the first window, windows, minimiser
 
 
-def packer(elements: Callable, k: int, m: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+WINDOWS = ("<u8", "<u8", "<i8", "<i4", "<i8")  # both hashes, doc_id, tag, place
+
+
+def census(elements: Callable, k: int, m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many strings each slot's minimisers have."""
+
+    def counted(held: list) -> pa.RecordBatch:
+        slot, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(slot[n >= FEW].astype(np.int32)), pa.array(n[n >= FEW].astype(np.int64))], ["slot", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, weight = [], 0
+        for batch in shared.slices(batches, "text"):
+            for _, at, mers, _, _ in elements(batch.column("text")):
+                held.append(slots(find(mers, at, k, m)[2]))
+            weight += batch.nbytes
+            if weight > HELD_BYTES and held:
+                yield counted(held)
+                held, weight = [], 0
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def slots(least: np.ndarray) -> np.ndarray:
+    return (tk.mix(least ^ tk.M2) % U(SLOTS)).astype(np.int64)
+
+
+def packer(elements: Callable, k: int, m: int, buckets: int, hot: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """elements(text column) yields (rows, first elements' places in their texts, offsets, m-element hashes, content hash of ranges, strings of ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +153,15 @@ def packer(elements: Callable, k: int, m: int, buckets: int) -> Callable[[Iterat
                 if len(gone):
                     turn += 1
                     yield sent([turn % buckets], [-len(gone)], [pack(doc[gone].astype("<i8"), tag[gone].astype("<i4"), pos[gone].astype("<i8"), (pos[gone] + size[gone] + k - 1).astype("<i8"))], [b""])
+                if hot is not None:
+                    spread = hot[slots(least[keep])]
+                    wide, keep = keep[spread], keep[~spread]
+                    first = tk.runs(start[wide], size[wide])
+                    if len(first):
+                        of = np.repeat(wide, size[wide])
+                        yield each_window(content(first, first + k), doc[of], tag[of], pos[of] + first - start[of], k, buckets)
+                    if not len(keep):
+                        continue
                 spread = tk.mix(least[keep] ^ tk.M1)
                 body, ends = strings(start[keep], start[keep] + size[keep] + k - 1)
                 held.append((spread, doc[keep], tag[keep], pos[keep], size[keep], ends + weight))
@@ -129,6 +176,22 @@ def packer(elements: Callable, k: int, m: int, buckets: int) -> Callable[[Iterat
     return run
 
 
+def each_window(hashes: tuple, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, k: int, buckets: int) -> pa.RecordBatch:
+    """Windows to the buckets of their hashes: the earliest of equal ones, and what is found to stand earlier."""
+    order, late = settle(doc, pos, *hashes)
+    gone, stay = order[late], order[~late]
+    bucket = (hashes[0][stay] >> U(32)) % U(buckets)
+    by = np.argsort(bucket, kind="stable")
+    stay, bucket = stay[by], bucket[by].astype(np.int64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(stay)].tolist()
+    columns = [np.ascontiguousarray(x[stay], dtype=t) for x, t in zip((*hashes, doc, tag, pos), WINDOWS)]
+    to, n, meta = bucket[cuts[:-1]].tolist(), np.diff(cuts).tolist(), [pack(*(x[a:b] for x in columns)) for a, b in zip(cuts[:-1], cuts[1:])]
+    if len(gone):
+        to.append(int(bucket[0])), n.append(-len(gone))
+        meta.append(pack(doc[gone].astype("<i8"), tag[gone].astype("<i4"), pos[gone].astype("<i8"), (pos[gone] + k).astype("<i8")))
+    return sent(to, n, meta, [b""] * len(to))
+
+
 def sent(bucket: list, n: list, meta: list, body: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(meta, pa.binary()), pa.array(body, pa.binary())], ["bucket", "n", "meta", "body"])
 
@@ -155,16 +218,23 @@ def unpacker(judge: Callable, k: int) -> Callable[[pa.Table], pa.Table]:
     """judge(doc, tag, pos, windows, minimiser, bodies) gives doc, tag, begin, end of what also stands earlier."""
 
     def run(rows: pa.Table) -> pa.Table:
-        found, got, bodies = [], [], []
+        found, got, bodies, windows = [], [], [], []
         for n, meta, body in zip(rows["n"].to_pylist(), rows["meta"].to_pylist(), rows["body"].to_pylist()):
             if n < 0:
                 found.append(unpack(meta, -n, "<i8", "<i4", "<i8", "<i8"))
+            elif not body:
+                windows.append(unpack(meta, n, *WINDOWS))
             else:
                 got.append(unpack(meta, n, *META))
                 bodies.append(zstandard.ZstdDecompressor().decompress(body))
         if got:
             doc, tag, pos, size, least = (np.concatenate(x) for x in zip(*got))
             found.append(judge(doc, tag, pos, size.astype(np.int64), least, bodies))
+        if windows:
+            h1, h2, doc, tag, pos = (np.concatenate(x) for x in zip(*windows))
+            order, late = settle(doc, pos, h1, h2)
+            gone = order[late]
+            found.append((doc[gone], tag[gone], pos[gone], pos[gone] + k))
         return pa.Table.from_batches([spans(*(np.concatenate(x) for x in zip(*found)))])
 
     return run
@@ -176,21 +246,92 @@ def repeated(least: np.ndarray) -> np.ndarray:
     return count[which] > 1
 
 
-def removals(docs: DataFrame, elements: Callable, judge: Callable, k: int, m: int, buckets: int | None) -> DataFrame:
-    """doc_id, tag, spans: what each document loses, as ranges of elements. docs: what keyed() returned."""
+def buckets_of(spark, buckets: int | None) -> int:
+    return buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def repeats(docs: DataFrame, elements: Callable, judge: Callable, k: int, m: int, buckets: int | None) -> DataFrame:
+    """doc_id, tag, begin, end: ranges of elements that each document loses, which may overlap. docs: what keyed() returned."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(packer(elements, k, m, buckets), PACKED)
-    found = packed.groupBy("bucket").applyInArrow(unpacker(judge, k), SPANS)
+    n = docs.mapInArrow(census(elements, k, m), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT).select("slot").toArrow()
+    hot = None
+    if n.num_rows:
+        hot = np.zeros(SLOTS, bool)
+        hot[n["slot"].to_numpy()] = True
+    buckets = buckets_of(spark, buckets)
+    packed = docs.mapInArrow(packer(elements, k, m, buckets, hot), PACKED)
+    return packed.groupBy("bucket").applyInArrow(unpacker(judge, k), SPANS)
+
+
+def removals(docs: DataFrame, *how) -> DataFrame:
+    """doc_id, tag, spans: what each document loses, as ranges of elements."""
+    found = repeats(docs, *how)
     return found.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
-def cut(docs: DataFrame, removed: DataFrame, apply: Callable, schema: str) -> DataFrame:
-    """Each document with its spans, through apply. Few spans go to the documents; many, and the documents are shuffled."""
-    removed = shared.sized(shared.table(removed))
-    joined = docs.join(removed, ["doc_id", "tag"], "left").select("doc_id", "text", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end"))
-    return joined.mapInArrow(apply, schema).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+BUNDLES = "bucket int, n int, meta binary, body binary"
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each bucket, packed. Equal rows travel once, with their number."""
+    held: dict[tuple, int] = {}
+    weight = 0
+
+    def flush() -> pa.RecordBatch:
+        by: dict[int, list] = {}
+        for row, times in held.items():
+            by.setdefault(row[0], []).append((row, times))
+        metas, bodies = [], []
+        for rows in by.values():
+            columns = [np.array([r[1] for r, _ in rows], "<i8"), np.array([r[2] for r, _ in rows], "<i4"), np.array([len(r[3]) for r, _ in rows], "<i8"), np.array([t for _, t in rows], "<i8")]
+            metas.append(pack(*columns))
+            bodies.append(zstandard.ZstdCompressor(level=3).compress(b"".join(r[3] for r, _ in rows)))
+        return sent(list(by), [len(rows) for rows in by.values()], metas, bodies)
+
+    for batch in shared.slices(batches, "text"):
+        body, at = tk.raw(batch.column("text"))
+        body, at = body.tobytes(), at.tolist()
+        for i, (bucket, doc, tag) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "tag")))):
+            row = (bucket, doc, tag, body[at[i] : at[i + 1]])
+            held[row] = held.get(row, 0) + 1
+        weight += len(body)
+        if weight > HELD_BYTES:
+            yield flush()
+            held, weight = {}, 0
+    if held:
+        yield flush()
+
+
+def _cutter(apply: Callable) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(bundles: pa.Table, spans: pa.Table) -> pa.Table:
+        doc, tag, begin, end = (spans[c].to_numpy() for c in ("doc_id", "tag", "begin", "end"))
+        order = np.lexsort((begin, tag, doc))
+        doc, tag, begin, end = doc[order], tag[order], begin[order], end[order]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else np.zeros(0, np.int64)
+        place = dict(zip(zip(doc[first].tolist(), tag[first].tolist()), zip(first.tolist(), [*first[1:].tolist(), len(doc)])))
+        out = []
+        for n, meta, body in zip(*(bundles[c].to_pylist() for c in ("n", "meta", "body"))):
+            ids, tags, size, times = unpack(meta, n, "<i8", "<i4", "<i8", "<i8")
+            body = zstandard.ZstdDecompressor().decompress(body)
+            ends = np.cumsum(size).tolist()
+            own = [place.get(key) for key in zip(ids.tolist(), tags.tolist())]
+            lists = lambda x: pa.array([x[a[0] : a[1]] if a else None for a in own], pa.list_(pa.int64()))  # noqa: E731, B023
+            texts = pa.array([body[e - k : e] for e, k in zip(ends, size.tolist())], pa.large_binary())
+            rows = pa.RecordBatch.from_arrays([pa.array(ids), texts, lists(begin), lists(end)], ["doc_id", "text", "begin", "end"])
+            for done in apply(iter([rows])):
+                out.append(done if times.max() == 1 else done.take(pa.array(np.repeat(np.arange(n), times))))
+        return pa.Table.from_batches(out, out[0].schema)
+
+    return run
+
+
+def cut(docs: DataFrame, found: DataFrame, apply: Callable, schema: str, buckets: int | None) -> DataFrame:
+    """Each document with what repeats() found of it, through apply."""
+    place = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(buckets_of(docs.sparkSession, buckets))).cast("int").alias("bucket")
+    texts = docs.select(place, "doc_id", "tag", "text").mapInArrow(_bundles, BUNDLES)
+    both = texts.groupBy("bucket").cogroup(found.select(place, *found.columns).groupBy("bucket"))
+    return both.applyInArrow(_cutter(apply), schema).withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:

@@ -62,6 +62,23 @@ def test_bytes(docs, rows):
     check_bytes(suffix_dedup.dedup(docs), rows)
 
 
+def test_hot_minimisers(spark, monkeypatch):
+    """A passage among surroundings that differ everywhere: its windows are spread, with the same results."""
+    monkeypatch.setattr(superkmer, "HOT", 30)
+    monkeypatch.setattr(superkmer, "FEW", 2)
+    monkeypatch.setattr(substring_dedup, "STRETCH", 40)
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join(word() for _ in range(r.randint(3, 30))) + " " + passage + " " + " ".join(word() for _ in range(r.randint(3, 30)))) for i in range(150)]
+    rows += [rows[3], rows[3], (900, " ".join(word() for _ in range(200)) + " " + passage + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    n = superkmer.keyed(docs, "text", "doc_id").mapInArrow(superkmer.census(suffix_dedup._elements(100), 100, suffix_dedup.MER), "slot int, n long").groupBy("slot").sum("n").where("`sum(n)` >= 30").count()
+    assert n
+    check_words(substring_dedup.dedup(docs), rows)
+    check_bytes(suffix_dedup.dedup(docs), rows)
+
+
 def test_empty(nothing):
     assert substring_dedup.dedup(nothing).collect() == []
     assert suffix_dedup.dedup(nothing).collect() == []
