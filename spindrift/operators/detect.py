@@ -137,13 +137,18 @@ def derail(steps: DataFrame) -> DataFrame:
 
 
 def forbidden(steps: DataFrame, traces: DataFrame) -> DataFrame:
-    rows = steps.where("kind = 'tool_call'").join(traces.where("forbidden is not null").select("trace_id", "forbidden"), "trace_id").where("tool = forbidden")
+    rows = steps.where("kind = 'tool_call'").join(traces.where("forbidden is not null").select("trace_id", "forbidden"), "trace_id").where("array_contains(forbidden, tool)")
     return _first(rows, "FM-1.1", "forbidden", 1.0)
 
 
-def clarify(steps: DataFrame) -> DataFrame:
+def _unclear() -> Column:
+    """A task that asks for a choice, or one that is marked as ambiguous."""
     task = F.lower("task")
-    unclear = steps.where(task.contains(" or ") & (task.contains("?") | task.contains("either")))
+    return (task.contains(" or ") & (task.contains("?") | task.contains("either"))) | F.coalesce("ambiguous", F.lit(False))
+
+
+def clarify(steps: DataFrame, traces: DataFrame) -> DataFrame:
+    unclear = steps.join(traces.select("trace_id", "ambiguous"), "trace_id").where(_unclear())
     asked = F.coalesce(F.contains("thought", F.lit("?")), F.lit(False)) | F.coalesce(F.contains("result", F.lit("?")), F.lit(False))
     rows = unclear.groupBy("trace_id").agg(F.coalesce(F.min(F.when(F.col("mutating"), F.col("step_index"))), F.max("step_index")).alias("at"), F.max(asked).alias("asked")).where("not asked")
     return _hit(rows, "FM-2.2", "clarify", F.col("at"), 0.55)
@@ -154,7 +159,7 @@ def withhold(steps: DataFrame) -> DataFrame:
     senders = F.collect_set(F.when(F.col("kind") == "message", F.col("from_agent"))).over(_after())
     actors = F.collect_set(F.when(F.col("kind").isin("tool_call", "plan"), F.col("agent"))).over(_after())
     rows = steps.withColumns({"senders": senders, "actors": actors}).where("kind = 'tool_call' and share_with is not null")
-    return _first(rows.where(~F.array_contains("senders", F.coalesce("agent", F.lit("unknown"))) & F.array_contains("actors", F.col("share_with"))), "FM-2.4", "withhold", 0.6)
+    return _first(rows.where(~F.array_contains("senders", F.coalesce("agent", F.lit("unknown"))) & F.arrays_overlap("actors", F.col("share_with"))), "FM-2.4", "withhold", 0.6)
 
 
 def ignored(steps: DataFrame) -> DataFrame:
@@ -164,24 +169,32 @@ def ignored(steps: DataFrame) -> DataFrame:
 
 
 def role(steps: DataFrame, traces: DataFrame) -> DataFrame:
-    """The first agent may use all tools but place_order, where roles are assigned."""
-    rows = steps.where("kind = 'tool_call' and agent = 'agent-0' and tool = 'place_order'").join(traces.where("roles").select("trace_id"), "trace_id", "left_semi")
-    return _first(rows, "FM-1.2", "role", 0.85)
+    """A call of a tool that the caller's role (its own name, where it has none) isn't allowed; roles without a list may all."""
+    rows = steps.where("kind = 'tool_call' and tool is not null").join(traces.where("role_tools is not null").select("trace_id", "role_tools", "agent_roles"), "trace_id")
+    return _first(rows.where(_off_role()), "FM-1.2", "role", 0.85)
+
+
+def _off_role() -> Column:
+    allowed = F.element_at("role_tools", F.coalesce(F.element_at("agent_roles", F.col("agent")), F.col("agent")))
+    return F.coalesce(~F.array_contains(allowed, F.col("tool")), F.lit(False))
 
 
 def lost_reference(steps: DataFrame) -> DataFrame:
     """An identifier named, other than by a call, that no earlier result has."""
-    known = F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.coalesce("result", F.lit("")), F.lit(ENTITY), F.lit(0))).over(_by().rowsBetween(W.unboundedPreceding, -1))))
-    named = F.regexp_extract_all(F.concat_ws(" ", "thought", "result"), F.lit(ENTITY), F.lit(0))
-    rows = steps.withColumns({"known": known, "named": named}).where("step_index > 0 and kind <> 'tool_call'")
-    return _first(rows.where(F.size(F.array_except("named", F.coalesce("known", F.array().cast("array<string>")))) > 0), "FM-1.4", "lost_reference", 0.55)
+    found = lambda c: F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))
+    result, named = found(F.coalesce("result", F.lit(""))), found(F.concat_ws(" ", "thought", "result"))
+    # each identifier with the first result that has it: a row for each, and no list of all so far
+    rows = steps.select("trace_id", "step_index", "kind", result.alias("told"), F.explode(F.array_distinct(named)).alias("entity"))
+    since = F.min(F.when(F.array_contains("told", F.col("entity")), F.col("step_index"))).over(W.partitionBy("trace_id", "entity"))
+    rows = rows.withColumn("since", since).where("step_index > 0 and kind <> 'tool_call' and coalesce(since >= step_index, true)")
+    return _first(rows, "FM-1.4", "lost_reference", 0.55)
 
 
 def run_rules(steps: DataFrame, traces: DataFrame, cycles: bool = True) -> DataFrame:
     """All detections, in one pass: after the exchange by trace, every window and the aggregate keep that partitioning.
     Gives what the rules above give one by one."""
     idx, call, good = F.col("step_index"), F.col("kind") == "tool_call", (F.col("kind") == "tool_call") & F.col("error").isNull()
-    rows = steps.join(traces.select("trace_id", "success", "n_steps", "last_kind", "last_index", "step_limit", "forbidden", "roles"), "trace_id")
+    rows = steps.join(traces.select("trace_id", "success", "n_steps", "last_kind", "last_index", "step_limit", "forbidden", "role_tools", "agent_roles", "ambiguous"), "trace_id")
     same = W.partitionBy("trace_id", "fingerprint").orderBy("step_index")
     whole, earlier = W.partitionBy("trace_id", "fingerprint"), same.rowsBetween(W.unboundedPreceding, -1)
     ok_at = F.when(good, idx)
@@ -195,18 +208,15 @@ def run_rules(steps: DataFrame, traces: DataFrame, cycles: bool = True) -> DataF
         "doers": F.collect_set(F.when(F.col("kind").isin("tool_call", "plan"), F.col("agent"))).over(after),
         "actors": F.collect_set(F.when(F.col("kind") != "message", F.col("agent"))).over(after),
         "tools": F.collect_set(F.when(call, F.col("tool"))).over(W.partitionBy("trace_id")),
-        "known": F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.coalesce("result", F.lit("")), F.lit(ENTITY), F.lit(0))).over(_by().rowsBetween(W.unboundedPreceding, -1)))),
     })
     claim = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
     said = F.lower(F.regexp_extract(F.coalesce("thought", F.lit("")), INTENT, 1))
     words = F.array_distinct(F.filter(F.split(F.lower("task"), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 3) & ~w.isin(*STOP)))
-    text, task = F.lower(F.concat_ws(" ", "tool", "args_canon")), F.lower("task")
+    text = F.lower(F.concat_ws(" ", "tool", "args_canon"))
     topical = call & (F.size(words) > 0)
     off = topical & ~F.exists(words, lambda w: F.contains(text, w))
     change = F.col("mutating") & F.col("error").isNull()
-    unclear = task.contains(" or ") & (task.contains("?") | task.contains("either"))
     asked = F.coalesce(F.contains("thought", F.lit("?")), F.lit(False)) | F.coalesce(F.contains("result", F.lit("?")), F.lit(False))
-    named = F.regexp_extract_all(F.concat_ws(" ", "thought", "result"), F.lit(ENTITY), F.lit(0))
     first = lambda condition: F.min(F.when(condition, idx))
     per = rows.groupBy("trace_id").agg(
         F.min(F.when(good & (idx - F.col("before.step_index") <= WITHIN), F.struct("step_index", (F.col("nth") - F.col("before.nth") + 1).alias("n")))).alias("again"),
@@ -217,12 +227,11 @@ def run_rules(steps: DataFrame, traces: DataFrame, cycles: bool = True) -> DataF
         F.min(F.when(change & (claim(F.col("result")) == claim(F.col("check.said"))) & (claim(F.col("result")) != ""), F.struct("step_index", F.col("check.step_index").alias("at")))).alias("weak"),
         first(call & F.col("tool").isNotNull() & (said != "") & (said != F.lower("tool")) & (said.contains("_") | F.array_contains("tools", said))).alias("mismatch"),
         F.count_if(topical).alias("topical"), F.count_if(off).alias("off"), first(off).alias("off_at"),
-        first(call & (F.col("tool") == F.col("forbidden"))).alias("forbidden"),
-        F.coalesce(first(F.col("mutating")), F.max(idx)).alias("commit"), F.max(unclear).alias("unclear"), F.max(asked).alias("asked"),
-        first(call & F.col("share_with").isNotNull() & ~F.array_contains("senders", F.coalesce("agent", F.lit("unknown"))) & F.array_contains("doers", F.col("share_with"))).alias("withheld"),
+        first(call & F.array_contains("forbidden", F.col("tool"))).alias("forbidden"),
+        F.coalesce(first(F.col("mutating")), F.max(idx)).alias("commit"), F.max(_unclear()).alias("unclear"), F.max(asked).alias("asked"),
+        first(call & F.col("share_with").isNotNull() & ~F.array_contains("senders", F.coalesce("agent", F.lit("unknown"))) & F.arrays_overlap("doers", F.col("share_with"))).alias("withheld"),
         first(F.col("requires_ack") & F.col("to_agent").isNotNull() & ~F.array_contains("actors", F.col("to_agent"))).alias("ignored"),
-        first(F.col("roles") & call & (F.col("agent") == "agent-0") & (F.col("tool") == "place_order")).alias("off_role"),
-        first((idx > 0) & (F.col("kind") != "tool_call") & (F.size(F.array_except(named, F.coalesce("known", F.array().cast("array<string>")))) > 0)).alias("lost"),
+        first(call & F.col("tool").isNotNull() & _off_role()).alias("off_role"),
     )
 
     def found(mode: str, rule: str, step: Column, confidence: Column | float, condition: Column | None = None) -> Column:
@@ -247,7 +256,7 @@ def run_rules(steps: DataFrame, traces: DataFrame, cycles: bool = True) -> DataF
         found("FM-2.4", "withhold", c("withheld"), 0.6),
         found("FM-2.5", "ignored", c("ignored"), 0.65),
         found("FM-1.2", "role", c("off_role"), 0.85),
-        found("FM-1.4", "lost_reference", c("lost"), 0.55),
     )
     out = per.select("trace_id", F.explode(F.array_compact(hits)).alias("x")).select("x.mode_id", "x.rule", "trace_id", "x.step_index", "x.confidence")
+    out = out.unionByName(lost_reference(steps))
     return out.unionByName(cycle(steps)) if cycles else out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +70,72 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", *(c.alias(k) for k, c in counts.items()), out.alias("redacted"))
 
 
+#: Kinds of secrets in the order in which they are looked for, each replaced by [REDACTED:kind].
+SECRETS = [
+    ("aws_key", r"\bA(?:K|S)IA[A-Z0-9]{16}\b"),
+    ("gcp_key", r"\bAIza[-\w]{35}\b"),
+    ("github_token", r"\bgh(?:p|o|u|s|r)_[0-9A-Za-z]{36,}\b"),
+    ("openai_key", r"\bsk-[-\w]{20,}\b"),
+    ("slack_token", r"\bxox(?:a|b|p|r|s)-[-0-9A-Za-z]{10,}\b"),
+    ("jwt", r"\beyJ[-\w]{10,}(?:\.[-\w]{10,})(?:\.[-\w]{5,})\b"),
+    ("bearer", r"(?i)\bbearer[\t ]+[-+./=~\w]{16,}"),
+    ("kv_secret", r"(?i)\b(?:password|pass|secret|api_?key|a(?:uth|ccess)_?token)\s*[:=]\s*[\"']?[-+./=~\w]{8,}[\"']?"),
+    ("private_key", r"-----BEGIN [ 0-9A-Z]*PRIVATE KEY-----(?s:.*?)-----END [ 0-9A-Z]*PRIVATE KEY-----"),
+]
+
+
+def secret_patterns(extra: list[str] = ()) -> list[tuple[str, str]]:
+    """The built-in kinds and the caller's, each `name=pattern` or a bare pattern (then custom-1, custom-2 ...)."""
+    out = dict(SECRETS)
+    for i, given in enumerate(extra, 1):
+        m = re.match(r"([-.\w]{1,64})=(.+)", given, re.S)
+        name, pattern = (m[1], m[2]) if m else (f"custom-{i}", given)
+        if not pattern:
+            raise ValueError(f"pattern {name!r} is empty")
+        re.compile(pattern)
+        out[name] = pattern
+    return list(out.items())
+
+
+def redact_columns(rows: DataFrame, columns: list[str], patterns: list[tuple[str, str]] | None = None, marker: str = "[REDACTED:{name}]") -> DataFrame:
+    """rows with the secrets in the columns replaced, and `hits`, how many there were. Arguments are columns of JSON text: what
+    is nested in them is reached too, as no kind takes quotes or braces."""
+    hits, out = F.lit(0), {}
+    for c in columns:
+        text = F.col(c)
+        for name, pattern in patterns or secret_patterns():
+            hits = hits + F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+            text = F.regexp_replace(text, pattern, marker.format(name=name))
+        out[c] = text
+    return rows.withColumn("hits", hits.cast("long")).withColumns(out)
+
+
+TOOL_TEXT = {
+    "bidi": "[\u202a-\u202e\u2066-\u2069]",
+    "invisible": "[\u200b-\u200f\u2060-\u2064\ufeff]",
+    "mixed_scripts": "[A-Za-z][\u0370-\u058f]|[\u0370-\u058f][A-Za-z]",
+    "ignore_orders": r"(?i)\b(?:ignore|disregard|forget)\s+(?:all\s+)?(?:previous|prior|earlier|above)\s+(?:instructions|orders|rules)",
+    "new_role": r"(?i)\byou\s+are\s+now\b",
+    "secrecy": r"(?i)\b(?:do\s+not|don't|never)\s+(?:tell|inform|mention|reveal)",
+    "system_prompt": r"(?i)\bsystem\s+prompt\b",
+    "must_call": r"(?i)\balways\s+(?:call|use|invoke)\b",
+    "exfiltrate": r"(?i)\b(?:send|post|upload|forward)\s+(?:it|this|them|all)\b.{0,40}\bto\b",
+    "hidden_markup": r"(?i)<(?:script|iframe|important|system)\b",
+    "comment": r"<!--",
+}
+#: Characters that no honest description needs; findings of other kinds make a text suspicious.
+MALICIOUS = ("bidi", "invisible")
+
+
+def tool_verdict(rows: DataFrame, text: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    """rows with `findings` (kinds, in the order of the table) and `verdict`: clean, suspicious or malicious."""
+    kinds = TOOL_TEXT if kinds is None else kinds
+    found = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), name) for name, p in kinds.items())))
+    out = rows.withColumn("found", found)
+    bad = F.arrays_overlap("found", F.array(*map(F.lit, MALICIOUS)))
+    return out.withColumns({"findings": F.array_join("found", ","), "verdict": F.when(bad, "malicious").when(F.size("found") > 0, "suspicious").otherwise("clean")}).drop("found")
+
+
 def tool_scan(pages: DataFrame) -> DataFrame:
     """Findings in texts that tools return: markup that runs, comments, hidden characters, orders to the reader."""
     rules = {"script": r"(?i)<script", "comment": r"<!--", "invisible": "[​-‏‪-‮⁠-⁤]", "orders": r"(?i)ignore (all )?(previous|prior) instructions"}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import detect, rollup
-from .sequence import _calls, similarity
+from . import attribution, detect, rollup
+from .sequence import MATCH, _calls, similarity
 
 
 def without_repeats(steps: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def with_checks(steps: DataFrame) -> DataFrame:
     """The steps with a check after each change that none follows; places are counted anew."""
     w = W.partitionBy("trace_id").orderBy("step_index").rowsBetween(1, W.unboundedFollowing)
     bare = steps.withColumn("later", F.coalesce(F.max("is_verify").over(w), F.lit(False))).where("mutating and error is null and not later").drop("later")
-    new = {"tool": F.concat(F.lit("verify_"), F.col("tool")), "fingerprint": F.concat(F.lit("tool_call:verify_"), F.col("tool"), F.lit(":"), F.col("args_canon")), "result": F.concat(F.lit("re-checked after "), F.col("tool"), F.lit(": state consistent")), "thought": F.lit(None).cast("string"), "mutating": F.lit(False), "is_verify": F.lit(True), "share_with": F.lit(None).cast("string"), "agent": F.lit(None).cast("string")}
+    new = {"tool": F.concat(F.lit("verify_"), F.col("tool")), "fingerprint": F.concat(F.lit("tool_call:verify_"), F.col("tool"), F.lit(":"), F.col("args_canon")), "result": F.concat(F.lit("re-checked after "), F.col("tool"), F.lit(": state consistent")), "thought": F.lit(None).cast("string"), "mutating": F.lit(False), "is_verify": F.lit(True), "share_with": F.lit(None).cast("array<string>"), "agent": F.lit(None).cast("string")}
     checks = bare.withColumns({k: v for k, v in new.items() if k in steps.columns}).withColumn("half", F.lit(1))
     both = steps.withColumn("half", F.lit(0)).unionByName(checks)
     return both.withColumn("step_index", (F.row_number().over(W.partitionBy("trace_id").orderBy("step_index", "half")) - 1).cast("long")).drop("half")
@@ -85,26 +87,72 @@ def conformal_sets(probabilities: DataFrame, threshold: float) -> DataFrame:
     return probabilities.where(1 - F.col("p") <= threshold).groupBy("trace_id").agg(F.array_join(F.sort_array(F.collect_set("mode_id")), ",").alias("modes"))
 
 
-def duplicate_groups(steps: DataFrame, threshold: float = 0.95, most: int = 2000) -> DataFrame:
-    """trace_id, representative, similarity: runs in the order of their ids, each with the first representative it is alike
-    to. The scan takes the first `most` ids, as the operation is defined; it depends on its order and runs in one task."""
-    first = _calls(steps).orderBy("trace_id").limit(most).select("trace_id", "ids", "shapes")
-
-    def scan(table: pd.DataFrame) -> pd.DataFrame:
-        heads, out = [], []
-        for r in table.sort_values("trace_id").itertuples():
-            own = list(zip(r.ids, r.shapes))
-            for name, other in heads:
-                # no more can match than the shorter has
-                if min(len(own), len(other)) >= threshold * max(len(own), len(other)) and (s := similarity(other, own)) >= threshold:
-                    out.append((r.trace_id, name, s))
-                    break
-            else:
-                heads.append((r.trace_id, own))
-                out.append((r.trace_id, r.trace_id, 1.0))
-        return pd.DataFrame(out, columns=["trace_id", "representative", "similarity"])
-
-    return first.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda t: scan(t), "trace_id string, representative string, similarity double")
+def _errors(n: int, threshold: float) -> int:
+    """How many edits two runs may be apart, of which one has n calls: each costs a half of a match at least."""
+    return int(2 * MATCH / 2 * (1 - threshold) * (n / threshold) + 1e-9)
+
+
+def _blocks(threshold: float):
+    """Keys under which any two runs that are alike enough meet: runs of n calls are cut into one part more than the edits they
+    may be apart, so that one part stands unchanged in the other run, near the same place."""
+
+    def cuts(n: int, parts: int) -> list[int]:
+        return [n * i // parts for i in range(parts + 1)]
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            out = []
+            for node, ids in zip(table["node"], table["ids"]):
+                n, keys = len(ids), set()
+                for m in range(max(1, math.ceil(n * threshold - 1e-9)), int(n / threshold + 1e-9) + 1):
+                    errors = min(_errors(m, threshold), m - 1)
+                    at = cuts(m, errors + 1)
+                    for i, (a, b) in enumerate(zip(at, at[1:])):
+                        for shift in range(-errors, errors + 1) if m != n or errors else (0,):
+                            if 0 <= a + shift and b + shift <= n:
+                                digest = hashlib.blake2b("\x00".join(ids[a + shift : b + shift]).encode(), digest_size=12).hexdigest()
+                                keys.add((f"{m}:{i}:{digest}", m == n and shift == 0))
+                out += [(node, k, own) for k, own in keys]
+            yield pd.DataFrame(out, columns=["node", "key", "own"])
+
+    return run
+
+
+def duplicate_groups(steps: DataFrame, threshold: float = 0.95, most: int | None = None) -> DataFrame:
+    """trace_id, representative, similarity: each run in the order of ids with the first representative it is alike to, itself
+    where there is none. most: only so many first ids, as an option of the caller's.
+
+    Runs of equal calls are one. Runs that may be alike meet under a block's key; pairs that are alike make a graph, and the
+    representatives are found in rounds: who has no representative or open run before it among its neighbours is one."""
+    rows = _calls(steps)
+    if most is not None:
+        rows = rows.orderBy("trace_id").limit(most)
+    same = F.when(F.size("ids") > 0, F.md5(F.array_join("ids", "\x00"))).otherwise(F.md5(F.concat(F.lit("-"), "outline")))
+    rows = rows.withColumn("same", same).withColumn("node", F.min("trace_id").over(W.partitionBy("same"))).persist()
+    heads = rows.where("trace_id = node and size(ids) > 0").select("node", "ids", "shapes")
+    keys = heads.select("node", "ids").mapInPandas(_blocks(threshold), "node string, key string, own boolean").persist()
+    mine, other = keys.where("own").select("key", F.col("node").alias("x")), keys.select("key", F.col("node").alias("y"))
+    pairs = mine.join(other, "key").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = (heads.select(F.col("node").alias(x), F.col("ids").alias(f"{x}_ids"), F.col("shapes").alias(f"{x}_shapes")) for x in "ab")
+
+    def judge(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in tables:
+            score = [similarity(list(zip(r.a_ids, r.a_shapes)), list(zip(r.b_ids, r.b_shapes))) for r in t.itertuples()]
+            yield pd.DataFrame({"a": t["a"], "b": t["b"], "s": score})
+
+    edges = pairs.join(left, "a").join(right, "b").mapInPandas(judge, "a string, b string, s double").where(F.col("s") >= threshold).persist()
+    # state: null open, true a representative, false not
+    state = heads.select("node", F.lit(None).cast("boolean").alias("head"))
+    while True:
+        before = edges.join(state.select(F.col("node").alias("a"), "head"), "a").groupBy(F.col("b").alias("node")).agg(F.max(F.coalesce("head", F.lit(False))).alias("taken"), F.max(F.col("head").isNull()).alias("waits"))
+        now = F.when(F.col("head").isNotNull(), F.col("head")).when(F.col("taken"), False).when(~F.coalesce("waits", F.lit(False)), True)
+        state = state.join(before, "node", "left").select("node", now.alias("head")).checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.join(before, "node", "left").select("node", now.alias("head")).persist()
+        if not state.where("head is null").limit(1).count():
+            break
+    first = edges.join(state.where("head").select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min_by(F.struct(F.col("a").alias("representative"), F.col("s").alias("similarity")), "a").alias("r"))
+    found = state.where("not head").join(first, "node").select("node", "r.*")
+    out = rows.join(found, "node", "left").select("trace_id", F.coalesce("representative", "node").alias("representative"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    return out
 
 
 def merge(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -127,3 +175,26 @@ def grade_trend(steps: DataFrame, traces: DataFrame, by: str, now_us: int) -> Da
     move: Column = F.when(F.col("now").isNull(), "gone").when(F.col("prev").isNull(), "new").when((F.col("now") == "n/a") | (F.col("prev") == "n/a"), "thin").when(at("now") > at("prev"), "improved").when(at("now") < at("prev"), "slipped").otherwise("flat")
     return both.withColumn("direction", move)
 
+
+
+def counterfactual(steps: DataFrame, traces: DataFrame) -> DataFrame:
+    """trace_id, step_index, mode_id, eliminated, was_primary for each detection of a run: whether the mode is gone once its
+    step is taken out and the rules are run anew. All such runs go through the rules together, once."""
+    found = detect.run_rules(steps, traces)
+    primary = attribution.verdicts(found, traces).select("trace_id", "primary_mode")
+    cases = found.where(F.col("confidence") >= attribution.FLOOR).select("trace_id", "step_index", "mode_id").distinct()
+    cut = cases.select("trace_id", F.col("step_index").alias("cut")).distinct()
+    case = F.concat_ws("#", "trace_id", F.col("cut").cast("string"))
+    left = steps.join(cut, "trace_id").where("step_index <> cut").withColumn("case", case)
+    place = F.row_number().over(W.partitionBy("case").orderBy("step_index")) - 1
+    left = left.withColumn("place", place.cast("long")).drop("step_index", "trace_id", "cut").withColumnsRenamed({"case": "trace_id", "place": "step_index"})
+    ends = left.groupBy("trace_id").agg(F.count("*").alias("n_steps"), F.max_by("kind", "step_index").alias("last_kind"), F.max("step_index").alias("last_index"))
+    runs = traces.drop("n_steps", "last_kind", "last_index").join(cut, "trace_id").withColumn("case", case).drop("trace_id", "cut").withColumnRenamed("case", "trace_id")
+    after = detect.run_rules(left, runs.join(ends, "trace_id")).where(F.col("confidence") >= attribution.FLOOR).select(F.col("trace_id").alias("case"), "mode_id", F.lit(True).alias("still")).distinct()
+    out = cases.withColumn("case", F.concat_ws("#", "trace_id", F.col("step_index").cast("string"))).join(after, ["case", "mode_id"], "left").join(primary, "trace_id")
+    return out.select("trace_id", "step_index", "mode_id", F.col("still").isNull().alias("eliminated"), (F.col("mode_id") == F.col("primary_mode")).alias("was_primary"))
+
+
+def distributed_modes(interventions: DataFrame) -> DataFrame:
+    """trace_id, mode_id of modes that no single step's removal clears."""
+    return interventions.groupBy("trace_id", "mode_id").agg(F.max("eliminated").alias("killed")).where("not killed").select("trace_id", "mode_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import shape
+
 MATCH, SUBSTITUTE, GAP = 2.0, 1.0, -1.0
 
 
 def _calls(steps: DataFrame) -> DataFrame:
-    """trace_id, ids, shapes: each call as itself and as its tool alone, in order."""
-    rows = steps.where("kind = 'tool_call'").groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("step_index", F.concat_ws(":", "tool", "args_canon").alias("id"), F.col("tool").alias("shape")))).alias("c"))
-    return rows.select("trace_id", F.col("c.id").alias("ids"), F.col("c.shape").alias("shapes"))
+    """trace_id, ids, shapes, outline: each call as itself and as its tool with its arguments' names, in order; the task and
+    the last response."""
+    call = F.when(F.col("kind") == "tool_call", F.struct("step_index", F.concat_ws(":", "tool", "args_canon").alias("id"), shape().alias("shape")))
+    column = lambda c: F.coalesce(c, F.lit("")) if c in steps.columns else F.lit("")
+    answer = F.when(F.col("kind") == "response", F.col("step_index"))
+    said = F.max_by(F.when(answer.isNotNull(), column("result")), answer)
+    rows = steps.groupBy("trace_id").agg(F.sort_array(F.collect_list(call)).alias("c"), F.concat_ws("\x00", F.first(column("task")), F.coalesce(said, F.lit(""))).alias("outline"))
+    return rows.select("trace_id", F.col("c.id").alias("ids"), F.col("c.shape").alias("shapes"), "outline")
 
 
 def alignment(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[list[float]]:
@@ -30,9 +37,10 @@ def alignment(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> list[list[f
     return table
 
 
-def similarity(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> float:
+def similarity(a: list[tuple[str, str]], b: list[tuple[str, str]], same: bool = False) -> float:
+    """same: whether two runs have the same task and answer, which decides where neither has calls."""
     if not a or not b:
-        return 0.0
+        return float(same and not a and not b)
     return max(0.0, min(1.0, alignment(a, b)[-1][-1] / (MATCH * max(len(a), len(b)))))
 
 
@@ -42,14 +50,15 @@ def most_similar(steps: DataFrame, target: str, top: int = 5) -> DataFrame:
     rows = _calls(steps)
     own = rows.where(F.col("trace_id") == target).first()
     goal = list(zip(own.ids, own.shapes)) if own else []
+    outline = own.outline if own else None
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"trace_id": part["trace_id"], "similarity": [similarity(goal, list(zip(i, s))) for i, s in zip(part["ids"], part["shapes"])]})
+            yield pd.DataFrame({"trace_id": part["trace_id"], "similarity": [similarity(goal, list(zip(i, s)), o == outline) for i, s, o in zip(part["ids"], part["shapes"], part["outline"])]})
 
     # no more can match than the shorter run has calls
     bound = F.least(F.size("ids"), F.lit(len(goal))) / F.greatest(F.size("ids"), F.lit(len(goal)), F.lit(1))
-    scored = rows.where((F.col("trace_id") != target) & (bound > 0)).mapInPandas(score, "trace_id string, similarity double")
+    scored = rows.where((F.col("trace_id") != target) & ((bound > 0) | (F.size("ids") == 0) & F.lit(not goal))).mapInPandas(score, "trace_id string, similarity double")
     return scored.orderBy(F.desc("similarity"), "trace_id").limit(top)
 
 
@@ -134,18 +143,29 @@ def least_budget(forecasts: DataFrame, recall: float = 1.0) -> DataFrame:
     return forecasts.where(F.col("recall") >= recall).groupBy("trace_id").agg(F.min("budget").alias("budget"))
 
 
-def chain(steps: DataFrame, seed: Column) -> DataFrame:
-    """trace_id, hashes: each step's hash over the one before it and the step's own content; the first over the seed."""
-    rows = steps.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("step_index", F.concat_ws("|", "fingerprint", "result", F.coalesce("error", F.lit(""))).alias("own")))).getField("own").alias("own"), F.first(seed).alias("seed"))
+SIGNED = ("kind", "tool", "args_canon", "result", "thought", "tokens", "latency_ms", "error", "agent")
+
+
+def content(steps: DataFrame, fields: tuple[str, ...] = SIGNED) -> Column:
+    """Fields as one text that no other fields give: each with its length before it, or - where it is null or isn't there."""
+    text = lambda c: F.col(c).cast("string")
+    return F.concat(*(F.coalesce(F.concat(F.char_length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) if c in steps.columns else F.lit("-") for c in fields))
+
+
+def chain(steps: DataFrame, seed: Column, mac: Callable[[Column], Column] | None = None) -> DataFrame:
+    """trace_id, hashes: each step's hash over the one before it and all of the step's own content; the first over the seed.
+    mac: a keyed hash in place of the plain one."""
+    mac = mac or (lambda m: F.sha2(m, 256))
+    rows = steps.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("step_index", content(steps).alias("own")))).getField("own").alias("own"), F.first(seed).alias("seed"))
     start = F.array(F.sha2("seed", 256))
-    fold = F.aggregate("own", start, lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x), 256))))
+    fold = F.aggregate("own", start, lambda acc, x: F.concat(acc, F.array(mac(F.concat(F.element_at(acc, -1), x)))))
     return rows.select("trace_id", F.slice(fold, 2, F.greatest(F.size("own"), F.lit(1))).alias("hashes"))
 
 
-def tampered(signed: DataFrame, steps: DataFrame, seed: Column) -> DataFrame:
+def tampered(signed: DataFrame, steps: DataFrame, seed: Column, mac: Callable[[Column], Column] | None = None) -> DataFrame:
     """trace_id, verdict (intact, tampered, unsigned), step: where the stored hashes first differ from those of the steps.
     signed: trace_id, hashes."""
-    now = chain(steps, seed).withColumnRenamed("hashes", "now").join(signed, "trace_id", "left")
+    now = chain(steps, seed, mac).withColumnRenamed("hashes", "now").join(signed, "trace_id", "left")
     n = F.greatest(F.size("now"), F.size("hashes"))
     bad = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get("now", i).eqNullSafe(F.get("hashes", i)))
     verdict = F.when(F.col("hashes").isNull(), "unsigned").when(F.size(bad) == 0, "intact").otherwise("tampered")
@@ -158,6 +178,24 @@ def ledger_breaks(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("want", F.sha2(F.concat(before, F.concat_ws("|", F.col("seq").cast("string"), "trace_id", "root")), 256)).where("want <> chain").select("seq")
 
 
+def with_precursor(rows: DataFrame, steps: DataFrame, model: DataFrame) -> DataFrame:
+    """risk() with `precursor`, and `risk` raised by half of it where it is above 0: how much likelier than even the calls so
+    far make a failure, from -1 to 1. Of each length the run of calls that the model saw most often (the first of such)
+    votes, as in stats.precursor_score. model: n, gram, occurrences, p_fail."""
+    from .stats import ngrams
+
+    by = W.partitionBy("trace_id").orderBy("step_index")
+    place = steps.where("kind = 'tool_call'").select("trace_id", "step_index", F.row_number().over(by).alias("pos"))
+    # a run of n calls that begins at a place is whole n - 1 calls later
+    grams = ngrams(steps).join(model.select("n", "gram", "occurrences", "p_fail"), ["n", "gram"]).withColumn("at", F.col("pos") + F.col("n") - 1)
+    best = F.max(F.struct("occurrences", -F.col("pos"), "p_fail")).over(W.partitionBy("trace_id", "n").orderBy("at"))
+    weight = F.least("b.occurrences", F.lit(20)) * F.col("n")
+    odds = grams.withColumn("b", best).groupBy("trace_id", F.col("at").alias("pos")).agg((F.sum(weight * F.log(F.col("b.p_fail") / (1 - F.col("b.p_fail")))) / F.sum(weight)).alias("z"))
+    at = odds.join(place, ["trace_id", "pos"]).select("trace_id", "step_index", (2 / (1 + F.exp(-F.col("z"))) - 1).alias("now"))
+    out = rows.join(at, ["trace_id", "step_index"], "left").withColumn("precursor", F.coalesce(F.last("now", ignorenulls=True).over(by), F.lit(0.0))).drop("now")
+    return out.withColumn("risk", F.least(F.lit(1.0), F.col("risk") + 0.5 * F.greatest(F.lit(0.0), F.col("precursor"))))
+
+
 def risk(steps: DataFrame) -> DataFrame:
     """trace_id, step_index, repetition, debt, risk after each step: the same step again within six, and changes not yet
     verified (never below none: the running sum above its own lowest point)."""
@@ -183,3 +221,52 @@ def level(last: str, now: float, slack: float = 0.1) -> str:
     if last == "watch" and now >= 0.3 - slack:
         return "watch"
     return next((name for name, at in LEVELS if now >= at), "nominal")
+
+
+def one_liners(steps: DataFrame, width: int = 72) -> DataFrame:
+    """trace_id, step_index, line: each step as #place [kind] head: text, the text cut with dots."""
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    text = F.trim(F.regexp_replace(F.coalesce(some("error"), some("result"), "thought", F.lit("")), r"\s+", " "))
+    cut = F.when(F.char_length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
+    return steps.select("trace_id", "step_index", F.concat(F.lit("#"), F.col("step_index").cast("string"), F.lit(" ["), "kind", F.lit("] "), F.coalesce("tool", "kind"), F.lit(": "), cut).alias("line"))
+
+
+def compacted(steps: DataFrame, most: int = 220) -> DataFrame:
+    """What a judge is shown of each step: kind, tool, and the beginnings of its outcome and thought."""
+    outcome = F.coalesce(F.when(F.col("error") != "", F.col("error")), "result", F.lit(""))
+    thought = F.substring(F.coalesce("thought", F.lit("")), 1, most)
+    return steps.select("trace_id", "step_index", "kind", "tool", F.substring(outcome, 1, most).alias("result"), F.when(thought != "", thought).alias("thought"))
+
+
+def budget_curve(forecasts: DataFrame) -> DataFrame:
+    """budget, recall (mean), evicted, whole (runs that keep everything)."""
+    return forecasts.groupBy("budget").agg(F.round(F.avg("recall"), 9).alias("recall"), F.sum("evicted").alias("evicted"), F.count_if(F.col("recall") >= 1).alias("whole"))
+
+
+def searched_budget(steps: DataFrame, recall: float, most: int) -> DataFrame:
+    """trace_id, budget: the least budget up to `most` under which a run keeps so much, by bisection: what is kept never falls
+    as the budget grows. Runs that keep less under the greatest have no row."""
+    rows = steps.groupBy("trace_id").agg(F.first("task").alias("task"), F.sort_array(F.collect_list(F.when((F.col("kind") == "tool_call") & (F.col("result") != ""), F.struct("step_index", F.concat_ws("#", "tool", F.col("step_index").cast("string")).alias("key"), "result")))).alias("r"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                given = [(x["key"], x["result"]) for x in r.r]
+                enough = lambda b: (simulate(r.task, given, b)[2] / len(given) if given else 1.0) >= recall  # noqa: E731, B023
+                low, high = 1, most
+                if not enough(high):
+                    continue
+                while low < high:
+                    middle = (low + high) // 2
+                    low, high = (low, middle) if enough(middle) else (middle + 1, high)
+                out.append((r.trace_id, low))
+            yield pd.DataFrame(out, columns=["trace_id", "budget"]).astype({"budget": "int64"})
+
+    return rows.mapInPandas(run, "trace_id string, budget long")
+
+
+def replay_compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """trace_id, now_matches, now_diverges, rate_a, rate_b of two replays, step by step. a, b: trace_id, step_index, match."""
+    both = a.select("trace_id", "step_index", F.col("match").alias("x")).join(b.select("trace_id", "step_index", F.col("match").alias("y")), ["trace_id", "step_index"])
+    return both.groupBy("trace_id").agg(F.count_if(F.expr("y and not x")).alias("now_matches"), F.count_if(F.expr("x and not y")).alias("now_diverges"), F.avg(F.col("x").cast("int")).alias("rate_a"), F.avg(F.col("y").cast("int")).alias("rate_b"))

@@ -39,9 +39,14 @@ def family_outliers(rows: DataFrame, value: str) -> DataFrame:
     return found.select("trace_id", "step_index", "tool", F.col(value).alias("value"), F.col("med").cast("double").alias("median"), F.col("z").alias("robust_z"))
 
 
+def shape() -> Column:
+    """A call's structure: its tool and the names of its arguments."""
+    return F.concat(F.coalesce("tool", F.lit("-")), F.lit(" {"), F.coalesce(F.array_join(F.array_sort(F.json_object_keys("args_canon")), ","), F.lit("")), F.lit("}"))
+
+
 def psi(steps: DataFrame, baseline: Column) -> DataFrame:
     """action, baseline and current share, term: the parts of the population stability index."""
-    counts = steps.where("kind = 'tool_call' and error is null").groupBy(F.concat("tool", F.lit(" {k}")).alias("action")).agg(F.count_if(baseline).alias("a"), F.count_if(~baseline).alias("b"))
+    counts = steps.where("kind = 'tool_call' and error is null").groupBy(shape().alias("action")).agg(F.count_if(baseline).alias("a"), F.count_if(~baseline).alias("b"))
     na, nb = counts.agg(F.sum("a"), F.sum("b")).first()
     share = lambda c, n: (F.col(c) + 1e-6) / (max(n or 0, 1) + 1e-6)
     rows = counts.select("action", share("a", na).alias("baseline_share"), share("b", nb).alias("current_share"))
@@ -74,6 +79,19 @@ def forecast(days: DataFrame, ceiling: float, horizon: int = 14) -> DataFrame:
     return rows.select("store", "latest", "slope", "last_day", reach.alias("days_to_ceiling"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("offset")).select("store", F.col("offset").cast("long").alias("offset"), F.date_add(F.col("last_day").cast("date"), F.col("offset")).cast("string").alias("day"), F.greatest(F.lit(0.0), F.col("latest") + F.col("slope") * F.col("offset")).alias("est_spend"), "days_to_ceiling")
 
 
+def budget_projection(days: DataFrame, allowance: int, horizon: int = 60) -> DataFrame:
+    """store, burned, slope, days_to_exhaustion: the days until failures, carried on by their slope (none below 0, each day
+    rounded half to even), are over the allowance; 0 where they are already, null beyond the horizon."""
+    rows = days.select("store", "day", F.greatest("failures", F.lit(0)).alias("failures"))
+    last = rows.groupBy("store").agg(F.sum("failures").alias("burned"), F.max_by("failures", "day").alias("latest"))
+    rows = last.join(theil_sen(rows, "store", "day", "failures"), "store").withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    step = F.bround(F.greatest(F.lit(0.0), F.col("latest") + F.col("slope") * F.col("offset")), 0)
+    w = W.partitionBy("store").orderBy("offset")
+    over = F.when(F.col("burned") + F.sum(step).over(w) > allowance, F.col("offset"))
+    out = rows.withColumn("over", over).groupBy("store", "burned", "slope").agg(F.min("over").alias("first"))
+    return out.select("store", "burned", "slope", F.when(F.col("burned") > allowance, 0).otherwise(F.col("first")).cast("long").alias("days_to_exhaustion"))
+
+
 def failure_budget(days: DataFrame, allowance: int) -> DataFrame:
     """store, burned, allowance, exhausted: failures so far against what is allowed, and the first day on which they are over."""
     w = W.partitionBy("store").orderBy("day")
@@ -85,7 +103,7 @@ def ngrams(steps: DataFrame) -> DataFrame:
     """trace_id, n, gram, pos: runs of one to three calls (tool and argument names)."""
     calls = steps.where("kind = 'tool_call'")
     w = W.partitionBy("trace_id").orderBy("step_index")
-    one = F.concat(F.lit("tool_call:"), "tool", F.lit(" {k}"))
+    one = F.concat(F.lit("tool_call:"), shape())
     rows = calls.select("trace_id", "step_index", one.alias("g1"), F.row_number().over(w).alias("pos"), F.lead(one, 1).over(w).alias("g2"), F.lead(one, 2).over(w).alias("g3"))
     grams = F.array(F.struct(F.lit(1).alias("n"), F.col("g1").alias("gram")), F.struct(F.lit(2).alias("n"), F.when(F.col("g2").isNotNull(), F.concat_ws("|", "g1", "g2")).alias("gram")), F.struct(F.lit(3).alias("n"), F.when(F.col("g3").isNotNull(), F.concat_ws("|", "g1", "g2", "g3")).alias("gram")))
     return rows.select("trace_id", "pos", F.explode(grams).alias("x")).select("trace_id", "pos", F.col("x.n").cast("long").alias("n"), F.col("x.gram").alias("gram")).where("gram is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import attribution, detect, fleet, prose, recall, repair, rollup, sequence, stats
@@ -178,7 +178,7 @@ _RULES = {
     "repeat": ("r_repeat", lambda s, t: detect.repeat(s)), "long_loop": ("r_long", lambda s, t: detect.long_loop(s, t)), "reset": ("r_reset", lambda s, t: detect.reset(s)),
     "premature": ("r_early", lambda s, t: detect.premature(t)), "missing_verify": ("r_unverified", lambda s, t: detect.missing_verify(s)), "weak_verify": ("r_weak", lambda s, t: detect.weak_verify(s)),
     "intent_mismatch": ("r_mismatch", lambda s, t: detect.intent_mismatch(s)), "derail": ("r_derail", lambda s, t: detect.derail(s)), "forbidden": ("r_forbidden", detect.forbidden),
-    "clarify": ("r_clarify", lambda s, t: detect.clarify(s)), "withhold": ("r_withhold", lambda s, t: detect.withhold(s)), "ignored": ("r_ignored", lambda s, t: detect.ignored(s)),
+    "clarify": ("r_clarify", lambda s, t: detect.clarify(s, t)), "withhold": ("r_withhold", lambda s, t: detect.withhold(s)), "ignored": ("r_ignored", lambda s, t: detect.ignored(s)),
     "role": ("r_role", detect.role), "lost_reference": ("r_lost", lambda s, t: detect.lost_reference(s)),
 }
 for _name, (_cte, _f) in _RULES.items():
@@ -438,7 +438,7 @@ def _(spark, d):
     return sequence.risk(adapters.steps(spark, d))
 
 
-@query("integrity_chain", BASE + """, l AS (SELECT trace_id, any_value(task) AS task, list(fingerprint || '|' || result || '|' || coalesce(error, '') ORDER BY step_index) AS own FROM steps GROUP BY trace_id)
+@query("integrity_chain", BASE + """, l AS (SELECT trace_id, any_value(task) AS task, list(concat(length(kind), ':', kind, coalesce(length(tool) || ':' || tool, '-'), length(args_canon), ':', args_canon, coalesce(length(result) || ':' || result, '-'), coalesce(length(thought) || ':' || thought, '-'), length(CAST(tokens AS VARCHAR)), ':', tokens, length(CAST(latency_ms AS VARCHAR)), ':', latency_ms, coalesce(length(error) || ':' || error, '-'), coalesce(length(agent) || ':' || agent, '-')) ORDER BY step_index) AS own FROM steps GROUP BY trace_id)
 SELECT trace_id, list_reduce(list_prepend(sha256(task), own), lambda a, x: sha256(a || x)) AS final, CAST(len(own) AS BIGINT) AS steps FROM l""")
 def _(spark, d):
     return sequence.chain(adapters.steps(spark, d), F.col("task")).select("trace_id", F.element_at("hashes", -1).alias("final"), F.size("hashes").cast("long").alias("steps"))
@@ -452,9 +452,9 @@ def _(spark, d):
 
 @query("diff")
 def _(spark, d):
-    s = adapters.steps(spark, d)
-    two = s.select("trace_id").distinct().orderBy("trace_id").limit(2).collect()
-    return sequence.diff(s, spark.createDataFrame([(two[0][0], two[1][0])], "a string, b string"))
+    s, t = both(spark, d)
+    before = F.lag("trace_id").over(Window.partitionBy("user_id").orderBy("created_us", "trace_id"))
+    return sequence.diff(s, t.select(before.alias("a"), F.col("trace_id").alias("b")).where("a is not null"))
 
 
 @query("context_forecast", BASE + """, r AS (SELECT s.trace_id, step_index, greatest(1, length(result) // 4) AS t FROM steps s WHERE kind = 'tool_call'),
@@ -476,9 +476,10 @@ def _(spark, d):
     return sinks.spans(adapters.steps(spark, d))
 
 
-@query("export_csv", BASE + "SELECT trace_id, step_index, kind, coalesce(tool, '') AS tool, result, coalesce(thought, '') AS thought, tokens, latency_ms, coalesce(error, '') AS error FROM steps")
+@query("export_csv", BASE + """SELECT s.trace_id, s.task, s.model, CASE WHEN success IS NULL THEN '' WHEN success THEN 'True' ELSE 'False' END AS success, created_us / 1e6 AS created_at, step_index AS step, kind, coalesce(tool, '') AS tool, coalesce(agent, '') AS agent,
+s.tokens, latency_ms, coalesce(error, '') AS error, breached AS budget_breached, result FROM steps s JOIN traces t USING (trace_id)""")
 def _(spark, d):
-    return sinks.csv_rows(adapters.steps(spark, d))
+    return sinks.csv_rows(*both(spark, d))
 
 
 @query("prometheus", BASE + RULES + """, s AS (SELECT store, count(*) AS traces, count(*) FILTER (success = false) AS failures, count(*) FILTER (breached) AS breached, CAST(sum(tokens) AS BIGINT) AS tokens FROM verdicts GROUP BY store)
@@ -605,6 +606,9 @@ def _(spark, d):
     return live.census(posts)
 
 
+from . import operations  # noqa: E402, F401  registers its queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures ranked by how much a look at them is worth."""
     return _queries["triage"](spark, sf_dir)

@@ -43,7 +43,8 @@ def tokens(text: str) -> list[tuple[str, str, int]]:
 
 
 def enriched(steps: DataFrame, traces: DataFrame, detections: DataFrame | None = None) -> DataFrame:
-    """Traces with all fields of the language; mode only where detections are given."""
+    """Traces with all fields of the language; without detections there is no mode, and expressions that use it are refused by
+    the engine."""
     call = F.col("kind") == "tool_call"
     failed = call & F.col("error").isNotNull()
     own = steps.groupBy("trace_id").agg(
@@ -56,7 +57,7 @@ def enriched(steps: DataFrame, traces: DataFrame, detections: DataFrame | None =
     )
     out = traces.join(own, "trace_id").withColumn("created", F.col("created_us") / 1e6).withColumnRenamed("n_steps", "steps")
     if detections is None:
-        return out.withColumn("mode", F.array().cast("array<string>"))
+        return out
     modes = detections.groupBy("trace_id").agg(F.collect_set("mode_id").alias("mode"))
     return out.join(modes, "trace_id", "left").withColumn("mode", F.coalesce("mode", F.array().cast("array<string>")))
 

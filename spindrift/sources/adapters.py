@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.calendar import micros, week_of
+from ..functions.calendar import day_of, micros, week_of
 
 #: USD for 1000 tokens; the third model has no price.
 PRICES = {"m0": 0.01, "m1": 0.02}
@@ -65,7 +65,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("kind") == "message", F.col("mine")).alias("from_agent"),
         F.when(F.col("kind") == "message", F.col("other")).alias("to_agent"),
         ((F.col("kind") == "message") & (k % 2 == 1)).alias("requires_ack"),
-        F.when(call & (k % 13 == 0), "agent-1").alias("share_with"),
+        F.when(call & (k % 13 == 0), F.array(F.lit("agent-1"), F.lit("agent-9"))).alias("share_with"),
         (call & event.isin("purchase", "signup")).alias("mutating"),
         task.alias("task"),
         F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"),
@@ -76,7 +76,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traces(steps_: DataFrame) -> DataFrame:
     """One row for each trace: trace_id, store, user_id, task, model, success, created_at (seconds), n_steps, tokens, duration,
-    breached, annotated, step_limit, forbidden (a tool), roles (whether roles are assigned), ambiguous."""
+    breached, annotated, step_limit, forbidden (tools), role_tools (role to tools), agent_roles (agent to role), ambiguous."""
     t = steps_.groupBy("trace_id").agg(
         F.first("store").alias("store"),
         F.first("user_id").alias("user_id"),
@@ -95,6 +95,38 @@ def traces(steps_: DataFrame) -> DataFrame:
         "breached": u % 8 == 0,
         "annotated": u % 10 == 0,
         "step_limit": F.when(u % 3 == 0, F.lit(12)),
-        "forbidden": F.when(u % 5 == 0, "create_account"),
-        "roles": u % 6 == 0,
+        "forbidden": F.when(u % 5 == 0, F.array(F.lit("create_account"), F.lit("drop_account"))),
+        "role_tools": F.when(u % 6 == 0, F.create_map(F.lit("browser"), F.array(*map(F.lit, ("get_item", "search_items", "create_account", "call_api"))))),
+        "agent_roles": F.when(u % 6 == 0, F.create_map(F.lit("agent-0"), F.lit("browser"))),
+        "ambiguous": u % 35 == 3,
     })
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on runs, some on runs that are gone: trace_id, ts_us, author, verdict, note, event_id."""
+    e = _events(spark, sf_dir).where("event_id % 11 = 0")
+    n, third = F.col("event_id"), (F.col("event_id") % 3).cast("int")
+    trace = F.when(n % 44 == 0, F.concat(F.lit("gone-"), F.col("user_id").cast("string"))).otherwise(F.col("trace_id"))
+    return e.select(trace.alias("trace_id"), micros(F.col("ts")).alias("ts_us"), F.concat(F.lit("reviewer-"), third.cast("string")).alias("author"), F.element_at(F.array(*map(F.lit, ("Confirmed", "rejected", "OPEN"))), third + 1).alias("verdict"), F.concat(F.lit("looked at "), "event_type").alias("note"), "event_id")
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of posts: row, received_us, verified, kind (null: malformed), sender, trace_id, payload."""
+    e, n = _events(spark, sf_dir), F.col("event_id")
+    kind = F.when(F.col("event_type") == "purchase", "trace_ship").when(n % 97 != 0, F.col("event_type"))
+    return e.select(n.alias("row"), micros(F.col("ts")).alias("received_us"), (n % 3 != 0).alias("verified"), kind.alias("kind"), F.concat(F.lit("host-"), (F.col("user_id") % 4).cast("string")).alias("sender"), "trace_id", F.concat(F.lit('{"Kind": "K-'), (F.col("k") % 10).cast("string"), F.lit('"}')).alias("payload"))
+
+
+def snapshots(traces_: DataFrame) -> DataFrame:
+    """Two snapshots a day: day, seq, store, traces, failures, tokens."""
+    half = F.floor(F.col("created_us") / 43_200_000_000) % 2
+    return traces_.groupBy(day_of(F.col("created_us")).alias("day"), half.alias("seq"), "store").agg(F.count("*").alias("traces"), F.count_if(F.col("success") == False).alias("failures"), F.sum("tokens").alias("tokens"))  # noqa: E712
+
+
+def agent_snapshots(steps_: DataFrame, traces_: DataFrame, top: int = 2) -> DataFrame:
+    """Of each snapshot and store the agents with most steps: day, seq, store, agent, steps, errors, tokens."""
+    half = F.floor(F.col("created_us") / 43_200_000_000) % 2
+    of = traces_.select("trace_id", day_of(F.col("created_us")).alias("day"), half.alias("seq"))
+    rows = steps_.where("agent is not null").join(of, "trace_id").groupBy("day", "seq", "store", "agent").agg(F.count("*").alias("steps"), F.count("error").alias("errors"), F.sum("tokens").alias("tokens"))
+    n = F.row_number().over(W.partitionBy("day", "seq", "store").orderBy(F.desc("steps"), "agent"))
+    return rows.withColumn("n", n).where(F.col("n") <= top).drop("n")

@@ -10,6 +10,7 @@ or whose steps are no list, come back from rejected(), with their text.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CAP, MOST_STEPS, MOST_TEXT = 10_000_000, 10_000, 4000
@@ -150,7 +151,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """All records of the files, whatever their kinds, each id once: the first by content where they differ."""
     rows = lines(spark, path)
     every = native(rows).unionByName(chats(rows)).unionByName(otlp(rows))
-    return every.where(F.col("trace_id").rlike(SAFE_ID)).dropDuplicates(["trace_id"])
+    content = F.to_json(F.struct(*every.columns))
+    first = F.row_number().over(W.partitionBy("trace_id").orderBy(content))
+    return every.where(F.col("trace_id").rlike(SAFE_ID)).withColumn("nth", first).where("nth = 1").drop("nth")
 
 
 def new_records(records: DataFrame, store: DataFrame) -> DataFrame:
@@ -161,3 +164,27 @@ def new_records(records: DataFrame, store: DataFrame) -> DataFrame:
 def exploded(records: DataFrame) -> DataFrame:
     """One row for each step, with its place."""
     return records.select("trace_id", F.posexplode("steps").alias("step_index", "s")).select("trace_id", "step_index", "s.*")
+
+
+def steps_and_traces(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps and traces of recorded runs with the columns that the rules and rollups read; what a run's or a step's meta holds
+    (mutating, verify, share_with, from_agent, to_agent, requires_ack; role_tools, agents, forbidden_tools, ambiguous,
+    step_limit, budget) becomes columns. A call checks where it says so, or its tool's name does."""
+    of = lambda k, kind, column="meta": F.from_json(F.get_json_object(column, f"$.{k}"), kind)
+    flag = lambda k: F.coalesce(F.get_json_object("meta", f"$.{k}") == "true", F.lit(False))
+    word = lambda k: F.get_json_object("meta", f"$.{k}")
+    rows = records.select("trace_id", "task", "model", "created_at", F.posexplode("steps").alias("step_index", "s")).select("trace_id", "task", "model", "created_at", F.col("step_index").cast("long").alias("step_index"), "s.*")
+    call = F.col("kind") == "tool_call"
+    check = flag("verify") | F.coalesce(F.lower("tool").rlike("^(get|verify|check|confirm|validate|read)_"), F.lit(False))
+    steps = rows.select(
+        "trace_id", F.lit("records").alias("store"), "step_index", "kind", "tool", F.to_json(F.try_parse_json("args")).alias("args_canon"), "result", "thought", "tokens", "latency_ms", "error",
+        F.coalesce("agent", word("agent")).alias("agent"), word("from_agent").alias("from_agent"), word("to_agent").alias("to_agent"), flag("requires_ack").alias("requires_ack"), of("share_with", "array<string>").alias("share_with"),
+        (call & flag("mutating")).alias("mutating"), (call & check).alias("is_verify"), "task", "model", (F.col("created_at") * 1e6).cast("long").alias("ts_us"),
+    ).withColumn("fingerprint", F.concat_ws(":", "kind", F.coalesce("tool", F.lit("None")), "args_canon"))
+    ends = steps.groupBy("trace_id").agg(F.count("*").alias("n_steps"), F.sum("tokens").alias("tokens"), F.sum("latency_ms").alias("duration"), F.max_by("kind", "step_index").alias("last_kind"), F.max("step_index").alias("last_index"))
+    traces = records.select(
+        "trace_id", F.lit("records").alias("store"), "task", "model", "success", (F.col("created_at") * 1e6).cast("long").alias("created_us"),
+        of("role_tools", "map<string,array<string>>").alias("role_tools"), of("agents", "map<string,string>").alias("agent_roles"), of("forbidden_tools", "array<string>").alias("forbidden"), flag("ambiguous").alias("ambiguous"),
+        word("step_limit").try_cast("long").alias("step_limit"), F.coalesce(word("budget.exceeded") == "true", F.lit(False)).alias("breached"), F.lit(False).alias("annotated"),
+    )
+    return steps, traces.join(ends, "trace_id")

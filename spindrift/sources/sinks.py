@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +26,20 @@ def chat_lines(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(F.concat(first, F.transform("steps", message)).alias("messages"), F.struct("task", "trace_id", "success").alias("metadata"))).alias("value"))
 
 
-def csv_rows(steps: DataFrame) -> DataFrame:
-    """A row for each step, texts on one line and safe from formulas."""
-    safe = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\r\n]+", " "), r"^([=+\-@])", "'$1").alias(c)
-    return steps.select("trace_id", "step_index", "kind", safe("tool"), safe("result"), safe("thought"), "tokens", "latency_ms", safe("error"))
+CELL = 240
+
+
+def cell(text: Column) -> Column:
+    """Text of a spreadsheet: what would be read as a formula is quoted, and what is long is cut with an ellipsis."""
+    quoted = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A([=+\-@\t\r])", "'$1")
+    return F.when(F.char_length(quoted) > CELL, F.concat(F.substring(quoted, 1, CELL - 1), F.lit("…"))).otherwise(quoted)
+
+
+def csv_rows(steps: DataFrame, traces: DataFrame) -> DataFrame:
+    """A row of fourteen columns for each step, with what its run says of it."""
+    run = traces.select("trace_id", "success", (F.col("created_us") / 1e6).alias("created_at"), F.col("breached").alias("budget_breached"))
+    outcome = F.when(F.col("success").isNull(), "").when(F.col("success"), "True").otherwise("False")
+    return steps.join(run, "trace_id").select("trace_id", "task", F.coalesce("model", F.lit("")).alias("model"), outcome.alias("success"), "created_at", F.col("step_index").alias("step"), "kind", *(cell(F.col(c)).alias(c) for c in ("tool", "agent")), "tokens", "latency_ms", cell(F.col("error")).alias("error"), "budget_breached", cell(F.col("result")).alias("result"))
 
 
 def prometheus(stats: DataFrame) -> DataFrame:

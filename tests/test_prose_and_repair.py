@@ -36,7 +36,7 @@ def test_rules_in_words(spark):
 def test_one_pass_gives_what_the_rules_give(spark):
     s = adapters.steps(spark, DATA)
     t = adapters.traces(s)
-    one = [detect.repeat(s), detect.long_loop(s, t), detect.reset(s), detect.premature(t), detect.missing_verify(s), detect.weak_verify(s), detect.intent_mismatch(s), detect.derail(s), detect.forbidden(s, t), detect.clarify(s), detect.withhold(s), detect.ignored(s), detect.role(s, t), detect.lost_reference(s)]
+    one = [detect.repeat(s), detect.long_loop(s, t), detect.reset(s), detect.premature(t), detect.missing_verify(s), detect.weak_verify(s), detect.intent_mismatch(s), detect.derail(s), detect.forbidden(s, t), detect.clarify(s, t), detect.withhold(s), detect.ignored(s), detect.role(s, t), detect.lost_reference(s)]
     want = {tuple(r) for f in one for r in f.collect()}
     assert {tuple(r) for r in detect.run_rules(s, t, cycles=False).collect()} == want
 
