@@ -6,7 +6,8 @@ on 128 signed bits; a bit is 1 where the sum is above zero. Each sum holds two b
 of up to 2 ** 28 terms can't overflow.
 
 near_pairs() cuts the distinct fingerprints into radius + 2 blocks. Two fingerprints that differ in at most `radius`
-bits agree in two blocks at least, so that a table for each pair of blocks, keyed by both, finds all of them.
+bits agree in two blocks at least, so that a table for each pair of blocks, keyed by both, finds all of them. A bucket of
+more than CROWDED is split again, by each of radius + 1 parts of the bits: one of them agrees too.
 
 Only DataFrame functions run here. Defined results: a null text is an empty one; a text without words has all bits 0; a
 null id comes last in the order of documents, equal ids in the order of their texts; other columns are not read.
@@ -22,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHINGLE, RADIUS = 5, 3
+#: Fingerprints in one table's bucket beyond which it is split by further bits.
+CROWDED = 64
 #: Documents are put into ranges of ids of about so many; never more ranges than RANGES * INNER.
 ROWS, RANGES, INNER = 1000, 256, 256
 LANES = 0x0000000100000001
@@ -98,7 +101,11 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), *bits(edges[i], edges[i + 1]), *bits(edges[j], edges[j + 1])).alias("key")) for t, (i, j) in enumerate(combinations(range(blocks), 2))]
     keyed = one.withColumn("k", F.explode(F.array(*tables))).select("hi", "lo", "k.t", "k.key")
     # keys that one fingerprint has alone, most of them, are dropped before the join; that takes the exchange which the join needs anyway
-    several = keyed.withColumn("n", F.count("*").over(W.partitionBy("t", "key"))).where("n > 1").drop("n")
+    several = keyed.withColumn("n", F.count("*").over(W.partitionBy("t", "key"))).where("n > 1")
+    # a crowded bucket is split: of what a pair's other bits are cut into, radius + 1 parts, one at least agrees
+    parts = [round(i * 128 / (radius + 1)) for i in range(radius + 2)]
+    finer = F.array(*(F.xxhash64(F.lit(i), "key", *bits(x, y)) for i, (x, y) in enumerate(zip(parts, parts[1:]))))
+    several = several.withColumn("key", F.explode(F.when(F.col("n") > CROWDED, finer).otherwise(F.array("key")))).drop("n")
     a, b = (several.select("t", "key", F.col("hi").alias(f"{x}_hi"), F.col("lo").alias(f"{x}_lo")) for x in "ab")
     pairs = a.join(b, ["t", "key"]).where("a_hi < b_hi or (a_hi = b_hi and a_lo < b_lo)").withColumn("distance", distance(*map(F.col, ("a_hi", "a_lo", "b_hi", "b_lo"))))
     return pairs.where(F.col("distance") <= radius).select("a_hi", "a_lo", "b_hi", "b_lo", "distance").distinct()

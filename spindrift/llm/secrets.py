@@ -5,7 +5,7 @@ service keys, tokens in three parts, private keys, card numbers with a valid che
 characters do. A private key goes from its first line through its END line, or to the end of the text where none follows, and
 isn't judged (score 1): the forest, which knows one kind of first line, takes others for false. A candidate's features
 are its length, its entropy, the share of each kind of character, how often the kind changes from one character to the
-next, the mean log-probability of its letter pairs (a table of common pairs), the share of it that dictionary words cover,
+next, the mean log-probability of its letter pairs (a table of common pairs), the share of it that words of a public tokenizer's vocabulary cover,
 and the words and path separators around it. The forest is trained from labelled findings: LABELLED of each class, made
 from the shapes that secrets and their look-alikes (digests of files, identifiers, placeholders, version strings, paths,
 prose) take, by a fixed seed. training() takes a table of findings of one's own instead, of at most MOST_LABELLED rows.
@@ -16,6 +16,8 @@ null id stays null; other columns are kept out. Texts of any length are scanned
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import random
 import re
@@ -55,7 +57,33 @@ _PAIRS = {p: math.log2(2.0 / (i + 2)) for i, p in enumerate(dict.fromkeys(_COMMO
 FEATURES = ["length", "entropy", "digits", "upper", "lower", "other", "transitions", "pairs", "covered", "distinct", "hex", "digest_near", "name_near", "slash_near", "quoted", "placeholder", "kind"]
 
 
-def features(kind: str, value: str, before: str, after: str) -> list[float]:
+@functools.cache
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """Words of three letters or more that a public tokenizer's vocabulary has whole, with the short list of those that stand
+    around keys. path: of a vocabulary in the tokenizers' JSON format."""
+    from .packing import vocabulary
+
+    with open(path or vocabulary()) as f:
+        tokens = json.load(f)["model"]["vocab"]
+    return WORDS | {t[1:].lower() for t in tokens if t[:1] == "\u0120" and len(t) > 3 and t[1:].isascii() and t[1:].isalpha()}
+
+
+def _covered(lower: str, words: frozenset[str]) -> int:
+    """Letters that dictionary words cover: in each run of letters from the left the longest word, else a letter is passed."""
+    total = 0
+    for run in re.findall(r"[a-z]{3,}", lower):
+        at = 0
+        while at < len(run) - 2:
+            for end in range(min(len(run), at + 14), at + 2, -1):
+                if run[at:end] in words:
+                    total += end - at
+                    at = end - 1
+                    break
+            at += 1
+    return total
+
+
+def features(kind: str, value: str, before: str, after: str, words: frozenset[str] = WORDS) -> list[float]:
     n = max(len(value), 1)
     count: dict[str, int] = {}
     for c in value:
@@ -63,7 +91,7 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in value]
     lower = value.lower()
     pairs = [_PAIRS.get(lower[i : i + 2], -9.0) for i in range(len(lower) - 1) if lower[i].isalpha() and lower[i + 1].isalpha()]
-    covered = sum(len(w) for w in re.findall(r"[a-z]+", lower) if w in WORDS)
+    covered = _covered(lower, words)
     return [
         n,
         -sum(k / n * math.log2(k / n) for k in count.values()),
@@ -150,7 +178,8 @@ def _card(r: random.Random) -> str:
 class Forest:
     """A random forest of binary trees on quantile cuts; leaves hold the share of class 1."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 5, words: frozenset[str] = WORDS) -> None:
+        self.words = words
         rng = np.random.default_rng(seed)
         self.trees = [self._grow(x, y, rng.integers(0, len(y), len(y)), rng) for _ in range(trees)]
 
@@ -196,9 +225,9 @@ class Forest:
         return total / max(len(self.trees), 1)
 
 
-def train(found: list[tuple[str, str, str, str, int]] | None = None) -> Forest:
-    found = findings() if found is None else found
-    return Forest(np.array([features(*f[:4]) for f in found]), np.array([f[4] for f in found]))
+def train(found: list[tuple[str, str, str, str, int]] | None = None, vocabulary: str | None = None) -> Forest:
+    found, words = findings() if found is None else found, dictionary(vocabulary)
+    return Forest(np.array([features(*f[:4], words) for f in found]), np.array([f[4] for f in found]), words=words)
 
 
 def training(labelled: DataFrame) -> Forest:
@@ -222,7 +251,7 @@ def _scan(forest, keep: float, redact: bool):
             judged = np.array([k != "private_key" for _, k, _, _ in flat], bool)
             scores = np.ones(len(flat))
             if judged.any():
-                scores[judged] = trees.predict(np.array([features(k, texts[i][a:b], texts[i][max(0, a - 40) : a], texts[i][b : b + 20]) for (i, k, a, b), j in zip(flat, judged) if j]))
+                scores[judged] = trees.predict(np.array([features(k, texts[i][a:b], texts[i][max(0, a - 40) : a], texts[i][b : b + 20], trees.words) for (i, k, a, b), j in zip(flat, judged) if j]))
             kept: list[list] = [[] for _ in texts]
             for (i, k, a, b), s in zip(flat, scores):
                 if s >= keep:

@@ -4,7 +4,7 @@ Texts are cut into super-k-mers of bytes (superkmer.py), so that all copies of a
 bucket. A bucket drops strings whose minimiser is alone, settles strings that are equal as a whole, and sorts the
 suffixes of the rest. A stack scan over the common-prefix lengths of neighbours walks the interval tree from the leaves;
 an interval of at least `least` bytes whose occurrences differ in the byte to their left is a maximal repeat. All its
-occurrences are given out, and all but the earliest are removed.
+occurrences are given out, and all but the earliest are removed; repeat_groups() returns them all.
 
 Defined results: a null or empty text has no bytes; repeated ids count as one document in the order, so that equal rows
 lose the same bytes; a null id comes before all others; other columns are not read. An empty table gives no rows.
@@ -12,10 +12,12 @@ lose the same bytes; a null id comes before all others; other columns are not re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,6 +177,45 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in list(out)[:4]), pa.array(out["kept"], pa.binary())], list(out))
 
 
+def _groups(least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        got, bodies = [], []
+        for n, meta, body in zip(rows["n"].to_pylist(), rows["meta"].to_pylist(), rows["body"].to_pylist()):
+            got.append(sk.unpack(meta, n, *sk.META))
+            bodies.append(zstandard.ZstdDecompressor().decompress(body))
+        doc, tag, pos, size, minimiser = (np.concatenate(x) for x in zip(*got))
+        text, out = b"".join(bodies), []
+        length = size.astype(np.int64) + least - 1
+        starts = np.r_[0, np.cumsum(length)]
+        keep = np.flatnonzero(sk.repeated(minimiser))
+        body = np.frombuffer(text, dtype=np.uint8)[tk.runs(starts[keep], length[keep])].tobytes()
+        at = np.r_[0, np.cumsum(length[keep])]
+        place, _, common = suffix_array(body, at, least)
+        string = np.searchsorted(at, place, "right") - 1
+        inner = place - at[string]
+        left = np.where(inner > 0, np.frombuffer(body, dtype=np.uint8)[np.maximum(place - 1, 0)].astype(np.int64), -1)
+        for a, b, n in maximal_repeats(place, common, left, least):
+            name = hashlib.sha256(body[place[a] : place[a] + n]).hexdigest()
+            own = keep[string[a:b]]
+            out.append((np.full(b - a, name, object), doc[own], tag[own], pos[own] + inner[a:b], pos[own] + inner[a:b] + n))
+        name, doc, tag, begin, end = (np.concatenate(x) for x in zip(*out)) if out else [np.zeros(0, t) for t in (object, "i8", "i4", "i8", "i8")]
+        return pa.table({"repeat": pa.array(name.tolist(), pa.string()), "doc_id": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int32()), "begin": pa.array(begin, pa.int64()), "end": pa.array(end, pa.int64())})
+
+    return run
+
+
+def repeat_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, buckets: int | None = None) -> DataFrame:
+    """repeat (the string's SHA-256), doc_id, tag, begin, end (bytes): the maximal repeats, each with all its occurrences. A
+    repeat that goes beyond its bucket's strings is given in parts of `least` bytes or more that overlap. Unlike dedup(), which
+    settles equal strings on their way, this sends every copy: it is made for a look at what repeats."""
+    rows = sk.keyed(docs, text, doc_id)
+    shared.small_batches(docs.sparkSession)
+    n = sk.buckets_of(docs.sparkSession, buckets)
+    packed = rows.mapInArrow(sk.packer(_elements(least), least, MER, n, settled=False), sk.PACKED)
+    found = packed.groupBy("bucket").applyInArrow(_groups(least), "repeat string, doc_id long, tag int, begin long, end long")
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != sk.NULL_ID, F.col("doc_id"))).distinct()
+
+
 def removed_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, buckets: int | None = None) -> DataFrame:
     """doc_id, tag, spans (array of begin, end): bytes covered by a string of `least` bytes that also starts earlier."""
     return sk.removals(sk.keyed(docs, text, doc_id), _elements(least), _judge(least), least, MER, buckets)

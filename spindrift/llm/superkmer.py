@@ -135,7 +135,7 @@ def slots(least: np.ndarray) -> np.ndarray:
     return (tk.mix(least ^ tk.M2) % U(SLOTS)).astype(np.int64)
 
 
-def packer(elements: Callable, k: int, m: int, buckets: int, hot: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def packer(elements: Callable, k: int, m: int, buckets: int, hot: np.ndarray | None = None, settled: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """elements(text column) yields (rows, first elements' places in their texts, offsets, m-element hashes, content hash of ranges, strings of ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +148,11 @@ def packer(elements: Callable, k: int, m: int, buckets: int, hot: np.ndarray | N
                 if not len(start):
                     continue
                 doc, tag, pos = ids[text], tags[text], start - at[text] + base
-                order, late = settle(doc, pos, *content(start, start + size + k - 1))
-                gone, keep = order[late], np.sort(order[~late])
+                if settled:
+                    order, late = settle(doc, pos, *content(start, start + size + k - 1))
+                    gone, keep = order[late], np.sort(order[~late])
+                else:
+                    gone, keep = np.zeros(0, np.int64), np.arange(len(start))
                 if len(gone):
                     turn += 1
                     yield sent([turn % buckets], [-len(gone)], [pack(doc[gone].astype("<i8"), tag[gone].astype("<i4"), pos[gone].astype("<i8"), (pos[gone] + size[gone] + k - 1).astype("<i8"))], [b""])

@@ -6,6 +6,8 @@ context, down to a uniform distribution. A URL's score is the log-likelihood of
 length. The threshold is calibrated on every fifth labelled text, which the models don't see: midway between the medians
 of both classes' scores. A score above it blocks.
 
+What is modelled is host and path: the rules speak of those, queries and fragments hold what tells visits apart.
+
 Scores are summed in whole millionths, so that results don't depend on the order of rows. Only DataFrame functions run.
 
 Defined results: a null URL, or one without ://, has an empty host and path; repeated rows are judged each for itself, alike;
@@ -86,10 +88,22 @@ def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id", rules: l
     scored = texts.select("text", F.explode(grams(F.col("text"))).alias("gram")).join(llr, "gram").groupBy("text").agg((F.sum("llr") / F.count("*") / 1e6).alias("score"))
     scored = shared.table(scored.join(texts.select("text", side.alias("side"), held.alias("held")), "text"))
     t = threshold(scored)
-    each = rows.join(scored.select("text", "score"), "text", "left")
+    each = spread(rows, scored.join(texts.select("text", "n"), "text").select("text", "score", "n"))
     return each.select("page_id", "url", "host", "path", F.col("by.rule").alias("rule"), F.coalesce(F.col("by.verdict"), F.when(F.col("score") > t, "block").otherwise("allow")).alias("verdict"), F.when(F.col("by").isNull(), F.col("score")).alias("score"))
 
 
+def spread(rows: DataFrame, scored: DataFrame) -> DataFrame:
+    """rows with their texts' scores. Texts that more than a thousandth of the rows have (the empty one of null URLs, say) are
+    fewer than a thousand: they are looked up where the rows lie, and only the others' rows are shuffled. scored: text,
+    score, n (rows that have it)."""
+    scored = shared.table(scored)
+    least = (scored.agg(F.sum("n")).first()[0] or 0) / 1000
+    hot = scored.where(F.col("n") > least).select(F.col("text").alias("hot_text"), F.col("score").alias("hot_score"))
+    near = rows.join(F.broadcast(hot), F.col("text") == F.col("hot_text"), "left")
+    some = near.where("hot_text is null").drop("hot_text", "hot_score").join(scored.where(F.col("n") <= least).select("text", "score"), "text", "left")
+    return near.where("hot_text is not null").drop("hot_text").withColumnRenamed("hot_score", "score").unionByName(some)
+
+
 def threshold(scored: DataFrame) -> float:
     """Midway between the medians of both classes' held-out scores: a few examples unlike their class don't move it.
     scored: side, held, score."""

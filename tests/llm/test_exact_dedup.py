@@ -62,6 +62,23 @@ def test_bytes(docs, rows):
     check_bytes(suffix_dedup.dedup(docs), rows)
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    r = random.Random(9)
+    some = lambda n: "".join(r.choices("abcdefgh", k=n))
+    shared = some(130)
+    rows = [(i, some(50 + i) + shared + some(60)) for i in range(5)] + [(9, some(300)), (10, None)]
+    got = suffix_dedup.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for x in got:
+        assert x.end - x.begin >= 100
+        groups.setdefault(x.repeat, []).append((x.doc_id, x.begin, dict(rows)[x.doc_id][x.begin : x.end]))
+    # some documents share a byte more by chance: a longer repeat of their own
+    assert all(len({t for _, _, t in g}) == 1 and len({i for i, _, _ in g}) > 1 for g in groups.values())
+    assert any({i for i, _, _ in g} == set(range(5)) for g in groups.values())
+    covered = {(x.doc_id, p) for x in got for p in range(x.begin, x.end)}
+    assert all((i, 50 + i + p) in covered for i in range(5) for p in range(130))
+
+
 def test_hot_minimisers(spark, monkeypatch):
     """A passage among surroundings that differ everywhere: its windows are spread, with the same results."""
     monkeypatch.setattr(superkmer, "HOT", 30)

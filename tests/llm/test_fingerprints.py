@@ -58,6 +58,21 @@ def test_near_pairs(spark):
     assert found == want and len(got) == len(want)
 
 
+def test_crowded_buckets(spark, monkeypatch):
+    """Many fingerprints that agree in half their bits: the split buckets find the same pairs."""
+    import random
+
+    monkeypatch.setattr(fp, "CROWDED", 8)
+    r = random.Random(2)
+    base = r.getrandbits(64)
+    prints = {base << 64 | r.getrandbits(64) for _ in range(120)}
+    prints |= {x ^ 1 << r.randrange(128) ^ 1 << r.randrange(128) for x in list(prints)[:40]}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(signed(x >> 64), signed(x & (1 << 64) - 1)) for x in prints]
+    got = fp.near_pairs(spark.createDataFrame(rows, "hi long, lo long")).collect()
+    assert len(got) == sum((a ^ b).bit_count() <= fp.RADIUS for a, b in combinations(prints, 2)) > 0
+
+
 def test_no_python_on_executors(docs):
     plan = fp.compare(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

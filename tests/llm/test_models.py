@@ -197,7 +197,7 @@ def test_kneser_ney_adds_up(spark):
 def test_secrets(docs, rows):
     forest = secrets.train()
     fresh = secrets.findings(seed=99, each=150)
-    said = forest.predict(np.array([secrets.features(*f[:4]) for f in fresh])) >= secrets.KEEP
+    said = forest.predict(np.array([secrets.features(*f[:4], forest.words) for f in fresh])) >= secrets.KEEP
     assert np.mean(said == np.array([f[4] for f in fresh])) > 0.95
     text = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and password: your_password_here'
     (kind, a, b), *_ = secrets.candidates(text)
