@@ -358,3 +358,45 @@ def test_pipeline(spark, docs, tmp_path):
         assert at.columns == columns, name
         assert at.count() <= before
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_on_nothing(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.select(corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Planted copies, leaks and secrets among clean documents: each stage takes out what it should and nothing else, and the
+    pieces are the kept texts."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = {i: prose(i, 90 + i) for i in range(300)}
+    items = {i: prose(7000 + i, 30) for i in range(6)}
+    texts[301], texts[302], texts[303] = texts[5], texts[9].replace(texts[9].split()[50], "other", 1), None
+    for i in items:
+        texts[400 + i] = f"{prose(8000 + i, 60)} {items[i]} {prose(8100 + i, 40)}"
+    texts[450] = prose(8500, 900) + ' api_key = "Zk3v9QmT7xLp2Rw8Yd5Hs1Gj" ' + prose(8501, 300)
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([*items.items(), (99, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        kept.append({r.doc_id: r.text for r in at.collect()})
+    assert 303 not in kept[0] and set(texts) - set(kept[0]) <= {303, *range(300)} and len(kept[0]) > 0.97 * len(texts)
+    assert set(kept[0]) - set(kept[1]) == {i for i, j in ((301, 5), (302, 9)) if i in kept[0] and j in kept[0]}
+    assert set(kept[1]) - set(kept[2]) == {400 + i for i in items}
+    assert set(kept[3]) == set(kept[2]) and {i for i in kept[3] if kept[3][i] != kept[2][i]} == {450} and "Zk3v9QmT7xLp2Rw8Yd5Hs1Gj" not in kept[3][450]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    got = {i: [x for _, ids in sorted(p) for x in ids] for i, p in pieces.items()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in kept[3].items()}
