@@ -4,6 +4,11 @@ Each stage takes the documents that the one before it kept and returns documents
 n_chars); the last returns pieces of tokens. Quality: documents that the classifier rejects go. Near-duplicates: of each
 class, the document of the least id stays. Decontamination: documents with a leak of a benchmark item go. Secrets: each
 is replaced in the text by its kind in brackets, and n_chars follows. Packing: token sequences of power-of-two lengths.
+
+Defined results: null and empty texts are rejected by the classifier wherever any row is trusted; without trusted rows all
+documents pass it. Of rows that are equal in id and text one stays, of several texts with one id those of other classes stay
+each. A null id stays null. A null benchmark text matches nothing. Other columns than those of documents are not carried. An
+empty table gives no pieces.
 """
 
 from __future__ import annotations
