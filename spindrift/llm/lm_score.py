@@ -105,10 +105,11 @@ def _without() -> np.ndarray:
     n0, n1 = e & 255, e >> 8
     full = (n0 == 255) | (n1 == 255)
     less = [np.where(full, e, np.where(n > 0, e - step, e)) for n, step in ((n0, 1), (n1, 256))]
-    return np.concatenate([STATE, *(STATE[x] for x in less)])
+    return np.concatenate([STATE, *(STATE[x] for x in less)]).astype(np.int16)
 
 
-SEEN_AS = _without()
+#: For each order, what to add up for the joint state.
+SEEN_AS = [_without() * np.int16(STATES), _without()]
 
 
 @dataclass
@@ -142,7 +143,11 @@ class Model:
         depth = np.minimum(np.arange(len(self.node)) - np.repeat(self.code_at[:-1], self.size), 4 * DEPTHS - 1) // 4
         self.depth = (depth * STATES * STATES).astype(np.int32)
         self.own_logit = self.node_logit[self.node]
-        self.bin = np.clip(np.round(self.own_logit + BINS / 2), 0, BINS - 1).astype(np.int32)
+        near = np.clip(np.round(self.own_logit + BINS / 2), 0, BINS - 1).astype(np.int32)
+        bit = self.bit.astype(np.int32)
+        self.cell = (self.depth * BINS + near) * 2 + bit
+        self.mode = (bit + 1) << 16
+        self.sign = (1 - 2 * bit).astype(np.float32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaf and count (-1: not in the table) of each token."""
@@ -311,18 +316,12 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def gates(m: Model, d: np.ndarray, slots: list[np.ndarray], mode: np.ndarray | None) -> np.ndarray:
-    """The joint state of each decision's contexts and depth. mode: 0, or what to leave out of the entries (1 and 2: bits 0
-    and 1) times 2 ** 16; None: 0 throughout."""
-    out = m.depth[d]
+def joined(m: Model, slots: list[np.ndarray], mode: np.ndarray) -> np.ndarray:
+    """The joint state of each decision's contexts. mode: 0, or what to leave out of the entries (1 and 2: bits 0 and 1) times
+    2 ** 16."""
+    out = np.zeros(len(mode), np.int32)
     for k, slot in enumerate(slots):
-        e = m.tables[k][slot]
-        if mode is not None:
-            e = e + mode
-        s = SEEN_AS[e].astype(np.int32)
-        if k == 0:
-            s *= STATES
-        out = out + s
+        out += SEEN_AS[k][m.tables[k][slot] + mode]
     return out
 
 
@@ -337,12 +336,9 @@ def _census(model):
             leaf, ctx = m.find(h)[0], contexts(at, h)
             for a in range(0, len(h), CHUNK):
                 _, d, slots = decisions(m, leaf[a : a + CHUNK], [c[a : a + CHUNK] for c in ctx])
-                bit = m.bit[d].astype(np.int32)
-                cell = gates(m, d, slots, (bit + 1) << 16)
-                cell *= BINS
-                cell += m.bin[d]
-                cell *= 2
-                cell += bit
+                cell = joined(m, slots, m.mode[d])
+                cell *= 2 * BINS
+                cell += m.cell[d]
                 np.add.at(seen, cell, 1)
         cells = np.flatnonzero(seen)
         if len(cells):
@@ -393,15 +389,18 @@ def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray, trains:
     stages = np.searchsorted(stage[order], np.arange(int(stage.max()) + 2 if len(h) else 1))
     text, leaf, ctx = text[order], leaf[order], [c[order] for c in contexts(at, h)]
     own = np.zeros((INPUTS, n), np.float32)
+    learnt = np.zeros(n, np.int32) if trains is None else trains.astype(np.int32)
     for s, (lo, hi) in enumerate(zip(stages[:-1].tolist(), stages[1:].tolist())):
         last = s == len(stages) - 2
         gradient, count = np.zeros((INPUTS, n)), np.zeros(n)
         for a in range(lo, hi, CHUNK):
             b = min(a + CHUNK, hi)
             token, d, slots = decisions(m, leaf[a:b], [c[a:b] for c in ctx])
-            t, bit = text[a:b][token], m.bit[d]
-            mode = None if trains is None else np.where(trains[t], (bit + np.int32(1)) << 16, 0)
-            state = gates(m, d, slots, mode)
+            t = text[a:b][token]
+            mode = m.mode[d]
+            mode *= learnt[t]
+            state = joined(m, slots, mode)
+            state += m.depth[d]
             x, y = m.mixed[state], m.prior[state]
             y *= m.own_logit[d]
             mixed = x + y
@@ -410,14 +409,16 @@ def text_bits(m: Model, at: np.ndarray, h: np.ndarray, leaf: np.ndarray, trains:
                 mixed += own[1][t] * y
                 mixed += own[2][t]
             np.clip(mixed, -12, 12, out=mixed)
-            cost = mixed * (1 - 2 * bit).astype(np.float32)  # with the sign of what didn't happen
-            np.exp(cost, out=cost)
-            np.log1p(cost, out=cost)
+            sign = m.sign[d]
+            mixed *= sign  # with the sign of what didn't happen
+            odds = np.exp(mixed, out=mixed)
+            cost = np.log(odds + np.float32(1))
             starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             who = t[starts]
             out[who] += np.add.reduceat(cost, starts, dtype=np.float64)
             if not last:
-                error = bit - 1 / (1 + np.exp(-mixed))
+                error = odds / (odds + np.float32(1))
+                error *= -sign
                 count[who] += np.diff(np.r_[starts, len(t)])
                 for i, z in enumerate((x, y, None)):
                     gradient[i, who] += np.add.reduceat(error if z is None else error * z, starts, dtype=np.float64)
