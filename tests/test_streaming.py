@@ -1,6 +1,6 @@
 import json
 
-from spindrift.operators import sequence
+from spindrift.operators import sequence, stats
 from spindrift.sources import adapters  # noqa: F401
 from spindrift.streaming import live
 
@@ -24,12 +24,26 @@ def test_risk_stream_equals_its_batch_twin(spark, tmp_path):
     steps = spark.createDataFrame(rows, "trace_id string, step_index long, kind string, fingerprint string, mutating boolean, is_verify boolean")
     steps.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(steps.schema).json(str(tmp_path / "in"))
-    live.risk_monitor(stream).writeStream.format("memory").queryName("risk").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    live.risk_monitor(stream, idle_ms=None).writeStream.format("memory").queryName("risk").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     got = {(r.trace_id, r.step_index): r.risk for r in spark.table("risk").collect()}
     want = {(r.trace_id, r.step_index): r.risk for r in sequence.risk(steps).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_risk_stream_with_precursors(spark, tmp_path):
+    rows = [(t, i, "tool_call", f"f{t}{i}", f"t{(i * 7 + k) % 4}", '{"k": 1}', False, False) for k, t in enumerate("abc") for i in range(6)]
+    steps = spark.createDataFrame(rows, "trace_id string, step_index long, kind string, fingerprint string, tool string, args_canon string, mutating boolean, is_verify boolean")
+    runs = spark.createDataFrame([("a", False), ("b", True), ("c", False)], "trace_id string, success boolean")
+    model = stats.precursors(steps, runs)
+    steps.coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(steps.schema).json(str(tmp_path / "in"))
+    watched = {r.gram: (r.occurrences, r.p_fail) for r in model.collect()}
+    live.risk_monitor(stream, watched, None).writeStream.format("memory").queryName("risk2").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.trace_id, r.step_index): r.risk for r in spark.table("risk2").collect()}
+    want = {(r.trace_id, r.step_index): r.risk for r in sequence.with_precursor(sequence.risk(steps), steps, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and max(got.values()) > 0
+
+
 def test_levels_are_left_late():
     at = "nominal"
     said = []
