@@ -109,3 +109,16 @@ def test_sparkline_and_verdicts(spark):
     rows = spark.createDataFrame([("a", f"d{i}", v) for i, v in enumerate((0, 7, 3))] + [("b", "d0", 5), ("b", "d1", 5)], "k string, day string, v long")
     assert {r.k: r.line for r in digest.sparkline(rows, "k", "v").collect()} == {"a": "▁█▄", "b": "▅▅"}
     assert dataset.evaluate_multi(spark.createDataFrame([], "trace_id string, predicted array<string>, gold array<string>"))[0].count() == 0
+
+
+def test_grade_trend(spark, tmp_path):
+    day, now = 86_400, 100 * 86_400
+    runs = []
+    for who, then, ok in (("a", 10, False), ("a", 3, True), ("b", 2, True), ("c", 9, True), ("d", 12, True), ("d", 4, False), ("e", 11, True), ("e", 1, True)):
+        for i in range(2):
+            step = {**call("search", who), "error": None if ok else "boom"}
+            runs.append({**run(f"{who}{then}{i}", step, success=ok), "created_at": now - then * day})
+    runs.append({**run("f1", call("search", "f")), "created_at": now - day})
+    s, t = from_records(spark, tmp_path, *runs)
+    got = {r.subject: r.direction for r in repair.grade_trend(s, t, "agent", now * 1_000_000).collect()}
+    assert got == {"a": "improved", "b": "new", "c": "gone", "d": "slipped", "e": "flat", "f": "new"}
