@@ -122,3 +122,15 @@ def test_grade_trend(spark, tmp_path):
     s, t = from_records(spark, tmp_path, *runs)
     got = {r.subject: r.direction for r in repair.grade_trend(s, t, "agent", now * 1_000_000).collect()}
     assert got == {"a": "improved", "b": "new", "c": "gone", "d": "slipped", "e": "flat", "f": "new"}
+
+
+def test_similar_runs_and_scripts_are_those_of_plain_comparison(spark, tmp_path):
+    r = random.Random(6)
+    runs = {f"r{i:02d}": [f"t{r.randint(0, 4)}" for _ in range(r.randint(1, 9))] for i in range(25)}
+    s, _ = from_records(spark, tmp_path, *(run(i, *map(call, tools)) for i, tools in runs.items()))
+    calls = {i: [(f'{t}:{{"q":1}}', t + " {q}") for t in tools] for i, tools in runs.items()}
+    want = sorted(((-sequence.similarity(calls["r00"], c), i) for i, c in calls.items() if i != "r00"))[:7]
+    assert [(-x.similarity, x.trace_id) for x in sequence.most_similar(s, "r00", 7).collect()] == want
+    pairs = spark.createDataFrame([("r00", "r01"), ("r02", "r03")], "a string, b string")
+    got = {(x.a, x.b, x.ordinal): (x.operation, x.at_a, x.at_b, x.likeness) for x in sequence.diff(s, pairs).collect()}
+    assert got == {(a, b, n): e for a, b in (("r00", "r01"), ("r02", "r03")) for n, e in enumerate(sequence.edit_script(calls[a], calls[b]))}
