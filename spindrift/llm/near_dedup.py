@@ -34,7 +34,10 @@ SIMILAR = 0.8
 ROUNDS = 5
 #: Members compared with a leader in one task.
 CHUNK = 256
+#: Of a text's weight, how much a sample is sought within at first.
+WITHIN = 4.0
 _tables: list[np.ndarray] = []
+_bounds: list[np.ndarray] = []
 
 
 def tables() -> list[np.ndarray]:
@@ -50,10 +53,49 @@ def tables() -> list[np.ndarray]:
     return _tables
 
 
-def samples(at: np.ndarray, shingle: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """k samples of each text, as an array of n by k of 32 bits; texts without shingles have zeros."""
+def lower_bounds() -> np.ndarray:
+    """For the 16 high bits of a hash, eight times the least that log_samples() can give for a weight of 1, rounded down."""
+    if not _bounds:
+        r_of, _, log_of = tables()
+        low = log_of[::256][None, :] - r_of[255::256][:, None]
+        _bounds.append(np.clip(np.floor(low * 8 - 0.01), -128, 127).astype(np.int8).ravel())
+    return _bounds[0]
+
+
+def hashed(shingle: np.ndarray, turn: np.ndarray | np.uint64, out: np.ndarray | None = None, spare: np.ndarray | None = None) -> np.ndarray:
+    """The hash of each shingle (itself a mixed hash) for one sample."""
+    x = np.multiply(shingle, turn, out=out)
+    x ^= np.right_shift(x, U(32), out=spare)
+    x *= tk.M3
+    return x
+
+
+def log_samples(x: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
+    """What Ioffe's scheme compares, of shingles with the hashes x."""
     r_of, inverse_of, log_of = tables()
+    f = x.view(np.uint16).reshape(-1, 4)
+    # the high bytes of both quantiles stand together, so that lower_bounds() has one place for them
+    i1, i2 = f[:, 3] & 0xFF00 | f[:, 2] >> 8, f[:, 3] << 8 | f[:, 2] & 0xFF
+    t = log_weight * inverse_of[i1]
+    beta = f[:, 1].astype(np.float32)
+    beta *= np.float32(1 / 65536)
+    t += beta
+    np.floor(t, out=t)
+    t -= beta
+    t += np.float32(1)
+    t *= r_of[i1]
+    return np.subtract(log_of[i2], t, out=t)
+
+
+def samples(at: np.ndarray, shingle: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """k samples of each text, as an array of n by k of 32 bits; texts without shingles have zeros.
+
+    A sample is the least of what log_samples() gives for a text's shingles. It is worked out for those only whose lower bound
+    is below log(WITHIN / the text's weight). The least is below that but with a probability of exp(-WITHIN); where it isn't,
+    all the text's shingles are taken."""
     out = np.zeros((len(at) - 1, k), dtype=np.uint32)
+    turns = tk.mix(np.arange(1, k + 1, dtype=U) * tk.M1) | U(1)
+    bounds = lower_bounds()
     filled = np.flatnonzero(np.diff(at))
     step = 1 << 15
     # stretches of whole texts that fit the cache
@@ -64,25 +106,30 @@ def samples(at: np.ndarray, shingle: np.ndarray, weight: np.ndarray, k: int) ->
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = filled[a:b]
         lo, hi = int(at[own[0]]), int(at[own[-1] + 1])
-        s, lw, starts = shingle[lo:hi], np.log(weight[lo:hi]), at[own] - lo
-        for j in range(k):
-            x = s ^ U((j + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            x ^= x >> U(29)
-            x *= tk.M2
-            x ^= x >> U(32)
-            x *= tk.M3
-            f = x.view(np.uint16).reshape(-1, 4)
-            i1, beta = f[:, 3], f[:, 1].astype(np.float32)
-            beta *= np.float32(1 / 65536)
-            r = r_of[i1]
-            t = lw * inverse_of[i1]
-            t += beta
-            np.floor(t, out=t)
-            t -= beta
-            t += np.float32(1)
-            t *= r
-            np.subtract(log_of[f[:, 2]], t, out=t)
-            out[own, j] = np.minimum.reduceat(t, starts).view(np.uint32)
+        s, w, starts = shingle[lo:hi], weight[lo:hi], at[own] - lo
+        size, lw = np.diff(np.r_[starts, hi - lo]), np.log(w)
+        most = np.log(WITHIN / np.add.reduceat(w, starts, dtype=np.float64))
+        limit = np.clip(np.floor(8 * (np.repeat(most, size) + lw)), -128, 127).astype(np.int8)
+        x, y, low, below = np.empty_like(s), np.empty_like(s), np.empty(len(s), np.int8), np.empty(len(s), bool)
+        picks, hashes, edges, n = [], [], [], 0
+        for turn in turns:
+            hashed(s, turn, x, y)
+            np.right_shift(x, U(48), out=y)
+            bounds.take(y.view(np.int64), out=low, mode="clip")
+            pick = np.flatnonzero(np.less_equal(low, limit, out=below))
+            picks.append(pick), hashes.append(x[pick]), edges.append(np.searchsorted(pick, starts) + n)
+            n += len(pick)
+        edge = np.r_[np.concatenate(edges), n]
+        some = np.flatnonzero(np.diff(edge))
+        least = np.full(k * len(own), np.inf, np.float32)
+        if n:
+            least[some] = np.minimum.reduceat(log_samples(np.concatenate(hashes), lw[np.concatenate(picks)]), edge[some])
+        again = np.flatnonzero(least > np.tile(most - 0.001, k))  # less what float32 rounds
+        if len(again):
+            j, t = np.divmod(again, len(own))
+            p = tk.runs(starts[t], size[t])
+            least[again] = np.minimum.reduceat(log_samples(hashed(s[p], np.repeat(turns[j], size[t])), lw[p]), np.cumsum(size[t]) - size[t])
+        out[own] = least.reshape(k, -1).T.view(np.uint32)
     return out
 
 
@@ -107,9 +154,9 @@ def _judge(idf):
         rows = rows.combine_chunks()
         nodes, leaders = rows["node"].to_pylist(), rows["leader"].to_pylist()
         at, shingle, weight = sh.weighted(rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"], idf.value)
-        part = lambda i: (shingle[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
         head = next((i for i, (n, a) in enumerate(zip(nodes, leaders)) if n == a), None)
-        done = {} if head is None else {n: sh.similarity(part(head), part(i)) for i, n in enumerate(nodes) if i != head and n != leaders[0]}
+        like = [] if head is None else sh.similarities(at, shingle, weight, head).tolist()
+        done = {n: x for n, x in zip(nodes, like) if n != leaders[0]}
         return pa.table({"a": pa.array([leaders[0]] * len(done), pa.string()), "b": pa.array(list(done), pa.string()), "similarity": pa.array(list(done.values()), pa.float64())})
 
     return run

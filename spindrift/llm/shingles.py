@@ -100,3 +100,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     both = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
     total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - both
     return both / total if total else 1.0
+
+
+def similarities(at: np.ndarray, shingle: np.ndarray, weight: np.ndarray, head: int) -> np.ndarray:
+    """similarity() of the text `head` to each text."""
+    own = slice(at[head], at[head + 1])
+    order = np.argsort(shingle[own])
+    words, heavy = shingle[own][order], weight[own][order]
+    both = np.zeros(len(at) - 1)
+    text = tk.owner(at)
+    if len(words):
+        place = np.minimum(np.searchsorted(words, shingle), len(words) - 1)
+        same = np.flatnonzero(words[place] == shingle)
+        both = np.bincount(text[same], weights=np.minimum(weight[same], heavy[place[same]]), minlength=len(at) - 1)
+    sums = np.bincount(text, weights=weight, minlength=len(at) - 1)
+    total = sums + sums[head] - both
+    return np.where(total > 0, both / np.where(total > 0, total, 1), 1.0)

@@ -166,6 +166,34 @@ def test_samples_agree_as_weighted_jaccard_says():
     assert np.mean(sig[0] == sig[1]) == pytest.approx(shingles.similarity(a, b), abs=0.04)
 
 
+def test_samples_are_least_of_all_shingles(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [1, 3, 0, 40, 5000, 40_000, 2]
+    at = np.r_[0, np.cumsum(sizes)]
+    shingle = rng.integers(0, 1 << 64, at[-1], dtype=np.uint64)
+    weight = rng.choice([1.0, 1.5, 2.0, 700.0], at[-1], p=[0.5, 0.3, 0.19, 0.01]).astype(np.float32)
+    turns = near_dedup.tk.mix(np.arange(1, 17, dtype=np.uint64) * near_dedup.tk.M1) | np.uint64(1)
+    plain = np.zeros((len(sizes), 16), np.uint32)
+    for i in np.flatnonzero(sizes):
+        for j in range(16):
+            s = slice(at[i], at[i + 1])
+            plain[i, j] = near_dedup.log_samples(near_dedup.hashed(shingle[s], turns[j]), np.log(weight[s])).min().view(np.uint32)
+    real, worked_out = near_dedup.log_samples, []
+    monkeypatch.setattr(near_dedup, "log_samples", lambda x, lw: worked_out.append(len(x)) or real(x, lw))
+    assert np.array_equal(near_dedup.samples(at, shingle, weight, 16), plain)
+    assert sum(worked_out) < 0.1 * 16 * len(shingle)  # of each shingle and sample, few need the whole formula
+
+
+def test_similarities_are_those_of_pairs():
+    rng = np.random.default_rng(5)
+    at = np.array([0, 50, 50, 120, 180])
+    shingle = np.concatenate([rng.choice(100, n, replace=False).astype(np.uint64) for n in np.diff(at)])
+    weight = (rng.integers(64, 200, 180) / 64).astype(np.float32)
+    part = lambda i: (shingle[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
+    for head in range(4):
+        assert shingles.similarities(at, shingle, weight, head).tolist() == [shingles.similarity(part(head), part(i)) for i in range(4)]
+
+
 def test_quality(spark):
     good = [(i, prose(1000 + i, 60 + i % 200), "en" if i % 2 else "fr") for i in range(700)]
     bad = [(5000 + i, prose(i, 80).upper().replace(" ", "!! "), "en") for i in range(20)] + [(6000 + i, " | ".join(prose(i, 80).split()), "fr") for i in range(20)]
