@@ -34,6 +34,8 @@ SIMILAR = 0.8
 ROUNDS = 5
 #: Members compared with a leader in one task.
 CHUNK = 256
+#: Bytes up to which the list of texts to compare is broadcast to where the texts are.
+EACH_BYTES = 16 << 20
 #: Of a text's weight, how much a sample is sought within at first.
 WITHIN = 4.0
 _tables: list[np.ndarray] = []
@@ -168,13 +170,27 @@ def agreeing(x: str, y: str, k: int) -> F.Column:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """a, b, similarity of each pair a, b. texts: node, doc_id, text; of equal texts the one with the node's least id counts."""
+    """a, b, similarity of each pair a, b. texts: node, text, as head_texts() gives them."""
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1))))
-    each = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_id").alias("id")), F.struct(F.col("b").alias("node"), F.col("b_id").alias("id")))).alias("x"), F.col("a").alias("leader"), "chunk").select("x.node", "x.id", "leader", "chunk").distinct()
-    found = texts.join(shared.sized(shared.table(each), 16 << 20), "node").where(F.col("doc_id") == F.col("id")).select("leader", "chunk", "node", "text")
+    each = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("leader"), "chunk").distinct()
+    each = shared.table(each)
+    each = F.broadcast(each) if shared.table_bytes(each) <= EACH_BYTES else each.hint("shuffle_hash")
+    found = texts.join(each, "node").select("leader", "chunk", "node", "text")
     return found.groupBy("leader", "chunk").applyInArrow(_judge(idf), "a string, b string, similarity double")
 
 
+def head_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes. rows: node, doc_id, text; wanted: node, id (the text with that doc_id counts). The texts
+    are moved once: where later joins will be too large to broadcast their other side, they are kept in buckets of the node,
+    and only that side moves."""
+    spark = rows.sparkSession
+    wanted = shared.table(wanted)
+    found = rows.withColumnRenamed("doc_id", "id").join(shared.sized(wanted, EACH_BYTES), ["node", "id"]).select("node", "text")
+    if shared.table_bytes(wanted) <= EACH_BYTES // 4:
+        return shared.table(found)
+    return shared.bucketed(found, "node")
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
     """doc_id, class_id, class_size, n_links (links found of its text), text_md5 and class_md5 (the least of its class: where
     ids repeat, it tells classes apart) of each document."""
@@ -189,7 +205,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rest = shared.table(buckets.join(crowded, "key"))
-    brief = nodes.select("node", "id", "sig")
+    # only texts that share a bucket are compared
+    texts = head_texts(rows, rest.select("node").distinct().join(nodes.select("node", "id"), "node"))
+    brief = nodes.select("node", "sig")
     links = None
     far, slack = 2 * similar - 1, 4 * (0.25 / k) ** 0.5
     known = None
@@ -199,11 +217,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
         nonlocal known
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        a, b = (brief.select(F.col("node").alias(x), F.col("id").alias(f"{x}_id"), F.col("sig").alias(f"{x}_sig")) for x in "ab")
+        a, b = (brief.select(F.col("node").alias(x), F.col("sig").alias(f"{x}_sig")) for x in "ab")
         likely = pairs.join(a, "a").join(b, "b").where(agreeing("a_sig", "b_sig", k) >= max(far - slack, 0)).drop("a_sig", "b_sig")
         likely = shared.table(likely)
         count = likely.groupBy("a").agg(F.count("*").alias("n"))
-        got = shared.table(verify(likely.join(count, "a"), rows, idf))
+        got = shared.table(verify(likely.join(count, "a"), texts, idf))
         known = got if known is None else known.union(got)
         return known
 

@@ -194,6 +194,22 @@ def test_similarities_are_those_of_pairs():
         assert shingles.similarities(at, shingle, weight, head).tolist() == [shingles.similarity(part(head), part(i)) for i in range(4)]
 
 
+def test_near_dedup_moves_texts_once(spark, docs, monkeypatch):
+    """Too large to broadcast, the list of texts to compare goes to where the texts are."""
+    row = lambda r: (r.doc_id or 0, r.class_id or 0, r.class_size, r.n_links)
+    want = sorted(row(r) for r in near_dedup.classes(docs).collect())
+    real, joins = near_dedup.verify, []
+    monkeypatch.setattr(near_dedup, "EACH_BYTES", 0)
+    monkeypatch.setattr(near_dedup, "verify", lambda *args: joins.append(real(*args)) or joins[-1])
+    assert sorted(row(r) for r in near_dedup.classes(docs).collect()) == want
+    assert joins
+    for found in joins:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan
+        assert plan.count("Exchange") == 2  # of the list, and of the texts to their leaders
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed")]
+
+
 def test_quality(spark):
     good = [(i, prose(1000 + i, 60 + i % 200), "en" if i % 2 else "fr") for i in range(700)]
     bad = [(5000 + i, prose(i, 80).upper().replace(" ", "!! "), "en") for i in range(20)] + [(6000 + i, " | ".join(prose(i, 80).split()), "fr") for i in range(20)]
