@@ -1,13 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, and perplexity thresholds by language.
 
-The units are the bytes of UTF-8 text, the order is six. The model is fitted on a bounded sample of trusted rows: the
-TRAIN_DOCS first of each language by a hash of their id, of at most TRAIN_BYTES each. Counts, continuation counts,
-discounts and back-off weights come from joins of count tables, sharded by n-gram. The table that results is bounded by
-the sample (a row for each distinct n-gram), and only then sent to the scorers; each document's perplexity takes all of
-its text. A join of every n-gram of every document with that table would shuffle many times the input.
-
-Thresholds cover all trusted rows: of each language and class of length (powers of four bytes), the quantile HIGH of
-perplexity outside the sample and the lesser of the quantiles LOW in and outside it, widened by MARGIN of their distance. Text of too many surprises is rejected, and so is text of too few,
+The units are the bytes of UTF-8 text, the order is six. The model is fitted on the whole text of all trusted rows. Counts,
+continuation counts, discounts and back-off weights come from joins of count tables, sharded by n-gram. The table that results
+has a row for each distinct n-gram, of which new ones get ever rarer as text is added, and only then is sent to the
+scorers; each document's perplexity takes all of its text. A join of every n-gram of every document with that table would
+shuffle many times the input.
+
+Thresholds cover all trusted rows. A model finds the text that it is fitted on too easy; so each half of the trusted rows, by
+a hash of the id, is judged by a model of the other half as well. Of each language and class of length (powers of four bytes),
+the bounds are the quantile HIGH of perplexity by the other half and the lesser of the quantiles LOW by that and by the
+model of all, widened by MARGIN of their distance. Text of too many surprises is rejected, and so is text of too few,
 as repetition makes it. A class of length of fewer than ENOUGH trusted rows uses those of its language. A language of fewer
 has no model of its own but that of all languages, and the thresholds of all, widened to DEVIATIONS of its own few rows, so
 that its clean texts aren't rejected for being rare.
@@ -33,7 +35,6 @@ from . import textkit as tk
 
 U = np.uint64
 ORDER = 6
-TRAIN_DOCS, TRAIN_BYTES = 1500, 32_000
 LOW, HIGH, MARGIN, ENOUGH = 0.01, 0.99, 0.25, 200
 #: Languages that may have a model of their own: those of the most trusted rows, each of ENOUGH or more.
 LANGS = 120
@@ -56,17 +57,24 @@ def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each n-gram with its language's number in the highest byte, and how often the task's texts have it."""
-    key, c = np.zeros(0, U), np.zeros(0, np.int64)
-    for batch in shared.slices(batches, "text"):
-        keys, at, _ = _padded(batch.column("text"))
-        lang = np.repeat(batch.column("lang").to_numpy(zero_copy_only=False).astype(U), np.diff(at))
-        new, n = np.unique(keys | lang << U(56), return_counts=True)
-        both, counts = np.r_[key, new], np.r_[c, n]
+    have, new = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        both, counts = (np.concatenate(x) for x in zip(*have))
         order = np.argsort(both, kind="stable")
         both, counts = both[order], counts[order]
         first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
-        key, c = both[first], np.add.reduceat(counts, first) if len(first) else counts
-    if len(key):
+        return both[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    for batch in shared.slices(batches, "text"):
+        keys, at, _ = _padded(batch.column("text"))
+        lang = np.repeat(batch.column("lang").to_numpy(zero_copy_only=False).astype(U), np.diff(at))
+        have.append(np.unique(keys | lang << U(56), return_counts=True))
+        new += len(have[-1][0])
+        if new > max(1 << 20, len(have[0][0])):  # merged now and then, so that a task holds little more than its n-grams
+            have, new = [merged()], 0
+    if have:
+        key, c = merged()
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["key", "c"])
 
 
@@ -86,8 +94,7 @@ _LANG, _BYTES = 0x7F << 56, (1 << 56) - 1
 def fit(texts: DataFrame) -> list[dict]:
     """For each order from one up: the keys and log2 probabilities of n-grams (p), and those of contexts' back-off weights (b).
     texts: text, lang (a number below 128)."""
-    # the sample is bounded: its texts are moved once, by language, and not its n-grams
-    counts = texts.repartition("lang").mapInArrow(_count, "key long, c long")
+    counts = texts.mapInArrow(_count, "key long, c long")
     levels = [shared.table(counts.groupBy("key").agg(F.sum("c").alias("c")))]
     tail = F.shiftright(F.col("key").bitwiseAND(F.lit(_BYTES)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(_LANG)))
     for _ in range(ORDER - 1):  # how many different bytes stand before each
@@ -168,36 +175,42 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").alias("given"), F.coalesce("lang", F.lit("")).alias("lang"), F.hash(F.coalesce("text", F.lit(""))).alias("tag"))
-    trusted = _trusted(labels)
-    chance = F.xxhash64("doc_id")
-    # the share of trusted rows that gives each language about TRAIN_DOCS, by a hash of the id
-    fit_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.octet_length("text").alias("n")).where(F.col("n").between(1, TRAIN_BYTES)).join(trusted, "doc_id")
-    sizes = {r["lang"]: r["count"] for r in fit_ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
-    if sum(sizes.values()) < ENOUGH:  # so few that chance might take none
-        few = sorted({r.doc_id for r in fit_ids.select("doc_id").collect()}, key=lambda i: (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1, i))
-        sample = shared.table(spark.createDataFrame([(i,) for i in few[: (len(few) + 1) // 2]], "doc_id long"))
-    else:
-        limit = F.lit(-1)  # languages beyond LANGS: half, as those with few rows
-        for lang, n in sizes.items():  # at most half: thresholds take the rest
-            limit = F.when(F.col("lang") == lang, F.lit(int(min(0.5, TRAIN_DOCS / n) * 2**64) - (1 << 63) - 1)).otherwise(limit)
-        sample = shared.table(fit_ids.where(chance <= limit).select("doc_id").distinct())
-    # of a bounded number of ids
-    text = rows.where(F.octet_length("text").between(1, TRAIN_BYTES)).join(shared.sized(sample), "doc_id")
-    if not sample.limit(1).count():
+    # ids only; the texts stay where they are unless these are very many
+    trusted = shared.sized(shared.table(_trusted(labels)))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.octet_length("text").alias("n")).where("n > 0").join(trusted, "doc_id")
+    sizes = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    if not sizes:
         return rows.select("doc_id", "tag", F.col("given").alias("lang"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("keep"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    if sum(sizes.values()) < ENOUGH:  # so few that chance might leave a half empty
+        few = sorted({r.doc_id for r in ids.select("doc_id").collect()}, key=lambda i: (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1, i))
+        half = F.col("doc_id").isin(few[: (len(few) + 1) // 2])
+    text = rows.where(F.octet_length("text") > 0).join(trusted, "doc_id").withColumn("half", half)
     own = [lang for lang, n in sizes.items() if n >= ENOUGH]
     langs = {lang: i for i, lang in enumerate(own)}
     number = F.create_map(*(F.lit(x) for pair in langs.items() for x in pair))[F.col("lang")] if langs else F.lit(None)
-    fitted = text.select("text", number.cast("int").alias("lang")).where("lang is not null")
     others = rows.where(~F.col("lang").isin(own)).limit(1).count() if own else 1
     if others:  # languages without a model of their own have the model of all
         langs[ALL] = len(langs)
-        fitted = fitted.union(text.select("text", F.lit(langs[ALL]).alias("lang")))
-    model = shared.Sent(spark, Model(fit(fitted), langs))
-    scored = shared.table(rows.select("doc_id", "tag", "given", "lang", "text").mapInArrow(_score(model), "doc_id long, tag int, given string, lang string, perplexity double, n_bytes long").withColumn("size", length_class(F.col("n_bytes"))))
-    model.destroy()
-    known = scored.join(trusted, "doc_id").where("n_bytes > 0").join(shared.sized(sample.withColumn("fitted", F.lit(True))), "doc_id", "left")
-    # copies of the sample are as easy for the model as the sample itself: the lower end takes both
+
+    def judged(by: DataFrame, whom: DataFrame) -> DataFrame:
+        """whom (doc_id, tag, given, lang, text) with its perplexity by a model of the texts `by`, n_bytes and size."""
+        fitted = by.select("text", number.cast("int").alias("lang")).where("lang is not null")
+        if others:
+            fitted = fitted.union(by.select("text", F.lit(langs[ALL]).alias("lang")))
+        model = shared.Sent(spark, Model(fit(fitted), langs))
+        out = whom.select("doc_id", "tag", "given", "lang", "text").mapInArrow(_score(model), "doc_id long, tag int, given string, lang string, perplexity double, n_bytes long")
+        out = shared.table(out.withColumn("size", length_class(F.col("n_bytes"))))
+        model.destroy()
+        return out
+
+    scored = judged(text, rows)
+    known = scored.join(trusted, "doc_id").where("n_bytes > 0").withColumn("fitted", F.lit(True))
+    for mine in (F.col("half"), ~F.col("half")):
+        if text.where(~mine).limit(1).count():
+            known = known.unionByName(judged(text.where(~mine), text.where(mine)).withColumn("fitted", F.lit(None).cast("boolean")))
+    known = known.select("lang", "size", "perplexity", "fitted")
+    # copies of trusted rows are as easy for the model as these rows themselves: the lower end takes both
     ends = lambda p, mine: F.percentile_approx(F.when(F.col("fitted").isNotNull() if mine else F.col("fitted").isNull(), F.col("perplexity")), p, 10_000)
     q = F.array(F.least(ends(LOW, True), ends(LOW, False)), ends(HIGH, False))
     cuts = lambda keys: known.groupBy(*keys).agg(q.alias("q"), F.count(F.when(F.col("fitted").isNull(), 1)).alias("n"))

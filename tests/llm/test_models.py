@@ -228,6 +228,19 @@ def test_quality(spark):
     assert quality.judge(docs.where("doc_id < 0"), labels).collect() == []
 
 
+def test_quality_is_fitted_on_all_trusted_text(spark, monkeypatch):
+    """Of many trusted rows, some very long, none is left out of the model, and thresholds see each judged by others."""
+    real, fits = quality.fit, []
+    monkeypatch.setattr(quality, "fit", lambda texts: fits.append(Counter(r.text for r in texts.collect())) or real(texts))
+    good = [(i, f"{prose(i, 6)} {i}", "en") for i in range(3200)] + [(4000, prose(1, 9000), "en")]
+    docs = spark.createDataFrame([*good, (5000, "x " * 40, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in good], "doc_id long, quality int")
+    assert quality.judge(docs, labels).where("doc_id < 5000 and keep").count() > 0.97 * len(good)
+    every, *halves = fits
+    assert every == Counter(t for _, t, _ in good)
+    assert len(halves) == 2 and halves[0] + halves[1] == every and all(len(h) > 1400 for h in halves)
+
+
 def test_kneser_ney_adds_up(spark):
     """In a seen context, the probabilities of all 256 bytes add up to 1."""
     rows = spark.createDataFrame([("abracadabra abracadabra banana bandana" * 3, 0)], "text string, lang int")
