@@ -190,7 +190,10 @@ def factor(spark: SparkSession, parts: list[Item], place: dict[int, int], idf: n
     own = np.unique(np.concatenate([c for c, _ in sparse]))
     row = np.full(len(idf), -1, np.int32)
     row[own] = np.arange(len(own))
-    rows = spark.createDataFrame([(row[c].tolist(), v.tolist()) for c, v in sparse], "c array<long>, v array<double>")
+    # as an Arrow table, which Spark takes in without Python workers: those of a list would stay, beside the others
+    edges = pa.array(np.cumsum([0, *(len(c) for c, _ in sparse)]), pa.int32())
+    c, v = (pa.ListArray.from_arrays(edges, pa.array(np.concatenate(x))) for x in ([row[c].astype(np.int64) for c, _ in sparse], [v.astype(np.float64) for _, v in sparse]))
+    rows = spark.createDataFrame(pa.table({"c": c, "v": v}), "c array<long>, v array<double>")
     basis = svd(shared.table(rows), len(own), min(RANK, len(own), len(parts)))
     image = np.stack([v @ basis[row[c]] for c, v in sparse]).astype(np.float32)
     return Group(row, (basis * idf[own, None]).astype(np.float32), image, parts)

@@ -22,7 +22,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,9 @@ LOW, HIGH, MARGIN, ENOUGH = 0.01, 0.99, 0.25, 200
 LANGS = 120
 #: Standard deviations of ln perplexity about the mean that a language of few trusted rows is allowed at least.
 DEVIATIONS = 4
+#: Bytes of text that are counted or scored at once, and new n-grams after which a task's counts are merged: a worker's arrays
+#: are dozens of times as large, and stand beside an executor's full heap.
+PIECE, MERGE = 1 << 18, 1 << 18
 #: What n-grams of all languages together are filed under.
 ALL = "*"
 
@@ -66,12 +69,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
         return both[first], np.add.reduceat(counts, first) if len(first) else counts
 
-    for batch in shared.slices(batches, "text"):
+    for batch in shared.slices(batches, "text", PIECE):
         keys, at, _ = _padded(batch.column("text"))
         lang = np.repeat(batch.column("lang").to_numpy(zero_copy_only=False).astype(U), np.diff(at))
         have.append(np.unique(keys | lang << U(56), return_counts=True))
         new += len(have[-1][0])
-        if new > max(1 << 20, len(have[0][0])):  # merged now and then, so that a task holds little more than its n-grams
+        if new > max(MERGE, len(have[0][0])):  # merged now and then, so that a task holds little more than its n-grams
             have, new = [merged()], 0
     if have:
         key, c = merged()
@@ -91,7 +94,7 @@ def discounts(c: DataFrame) -> list[float]:
 _LANG, _BYTES = 0x7F << 56, (1 << 56) - 1
 
 
-def fit(texts: DataFrame) -> list[dict]:
+def fit(texts: DataFrame) -> Iterator[dict]:
     """For each order from one up: the keys and log2 probabilities of n-grams (p), and those of contexts' back-off weights (b).
     texts: text, lang (a number below 128)."""
     counts = texts.mapInArrow(_count, "key long, c long")
@@ -99,7 +102,7 @@ def fit(texts: DataFrame) -> list[dict]:
     tail = F.shiftright(F.col("key").bitwiseAND(F.lit(_BYTES)), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(_LANG)))
     for _ in range(ORDER - 1):  # how many different bytes stand before each
         levels.append(shared.table(levels[-1].groupBy(tail.alias("key")).agg(F.count("*").alias("c"))))
-    out, below = [], None
+    below = None
     for k, c in enumerate(reversed(levels), 1):
         d1, d2, d3 = discounts(c)
         less = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -114,18 +117,23 @@ def fit(texts: DataFrame) -> list[dict]:
             p = rows.withColumn("tail", tail).join(lower, "tail").select("key", "context", "b", (F.col("own") + F.col("b") * F.col("lower")).alias("p"))
         below = shared.table(p)
         weights = below.groupBy(F.col("context").alias("key")).agg(F.log2(F.first("b")).cast("float").alias("v"))
-        out.append({"p": below.select("key", F.log2("p").cast("float").alias("v")).toArrow(), "b": weights.toArrow()})
-    return out
+        yield {"p": below.select("key", F.log2("p").cast("float").alias("v")).toArrow(), "b": weights.toArrow()}
 
 
 class Model:
     """Log2 of the probability of each byte after the ORDER - 1 before it, by language."""
 
-    def __init__(self, levels: list[dict], langs: dict[str, int]) -> None:
+    def __init__(self, levels: Iterable[dict], langs: dict[str, int]) -> None:
         self.langs = langs
         self.levels = []
         for level in levels:
-            self.levels.append([x for name in ("p", "b") for x in (tk.Index(level[name]["key"].to_numpy().view(U)), level[name]["v"].to_numpy())])
+            self.levels.append([])
+            for name in ("p", "b"):
+                key, v = level[name]["key"].to_numpy().view(U), level[name]["v"].to_numpy()
+                order = tk.hash_order(key)
+                self.levels[-1] += [tk.Index(key[order]), v[order]]
+            del level, key, v, order  # the next is made while none of this is held
+            shared.give_back()
 
     def logs(self, keys: np.ndarray, lang: np.ndarray) -> np.ndarray:
         out, open_, tag = np.zeros(len(keys), np.float32), np.arange(len(keys)), lang.astype(U) << U(56)
@@ -148,7 +156,7 @@ class Model:
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in shared.slices(batches, "text"):
+        for batch in shared.slices(batches, "text", PIECE):
             keys, at, body = _padded(batch.column("text"))
             size = np.diff(at)
             lang = np.array([m.langs.get(x, m.langs.get(ALL, 0)) for x in batch.column("lang").to_pylist()])

@@ -1,11 +1,14 @@
 """Language-model scoring, quality, near duplicates, secrets, decontamination and the pipeline on small tables."""
 
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose
 
@@ -241,6 +244,36 @@ def test_quality_is_fitted_on_all_trusted_text(spark, monkeypatch):
     assert len(halves) == 2 and halves[0] + halves[1] == every and all(len(h) > 1400 for h in halves)
 
 
+def test_quality_workers_hold_little():
+    """A worker's arrays stand beside an executor's full heap: counting takes little at once, and the opened
+    model holds its keys once."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abcde ", k=30_000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts))], ["text", "lang"])
+    tracemalloc.start()
+    (got,) = quality._count(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter(int.from_bytes(x[max(0, i - 5) : i + 1].rjust(6, b"\0"), "little") for x in map(str.encode, texts) for i in range(len(x)))
+    assert dict(zip(got.column("key").to_pylist(), got.column("c").to_pylist())) == want
+    assert peak < 25e6
+    level = {"key": pa.array(sorted(want)), "v": pa.array(np.arange(len(want), dtype=np.float32))}
+    index, values = quality.Model([{"p": level, "b": level}], {"en": 0}).levels[0][:2]
+    some = np.array(sorted(want)[::99] + [1 << 50], np.uint64)
+    assert values[index.find(some)[:-1]].tolist() == list(range(0, len(want), 99)) and index.find(some)[-1] == -1
+    assert index.sorted is index.keys and index.order is None
+
+
+def test_passages_reach_spark_without_python_workers(spark, monkeypatch):
+    """A list of rows would start a second set of workers, which then stay beside the others."""
+    real, given = type(spark).createDataFrame, []
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: given.append(type(data)) or real(self, data, *a, **k))
+    parts = [decontaminate.Item(i, [3 * i, 3 * i + 1, 7], [], {}) for i in range(3)]
+    place = {w: k for k, w in enumerate(sorted({w for p in parts for w in p.words}))}
+    group = decontaminate.factor(spark, parts, place, np.ones(len(place)))
+    assert given == [pa.Table] and len(group.passages) == 3
+
+
 def test_kneser_ney_adds_up(spark):
     """In a seen context, the probabilities of all 256 bytes add up to 1."""
     rows = spark.createDataFrame([("abracadabra abracadabra banana bandana" * 3, 0)], "text string, lang int")
