@@ -2,7 +2,7 @@
 
 Terms are runs of five words (all words, where a text has fewer), each once for every place it stands. A term's weight
 grows with its length in characters, from 1 to 8: longer terms are rarer. Two 64-bit hashes of a term vote with its weight
-on 128 signed bits; a bit is 1 where the sum is above zero. Each sum holds two bits' counts in its halves, so that a text
+on 128 signed bits; a bit is 1 where the sum is above zero. A text's sums hold two bits' counts in their halves, so that one
 of up to 2 ** 28 terms can't overflow.
 
 near_pairs() cuts the distinct fingerprints into radius + 2 blocks. Two fingerprints that differ in at most `radius`
@@ -27,7 +27,10 @@ SHINGLE, RADIUS = 5, 3
 CROWDED = 64
 #: Documents are put into ranges of ids of about so many; never more ranges than RANGES * INNER.
 ROWS, RANGES, INNER = 1000, 256, 256
-LANES = 0x0000000100000001
+#: A sum holds the counts of every LANE-th bit of a hash, 16 bits each: STRETCH terms of weight 8 stay below the sign. Two such
+#: sums make the PAIRs of 32 bits in which a whole text's counts are added.
+LANE, LANES, PAIR = 16, 0x0001000100010001, 0x0000FFFF0000FFFF
+STRETCH = 4095
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,20 +59,28 @@ def terms(text: Column) -> Column:
 def half(h: str) -> Column:
     """The 64 bits that the sums of one hash decide."""
     total, bits = F.coalesce(F.col("total"), F.lit(0)), F.lit(0).cast("long")
-    for k in range(32):
-        s = F.coalesce(F.col(f"{h}_{k}"), F.lit(0))
-        low, high = s.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(s, 32)
-        bits = bits.bitwiseOR(F.when(2 * low > total, F.lit(1 << k)).otherwise(F.lit(0))).bitwiseOR(F.when(2 * high > total, F.lit(1 << (k + 32) if k < 31 else -(1 << 63))).otherwise(F.lit(0)))
+    for k in range(LANE):
+        for j in range(2):
+            s = F.coalesce(F.col(f"{h}_{k}_{j}"), F.lit(0))
+            for value, bit in ((s.bitwiseAND(F.lit(0xFFFFFFFF)), k + LANE * j), (F.shiftrightunsigned(s, 32), k + LANE * j + 32)):
+                bits = bits.bitwiseOR(F.when(2 * value > total, F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(F.lit(0)))
     return bits
 
 
 def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, hi, lo: the two halves of each text's fingerprint. Rows that agree in all keys count as one text."""
-    exploded = rows.select(*keys, F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    hashed = exploded.select(*keys, F.xxhash64("term").alias("h1"), F.xxhash64(F.lit(1), "term").alias("h2"), F.col("term").bitwiseAND(F.lit(7)).alias("w"))
+    """keys, hi, lo: the two halves of each text's fingerprint. Rows that agree in all keys count as one text.
+
+    A stretch of STRETCH terms of one row is summed four bits to a number, which halves the sums that each term is added to;
+    then stretches are added up, two bits to a number."""
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # before its terms become rows
+    exploded = numbered.select(*keys, "row", F.posexplode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("place", "term"))
+    stretch = F.floor(F.coalesce(F.col("place"), F.lit(0)) / STRETCH).cast("int")
+    hashed = exploded.select(*keys, "row", stretch.alias("stretch"), F.xxhash64("term").alias("h1"), F.xxhash64(F.lit(1), "term").alias("h2"), F.col("term").bitwiseAND(F.lit(7)).alias("w"))
     weight = F.col("w") + 1
-    sums = [F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(LANES)) * weight).alias(f"{h}_{k}") for h in ("h1", "h2") for k in range(32)]
-    return hashed.groupBy(*keys).agg(*sums, F.sum(weight).alias("total")).select(*keys, half("h1").alias("hi"), half("h2").alias("lo"))
+    hashes = [(h, k) for h in ("h1", "h2") for k in range(LANE)]
+    parts = hashed.groupBy(*keys, "row", "stretch").agg(*(F.sum(F.shiftrightunsigned(F.col(h), k).bitwiseAND(F.lit(LANES)) * weight).alias(f"{h}_{k}") for h, k in hashes), F.sum(weight).alias("total"))
+    sums = [F.sum(F.shiftrightunsigned(F.col(f"{h}_{k}"), LANE * j).bitwiseAND(F.lit(PAIR))).alias(f"{h}_{k}_{j}") for h, k in hashes for j in range(2)]
+    return parts.groupBy(*keys).agg(*sums, F.sum("total").alias("total")).select(*keys, half("h1").alias("hi"), half("h2").alias("lo"))
 
 
 def digits(hi: Column, lo: Column) -> Column:

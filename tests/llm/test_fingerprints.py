@@ -37,6 +37,27 @@ def test_empty(nothing):
     assert fp.with_near(fp.compare(nothing)).collect() == []
 
 
+def test_sums_of_long_texts(spark):
+    """Votes are those of a plain count, in texts of several stretches and in rows of one key too, with half the sums a term."""
+    texts = [(1, " ".join(f"word{i % 5000}aaaaaaaaaaaaaaaaaaaaaaaa" for i in range(3 * fp.STRETCH))), (2, "the same heavyweight words once more " * 2500), (3, ""), (3, "a b c d e f"), (3, "a b c d e f " * 2000), (None, None)]
+    df = spark.createDataFrame(texts, "k long, text string")
+    each = df.select("k", F.explode(fp.terms(F.coalesce("text", F.lit(""))))).select("k", F.xxhash64("col"), F.xxhash64(F.lit(1), "col"), F.col("col").bitwiseAND(F.lit(7))).collect()
+    want = {k: [0, 0] for k, _ in texts}
+    for k in want:
+        mine = [r for r in each if r[0] == k]
+        for half in range(2):
+            for bit in range(64):
+                if sum((1 if r[1 + half] >> bit & 1 else -1) * (r[3] + 1) for r in mine) > 0:
+                    want[k][half] |= 1 << bit
+    prints = fp.fingerprint(df, ["k"], "text")
+    got = {r.k: [r.hi % (1 << 64), r.lo % (1 << 64)] for r in prints.collect()}
+    assert got == want
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    steps = [line for line in prints._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line]
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert steps[-1].count("sum(") == 33  # that which each term goes through
+
+
 def test_near_pairs(spark):
     import random
 
