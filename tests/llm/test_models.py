@@ -1,6 +1,7 @@
 """Language-model scoring, quality, near duplicates, secrets, decontamination and the pipeline on small tables."""
 
 import math
+import pickle
 import random
 import re
 import tracemalloc
@@ -106,6 +107,54 @@ def test_lm_score_does_not_depend_on_layout(docs):
     assert got[0] == got[1]
 
 
+def test_lm_tables_are_gone_through_in_order(monkeypatch):
+    """Places are counted in ascending order, SORTED at a time."""
+    monkeypatch.setattr(lm_score, "SORTED", 500)
+    seen, at = np.zeros(1 << 10, np.uint32), []
+    places = lm_score.Places(seen)
+    rng = np.random.default_rng(4)
+    given = [rng.integers(0, 1 << 10, n) for n in (3, 0, 499, 1700, 40)]
+
+    class Add:
+        def at(self, counts, where, n):
+            at.append(where.copy())
+            np.add.at(counts, where, n)
+
+    monkeypatch.setattr(lm_score, "np", type("Numpy", (), {"__getattr__": lambda _, k: Add() if k == "add" else getattr(np, k)})())
+    for x in given:
+        places.add(x)
+    places.done()
+    assert (seen == np.bincount(np.concatenate(given), minlength=1 << 10)).all()
+    assert len(at) == 5 and all((np.diff(x) >= 0).all() for x in at)
+
+
+def test_lm_states_take_one_look():
+    """A worker's table says the state of an entry, and of it less a count of either bit, at one look for each decision and order."""
+    entry = np.arange(1 << 16)
+    n0, n1 = entry & 255, entry >> 8
+    full = (n0 == 255) | (n1 == 255)
+    for mode, less in enumerate((entry, np.where(full | (n0 == 0), entry, entry - 1), np.where(full | (n1 == 0), entry, entry - 256))):
+        assert (lm_score.SEEN_AS >> 5 * mode & 31 == lm_score.STATE[less]).all()
+    words = np.arange(1, 7, dtype=np.uint64) << np.uint64(50)
+    m = lm_score.Model(words, np.arange(6, 0, -1), np.arange(6), 99, 6, 1, 1, 0.5, *lm_score.huffman(np.array([6, 5, 4, 3, 2, 1, 1])), 12)
+    m.tables = np.random.default_rng(2).integers(0, 1 << 16, (2, 1 << 12)).astype(np.uint16)
+    sent = pickle.loads(pickle.dumps(m))
+    assert sent.tables is None and (sent.states == lm_score.SEEN_AS[m.tables]).all()
+    looks = []
+
+    class Table(np.ndarray):
+        def take(self, where, **how):
+            looks.append(len(where))
+            return np.asarray(self).take(where, **how)
+
+    h = words[[0, 3, 5, 3, 2]]
+    leaf = sent.find(h)[0]
+    ctx = lm_score.contexts(np.array([0, 5]), h)
+    _, what, _, slots = lm_score.decisions(sent, leaf, ctx)
+    lm_score.joined([x.view(Table) for x in sent.states], slots, what, None)
+    assert looks == [sent.size[leaf].sum()] * 2
+
+
 def test_lm_empty(nothing):
     assert lm_score.score(nothing).collect() == []
 
