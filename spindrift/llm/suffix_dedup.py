@@ -60,7 +60,7 @@ def _elements(least: int):
                 return tk.hash_ranges(body, a, b, 0), tk.hash_ranges(body, a, b, 1)
 
             def strings(a, b, body=body):
-                return body[tk.runs(a, b - a)], np.cumsum(b - a)
+                return np.frombuffer(tk.joined(body.tobytes(), a, b), dtype=np.uint8), np.cumsum(b - a)
 
             yield base, at, _mers(body), content, strings
 
@@ -69,10 +69,13 @@ def _elements(least: int):
 
 def suffix_array(body: bytes, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of the strings at[i]:at[i + 1] that have `least` bytes or more, sorted: their places and lengths, and the
-    length of the common prefix of each with the one before it."""
+    length of the common prefix of each with the one before it. Those whose first `least` bytes no other begins with (no other
+    has their hash) are left out: they are in no repeat of that length, and no two others have more in common without them."""
     count = np.maximum(np.diff(at) - least + 1, 0)
     place = tk.runs(at[:-1], count)
     size = np.repeat(at[1:], count) - place
+    some = np.flatnonzero(sk.repeated(tk.hash_ranges(np.frombuffer(body, dtype=np.uint8), place, place + least, 0)))
+    place, size = place[some], size[some]
     keys = [body[p : p + n] for p, n in zip(place.tolist(), size.tolist())]
     order = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
     place, size = place[order], size[order]
@@ -124,12 +127,13 @@ def maximal_repeats(place: np.ndarray, common: np.ndarray, before: np.ndarray, l
 
 def _judge(least: int):
     def judge(doc, tag, pos, size, minimiser, bodies):
-        body = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+        whole = b"".join(bodies)
         at = np.r_[0, np.cumsum(size + least - 1)]
         keep = np.flatnonzero(sk.repeated(minimiser))
         # strings that are equal as a whole: the earliest stays
         offsets = np.r_[0, np.cumsum(size[keep] + least - 1)]
-        body = body[tk.runs(at[keep], size[keep] + least - 1)]
+        whole = tk.joined(whole, at[keep], at[keep] + size[keep] + least - 1)
+        body = np.frombuffer(whole, dtype=np.uint8)
         doc, tag, pos, size, minimiser = (x[keep] for x in (doc, tag, pos, size, minimiser))
         c = [tk.hash_ranges(body, offsets[:-1], offsets[1:], k) for k in range(2)]
         order, late = sk.settle(doc, pos, *c)
@@ -146,7 +150,7 @@ def _judge(least: int):
             part = stay[begin:end]
             begin = end
             length = size[part] + least - 1
-            text = body[tk.runs(offsets[part], length)].tobytes()
+            text = tk.joined(whole, offsets[part], offsets[part] + length)
             starts = np.r_[0, np.cumsum(length)]
             place, _, common = suffix_array(text, starts, least)
             string = np.searchsorted(starts, place, "right") - 1

@@ -35,6 +35,8 @@ PLACE = U((1 << 24) - 1)
 
 #: Bytes of strings that a task gathers before it sends them, and buckets for each shuffle partition.
 HELD_BYTES, BUCKETS = 16 << 20, 8
+#: Bytes of text whose minimisers are counted at once; the arrays are then a fourth of those that pack them.
+COUNTED_BYTES = 1 << 18
 #: Strings of one minimiser beyond which its windows are spread; slots that minimisers are counted by; and how many a task
 #: must see of a slot in HELD_BYTES of text for that to count.
 HOT, SLOTS, FEW = 20_000, 1 << 22, 8
@@ -118,7 +120,7 @@ def census(elements: Callable, k: int, m: int) -> Callable[[Iterator[pa.RecordBa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
-        for batch in shared.slices(batches, "text"):
+        for batch in shared.slices(batches, "text", COUNTED_BYTES):
             for _, at, mers, _, _ in elements(batch.column("text")):
                 held.append(slots(find(mers, at, k, m)[2]))
             weight += batch.nbytes
@@ -202,7 +204,7 @@ def sent(bucket: list, n: list, meta: list, body: list) -> pa.RecordBatch:
 def flush(held: list, bodies: list, buckets: int) -> pa.RecordBatch:
     """One row for each bucket that has super-k-mers."""
     spread, doc, tag, pos, size, ends = (np.concatenate(x) for x in zip(*held))
-    body = np.concatenate(bodies)
+    whole = b"".join(x.tobytes() for x in bodies)
     begins = np.r_[0, ends[:-1]]
     bucket = ((spread >> U(32)) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -213,7 +215,7 @@ def flush(held: list, bodies: list, buckets: int) -> pa.RecordBatch:
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = order[a:b]
         metas.append(pack(*(x[a:b] for x in meta)))
-        texts.append(pack(body[tk.runs(begins[own], ends[own] - begins[own])]))
+        texts.append(zstandard.ZstdCompressor(level=3).compress(tk.joined(whole, begins[own], ends[own])))
     return sent(bucket[cuts[:-1]].tolist(), np.diff(cuts).tolist(), metas, texts)
 
 

@@ -145,6 +145,19 @@ def test_pieces_of_a_long_text(spark, monkeypatch):
         assert got.tolist() == gone
 
 
+def test_only_suffixes_that_may_repeat_are_sorted():
+    """Two texts share 130 bytes: of all suffixes, those 31 of each that begin with 100 shared bytes are sorted."""
+    r = random.Random(8)
+    some = lambda n: bytes(r.choices(b"abcdefgh", k=n))
+    shared = some(130)
+    texts = [some(900) + b"<" + shared + b">" + some(500), some(40) + b"(" + shared + b")" + some(700), some(1200)]
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    place, size, common = suffix_dedup.suffix_array(b"".join(texts), at, 100)
+    want = sorted((t[p:], at[i] + p) for i, t in enumerate(texts[:2]) for p in range(t.index(shared), t.index(shared) + 31))
+    assert place.tolist() == [p for _, p in want] and size.tolist() == [len(s) for s, _ in want]
+    assert sorted(common.tolist()) == sorted([*range(100, 131), *common[common < 100].tolist()])
+
+
 @pytest.mark.parametrize("text,least", [(b"banana$bandana", 2), (b"abcabcabc", 3), (b"aaaaaa", 2), (b"xyzw", 1), (b"mississippi", 1)])
 def test_maximal_repeats(text, least):
     """All substrings that occur twice or more and can't be extended on either side, with all their places."""
