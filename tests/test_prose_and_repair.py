@@ -1,8 +1,10 @@
 import math
 
+import duckdb
 import pytest
 
 from spindrift.operators import attribution, detect, fleet, prose, repair, sequence
+from spindrift.plans import catalogue
 from spindrift.sources import adapters
 
 DATA = "/root/testdata/sf0.001"
@@ -33,6 +35,20 @@ def test_rules_in_words(spark):
     assert got == {("1", "prose_no_verify"): 4, ("1", "prose_derail"): 2, ("2", "prose_ambiguity"): 0, ("2", "prose_outcome"): 1}
 
 
+def test_words_end_where_they_do_in_sql(spark):
+    odd = ["die ätest ertz", "prüf-ütest", "ſtest", "checké it", "wir teſt es", "conﬁrm", "atest", "verifiziert", "étest2", "Keep", "retést"]
+    rows = [(c, i, "assistant", text if i == 2 else "more") for c, text in enumerate(odd) for i in range(4)] + [(c, 4, "user", x) for c, x in enumerate(["éproceed", "go oné", "Keep going", "proſeed"])]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = {(r.trace_id, r.step_index) for r in prose.no_verify(prose.turns(talk)).collect()}
+    want = {(r[2], r[3]) for r in duck.execute(catalogue.oracle_sql()["prose_no_verify"]).fetchall()}
+    assert got == want and ("0", 3) not in got and ("6", 3) in got
+    told = catalogue.oracle_sql()["prose_no_verify"].split("SELECT 'FM-3.2'")[0] + "SELECT DISTINCT trace_id, nudged FROM t"
+    assert {(r.trace_id, r.nudged) for r in prose.turns(talk).collect()} == set(duck.execute(told).fetchall())
+
+
 def test_one_pass_gives_what_the_rules_give(spark):
     s = adapters.steps(spark, DATA)
     t = adapters.traces(s)
