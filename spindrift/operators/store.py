@@ -202,9 +202,20 @@ def shipments(rows: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def limited(rows: DataFrame, most: int, seconds: int = 60) -> DataFrame:
-    """Posts with `allowed`: whether fewer than `most` posts of the sender came in the time before, those refused included."""
-    w = W.partitionBy("sender").orderBy("received_us").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return rows.withColumn("allowed", F.count("*").over(w) <= most)
+    """Posts with `allowed`: whether fewer than `most` posts of the sender came in the time before, those refused included.
+    What counts is how old the post `most` places back is. Each span of that time is judged by itself, with the last `most`
+    posts of the span before, so that neither a frame nor a task grows with the posts of a sender."""
+    span, at = seconds * 1_000_000, F.col("received_us")
+    part = W.partitionBy("sender", "_span")
+    posts = rows.withColumns({"_span": at - F.pmod(at, F.lit(span)), "_old": F.lit(False)})
+    last = posts.select("sender", "received_us", "_span", F.row_number().over(part.orderBy(F.desc("received_us"))).alias("n")).where(F.col("n") <= most)
+    before = last.where(at.isNotNull()).select("sender", "received_us", (F.col("_span") + span).alias("_span"), F.lit(True).alias("_old"))
+    both = posts.unionByName(before, allowMissingColumns=True)
+    back = both.withColumn("_back", F.lag(F.struct("received_us"), most).over(part.orderBy("received_us")))
+    crowded = back.withColumn("_crowded", F.col("_back").isNotNull() & F.coalesce(at - F.col("_back.received_us") < span, F.lit(True)))
+    # posts of one instant count for each other: they are judged as the last of them is
+    judged = crowded.withColumn("allowed", ~F.max("_crowded").over(W.partitionBy("sender", "_span", "received_us")))
+    return judged.where("not _old").drop("_span", "_old", "_back", "_crowded")
 
 
 def ship_plan(traces: DataFrame, newest: int, size: int) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,22 @@ def test_similar_runs_and_scripts_are_those_of_plain_comparison(spark, tmp_path)
     pairs = spark.createDataFrame([("r00", "r01"), ("r02", "r03")], "a string, b string")
     got = {(x.a, x.b, x.ordinal): (x.operation, x.at_a, x.at_b, x.likeness) for x in sequence.diff(s, pairs).collect()}
     assert got == {(a, b, n): e for a, b in (("r00", "r01"), ("r02", "r03")) for n, e in enumerate(sequence.edit_script(calls[a], calls[b]))}
+
+
+def test_limits_by_plain_count(spark):
+    draw = random.Random(3)
+    span = 2_000_000
+    rows = [(i, draw.choice(["a", "b", None]), draw.choice([None, *range(-3, 4)])) for i in range(300)]
+    rows = [(i, s, None if t is None else t * span // 2 + draw.choice([-1, 0, 0, 1, 7])) for i, s, t in rows]
+    rows += [(1000 + i, "c", None) for i in range(3)] + [(2000 + i, "d", span + i // 2) for i in range(9)] + [(3000, "e", 0), (3001, "e", span - 1), (3002, "e", span), (3003, "e", 2 * span)]
+    posts = spark.createDataFrame(rows, "row long, sender string, received_us long")
+    for most in (1, 3, 20):
+        want = {i: sum(s == x and (t is None if u is None else t is not None and u - span < t <= u) for _, x, t in rows) <= most for i, s, u in rows}
+        out = store.limited(posts, most, 2)
+        assert out.columns == [*posts.columns, "allowed"] and {r.row: r.allowed for r in out.collect()} == want
+
+
+def test_limits_need_no_growing_frame(spark):
+    """Every post of a sender's last hour was counted anew for each post; and a sender was one task's."""
+    plan = store.limited(spark.range(9).selectExpr("id AS row", "string(id % 2) AS sender", "id AS received_us"), 3, 3600)._jdf.queryExecution().toString()
+    assert "RangeFrame, -" not in plan and "hashpartitioning(sender#" in plan and not re.search(r"hashpartitioning\(sender#\d+, \d", plan)
