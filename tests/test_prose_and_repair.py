@@ -1,4 +1,5 @@
 import math
+import os
 
 import duckdb
 import pytest
@@ -35,6 +36,32 @@ def test_rules_in_words(spark):
     assert got == {("1", "prose_no_verify"): 4, ("1", "prose_derail"): 2, ("2", "prose_ambiguity"): 0, ("2", "prose_outcome"): 1}
 
 
+def test_steps_are_dealt_in_parts_that_grow_with_the_table(spark, monkeypatch):
+    """Spark chose the parts by exchanged bytes, before the texts of steps are made: a task's memory grew with the table."""
+    monkeypatch.setattr(adapters, "FEW", 10**9)
+    s = adapters.steps(spark, DATA)
+    want = {tuple(r) for r in detect.run_rules(s, adapters.traces(s)).collect()}
+    monkeypatch.setattr(adapters, "FEW", 2)
+    size = os.path.getsize(f"{DATA}/events.parquet")
+    for parts in (3, 13):
+        monkeypatch.setattr(adapters, "PART_BYTES", -(-size // parts))
+        s = adapters.steps(spark, DATA)
+        assert s.rdd.getNumPartitions() == parts
+    found = detect.run_rules(s, adapters.traces(s))
+    assert {tuple(r) for r in found.collect()} == want
+    assert found.rdd.getNumPartitions() % 13 == 0  # no later exchange puts them together again
+
+
+def test_odd_numbers_and_days(spark, tmp_path):
+    props = ['{"k": 12}', '{"k": 0}', '{"k": 007}', '{"k":5}', '{"k": 12}\n', '{"k": 12} ', '{"k": -3}', '{"k": "4"}', '{"k": 999999999999999999}', '{"k": 9223372036854775807}', '{"k": ٣}', '{"k": 1, "j": 2}', "{}", "", None]
+    days = ["2024-01-01", "2024-12-31", "0999-12-31", "1000-01-06", "0001-01-05", "9999-12-31", None]
+    rows = [(i, p, days[i % len(days)]) for i, p in enumerate(props * 2)]
+    e = spark.createDataFrame(rows, "event_id long, props string, day string").selectExpr("event_id", "to_timestamp(day) AS ts", "event_id AS user_id", "'view' AS event_type", "1.0D AS value", "props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    plain = e.selectExpr("event_id", "cast(get_json_object(props, '$.k') AS long) AS k", "concat_ws('-', event_id, replace(cast(date_sub(cast(ts AS date), weekday(cast(ts AS date))) AS string), '-', '')) AS trace_id")
+    assert {tuple(r) for r in adapters._events(spark, str(tmp_path)).select("event_id", "k", "trace_id").collect()} == {tuple(r) for r in plain.collect()}
+
+
 def test_words_end_where_they_do_in_sql(spark):
     odd = ["die ätest ertz", "prüf-ütest", "ſtest", "checké it", "wir teſt es", "conﬁrm", "atest", "verifiziert", "étest2", "Keep", "retést"]
     rows = [(c, i, "assistant", text if i == 2 else "more") for c, text in enumerate(odd) for i in range(4)] + [(c, 4, "user", x) for c, x in enumerate(["éproceed", "go oné", "Keep going", "proſeed"])]
