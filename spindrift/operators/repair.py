@@ -180,19 +180,26 @@ def grade_trend(steps: DataFrame, traces: DataFrame, by: str, now_us: int) -> Da
 def counterfactual(steps: DataFrame, traces: DataFrame) -> DataFrame:
     """trace_id, step_index, mode_id, eliminated, was_primary for each detection of a run: whether the mode is gone once its
     step is taken out and the rules are run anew. All such runs go through the rules together, once."""
-    found = detect.run_rules(steps, traces)
+    # a row for each run, so that what the rules found is worked out once for all that follows
+    hits = detect.run_rules(steps, traces).groupBy("trace_id").agg(F.collect_list(F.struct("mode_id", "step_index", "confidence")).alias("hits"))
+    found = hits.select("trace_id", F.explode("hits").alias("x")).select("trace_id", "x.mode_id", "x.step_index", "x.confidence")
     primary = attribution.verdicts(found, traces).select("trace_id", "primary_mode")
-    cases = found.where(F.col("confidence") >= attribution.FLOOR).select("trace_id", "step_index", "mode_id").distinct()
-    cut = cases.select("trace_id", F.col("step_index").alias("cut")).distinct()
-    case = F.concat_ws("#", "trace_id", F.col("cut").cast("string"))
-    left = steps.join(cut, "trace_id").where("step_index <> cut").withColumn("case", case)
-    place = F.row_number().over(W.partitionBy("case").orderBy("step_index")) - 1
-    left = left.withColumn("place", place.cast("long")).drop("step_index", "trace_id", "cut").withColumnsRenamed({"case": "trace_id", "place": "step_index"})
-    ends = left.groupBy("trace_id").agg(F.count("*").alias("n_steps"), F.max_by("kind", "step_index").alias("last_kind"), F.max("step_index").alias("last_index"))
-    runs = traces.drop("n_steps", "last_kind", "last_index").join(cut, "trace_id").withColumn("case", case).drop("trace_id", "cut").withColumnRenamed("case", "trace_id")
-    after = detect.run_rules(left, runs.join(ends, "trace_id")).where(F.col("confidence") >= attribution.FLOOR).select(F.col("trace_id").alias("case"), "mode_id", F.lit(True).alias("still")).distinct()
-    out = cases.withColumn("case", F.concat_ws("#", "trace_id", F.col("step_index").cast("string"))).join(after, ["case", "mode_id"], "left").join(primary, "trace_id")
-    return out.select("trace_id", "step_index", "mode_id", F.col("still").isNull().alias("eliminated"), (F.col("mode_id") == F.col("primary_mode")).alias("was_primary"))
+    cases = found.where(F.col("confidence") >= attribution.FLOOR).select("trace_id", F.col("step_index").alias("cut"), "mode_id").distinct()
+    cuts = cases.groupBy("trace_id", "cut").agg(F.collect_set("mode_id").alias("modes"))
+    case, left = ["trace_id", "cut"], F.col("step_index") != F.col("cut")
+    # what a step says by itself is the same in all cases; its place is one less behind the step that is out
+    placed = lambda rows: rows.withColumn("pos", (F.row_number().over(W.partitionBy("trace_id").orderBy("step_index")) - 1).cast("long"))
+    without = lambda rows, cuts: rows.join(cuts, "trace_id").where(left).withColumn("step_index", F.col("pos") - (F.col("step_index") > F.col("cut")).cast("long"))
+    rules = detect._judged(without(placed(detect._facts(steps, traces, "kind")), cuts.select(*case)), case, counted=True)
+    # lost references and cycles are looked for only where they were found
+    of = lambda mode: cuts.where(F.array_contains("modes", mode)).select(*case)
+    entities = detect._entities(placed(steps.select("trace_id", "step_index", "kind", "result", "thought")), "pos")
+    lost = detect._lost(without(entities, of("FM-1.4")), case).select(*case, F.lit("FM-1.4").alias("mode_id"))
+    series = detect._series(steps).join(of("FM-1.3"), "trace_id").withColumn("c", F.filter("c", lambda x: x["step_index"] != F.col("cut"))).where(F.size("c") >= detect.CYCLE_CALLS)
+    cycles = detect._cycles(series, {"trace_id": "string", "cut": "long"})
+    after = rules.where(F.col("confidence") >= attribution.FLOOR).select(*case, "mode_id").unionByName(lost).unionByName(cycles.select(*case, "mode_id"))
+    out = cases.join(after.distinct().withColumn("still", F.lit(True)), [*case, "mode_id"], "left").join(primary, "trace_id")
+    return out.select("trace_id", F.col("cut").alias("step_index"), "mode_id", F.col("still").isNull().alias("eliminated"), (F.col("mode_id") == F.col("primary_mode")).alias("was_primary"))
 
 
 def distributed_modes(interventions: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import dataset, detect, digest, repair, sequence, store, trust
-from spindrift.sources import records
+from spindrift.sources import adapters, records
 
 
 def test_duplicate_groups_are_those_of_a_scan(spark):
@@ -154,3 +155,20 @@ def test_limits_need_no_growing_frame(spark):
     """Every post of a sender's last hour was counted anew for each post; and a sender was one task's."""
     plan = store.limited(spark.range(9).selectExpr("id AS row", "string(id % 2) AS sender", "id AS received_us"), 3, 3600)._jdf.queryExecution().toString()
     assert "RangeFrame, -" not in plan and "hashpartitioning(sender#" in plan and not re.search(r"hashpartitioning\(sender#\d+, \d", plan)
+
+
+def test_counterfactual_against_removing_each_step(spark):
+    """Each case's steps were dealt anew, with all their texts, and the rules' first pass was worked out for each use."""
+    s = adapters.steps(spark, "/root/testdata/sf0.001").where("user_id < 4")
+    t = adapters.traces(s)
+    out = repair.counterfactual(s, t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(case#" not in plan
+    cut = detect.run_rules(s, t).where("confidence >= 0.5").select("trace_id", F.col("step_index").alias("cut")).distinct()
+    case = F.concat_ws("#", "trace_id", F.col("cut").cast("string"))
+    place = (F.row_number().over(Window.partitionBy("trace_id").orderBy("step_index")) - 1).cast("long")
+    left = s.join(cut, "trace_id").where("step_index <> cut").withColumn("trace_id", case).withColumn("step_index", place)
+    still = {(r.trace_id, r.mode_id) for r in detect.run_rules(left, adapters.traces(left)).where("confidence >= 0.5").collect()}
+    got = out.collect()
+    assert got and {(f"{r.trace_id}#{r.step_index}", r.mode_id, r.eliminated) for r in got} == {(k, r.mode_id, (k, r.mode_id) not in still) for r in got for k in [f"{r.trace_id}#{r.step_index}"]}
+    assert {r.eliminated for r in got} == {True, False}
